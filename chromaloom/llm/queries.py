@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import pieces
+from . import licenses, pieces, pii
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
+    "op3_pii": pii.op3_pii,
+    "op4_licenses": licenses.op4_licenses,
 }
 ORACLE_SQL: dict[str, str] = {}
