@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import licenses, pieces, pii
+from . import decontam, licenses, pieces, pii, topk
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
     "op3_pii": pii.op3_pii,
     "op4_licenses": licenses.op4_licenses,
+    "op8_decontam": decontam.op8_decontam,
+    "op9_topk": topk.op9_topk,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_topk": topk.OP9_SQL}
