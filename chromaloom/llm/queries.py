@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, licenses, pieces, pii, topk
+from . import decontam, licenses, neardup, pieces, pii, topk
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
+    "op2_neardup": neardup.op2_neardup,
     "op3_pii": pii.op3_pii,
     "op4_licenses": licenses.op4_licenses,
     "op8_decontam": decontam.op8_decontam,
     "op9_topk": topk.op9_topk,
 }
-ORACLE_SQL: dict[str, str] = {"op9_topk": topk.OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_neardup": neardup.OP2_SQL, "op9_topk": topk.OP9_SQL}
