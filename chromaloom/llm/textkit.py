@@ -34,10 +34,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-@lru_cache(maxsize=1)
-def _space_table() -> np.ndarray:
+@lru_cache(maxsize=2)
+def _space_table(bare: bool) -> np.ndarray:
     space = np.zeros(256, bool)
     space[[0x20, *range(0x09, 0x0E)]] = True
+    if bare:
+        space[[b for b in range(128) if not chr(b).isalnum()]] = True
     return space
 
 
@@ -70,10 +72,13 @@ def segment_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed:
     return mix64(out)
 
 
-def word_hashes(texts: list[bytes], seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of ``texts`` in order, and offsets: the words of text i are ``[off[i]:off[i + 1]]``."""
+def word_hashes(texts: list[bytes], seed: int = 7, bare: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of ``texts`` in order, and offsets: the words of text i are ``[off[i]:off[i + 1]]``.
+
+    With ``bare``, ASCII punctuation parts words as well.
+    """
     buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    space = _space_table()[buf]
+    space = _space_table(bare)[buf]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.concatenate(([0], edge))
