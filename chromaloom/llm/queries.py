@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, licenses, neardup, pieces, pii, substrings, topk
+from . import decontam, licenses, neardup, pieces, pii, substrings, topk, toxicity
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_neardup": neardup.op2_neardup,
     "op3_pii": pii.op3_pii,
     "op4_licenses": licenses.op4_licenses,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_substrings": substrings.op7_substrings,
     "op8_decontam": decontam.op8_decontam,
     "op9_topk": topk.op9_topk,
