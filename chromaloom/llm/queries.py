@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, licenses, neardup, pieces, pii, substrings, topk, toxicity
+from . import decontam, licenses, neardup, pieces, pii, quality, substrings, topk, toxicity
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_pii": pii.op3_pii,
     "op4_licenses": licenses.op4_licenses,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_quality": quality.op6_quality,
     "op7_substrings": substrings.op7_substrings,
     "op8_decontam": decontam.op8_decontam,
     "op9_topk": topk.op9_topk,
