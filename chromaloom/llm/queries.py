@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, licenses, neardup, pieces, pii, quality, substrings, topk, toxicity
+from . import decontam, licenses, lm, neardup, pieces, pii, quality, substrings, topk, toxicity
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -14,5 +14,6 @@ QUERIES = {
     "op7_substrings": substrings.op7_substrings,
     "op8_decontam": decontam.op8_decontam,
     "op9_topk": topk.op9_topk,
+    "op10_lm": lm.op10_lm,
 }
 ORACLE_SQL: dict[str, str] = {"op2_neardup": neardup.OP2_SQL, "op9_topk": topk.OP9_SQL}
