@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .textkit import slices
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,3 +28,14 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def keep_rows(docs: DataFrame, text_col: str, keep: Callable[[list], np.ndarray]) -> DataFrame:
+    """The rows, with all their columns, for whose texts ``keep`` says so; no shuffle, and no need of a key."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text_col, max_bytes=2 << 20):
+            mask = keep(part.column(part.schema.get_field_index(text_col)).to_pylist())
+            yield part.filter(pa.array(np.asarray(mask, bool)))
+
+    return docs.mapInArrow(run, docs.schema)

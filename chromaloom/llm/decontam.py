@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import keep_rows, table
 from .textkit import slices
 
 _WORD = re.compile(r"\w+")
@@ -137,17 +137,36 @@ class Matcher:
             found[n] = {"item_id": item_id, "distance": distance, "first_word": lo + end - length - int(start), "last_word": lo + end - 1 - int(start)}
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", budget_divisor: int = 5, block_chars: int = 4 << 20) -> DataFrame:
-    """``id_col`` and ``leaks``: the items of which the document holds a passage within the edit budget."""
+def item_blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark's distinct items in blocks of about ``block_chars`` characters; one block, if empty, at least."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null and text is not null")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // block_chars))
+    for b in range(blocks):
+        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).distinct().orderBy("item_id", "text").collect()]
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", budget_divisor: int = 5, block_chars: int = 4 << 20) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no passage of the benchmark."""
+    for block in item_blocks(benchmark, item_col, item_text_col, block_chars):
+
+        def clean(texts: list, block: list = block, built: list = []) -> list[bool]:  # noqa: B006  built: once a task
+            if not built:
+                built.append(Matcher(block, budget_divisor))
+            return [not found for found in built[0].search(texts)]
+
+        docs = keep_rows(docs, text_col, clean)
+    return docs
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", budget_divisor: int = 5, block_chars: int = 4 << 20) -> DataFrame:
+    """``id_col`` and ``leaks``: the items of which the document holds a passage within the edit budget."""
+    blocks = list(item_blocks(benchmark, item_col, item_text_col, block_chars))
     id_type = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.array().cast(_HITS).alias("leaks"))
-    for b in range(blocks):
-        block = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).distinct().orderBy("item_id", "text").collect()]
+    for i, block in enumerate(blocks):
 
-        def run(batches: Iterable[pa.RecordBatch], block: list = block, last: bool = b == blocks - 1) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterable[pa.RecordBatch], block: list = block, last: bool = i == len(blocks) - 1) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, budget_divisor)
             for part in slices(batches, max_bytes=2 << 20):
                 found = matcher.search(part.column(1).to_pylist())

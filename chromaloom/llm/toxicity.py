@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import keep_rows, table, written
 from .textkit import lowered, slices, word_hashes
 
 
@@ -42,6 +42,16 @@ class OrdinalModel:
         """P(grade >= 1), P(grade >= 2), ... for rows of features."""
         return sigmoid((x @ self.weights)[:, None] - self.thresholds[None])
 
+    def of_texts(self, texts: list[str | None]) -> np.ndarray:
+        """``at_least`` of whole texts."""
+        h, off = word_hashes([lowered(t) for t in texts], bare=True)
+        x = np.zeros((len(texts), len(self.words)))
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+            hit = np.flatnonzero(self.words[at] == h)
+            np.add.at(x, (np.searchsorted(off, hit, "right") - 1, at[hit]), 1)
+        return self.at_least(damped(x))
+
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
@@ -121,24 +131,23 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, severity`` (0 to 2, expected), ``toxicity`` (probability of grade 1 or more), ``toxic`` (that it reaches the model's cut)."""
+    """For each document ``id_col, severity`` (0 to 2, expected), ``toxicity`` (probability of grade 1 or more), ``toxic`` (that it reaches the model's cut)."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, max_bytes=2 << 20):
-            h, off = word_hashes([lowered(t) for t in part.column(1).to_pylist()], bare=True)
-            x = np.zeros((part.num_rows, len(model.words)))
-            if len(model.words):
-                at = np.minimum(np.searchsorted(model.words, h), len(model.words) - 1)
-                hit = np.flatnonzero(model.words[at] == h)
-                np.add.at(x, (np.searchsorted(off, hit, "right") - 1, at[hit]), 1)
-            p = model.at_least(damped(x))
+            p = model.of_texts(part.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p.sum(1)), pa.array(p[:, 0]), pa.array(p[:, 0] >= model.cut)], ["id", "severity", "toxicity", "toxic"])
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, severity double, toxicity double, toxic boolean")
     return out.withColumnRenamed("id", id_col)
 
 
+def without_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text stays under the model's cut."""
+    return keep_rows(docs, text_col, lambda texts: model.of_texts(texts)[:, 0] < model.cut)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
