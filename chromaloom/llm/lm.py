@@ -10,7 +10,7 @@ class, smoothed by 0.1 for each known word and for one unknown word.
    64-bit hash, and tokens as numbers within the block.
 2. A word has one row per block with its training count there, so the counts are
    pre-aggregated; a window over the word gives the corpus count to every block that has
-   it. The largest group has one short row per block.
+   it, unless no other has. The largest group has one short row per block.
 3. The weights are trained by ``rounds`` gradient updates, each on its own share of all
    training documents: tasks sum their gradients, sums meet in a salted tree by slices of the
    weights, and the driver, which holds only the weights, takes the step.
@@ -43,7 +43,16 @@ FEATURES = 1 << 14
 SLICE = 256  # features in a row of summed gradients
 END = np.uint64(0x5DEECE66D1234567)
 SMOOTH = 0.1
-_BLOCK = "block long, held array<boolean>, off binary, words binary, n binary, tok binary"
+_BLOCK = "block long, held array<boolean>, off binary, words binary, n binary, tok binary, top array<struct<word:long,n:long>>"
+
+_TOP = pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())]))
+
+
+def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one at a time, so that no more than one block is held as Python objects."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
 
 
 def _planes(tokens: np.ndarray) -> bytes:
@@ -75,8 +84,10 @@ def encode_blocks(docs: DataFrame, id_col: str, text_col: str, folds: int, block
             n = np.bincount(tok[train], minlength=len(words))
             block = (int(part.column(3)[0].as_py()) << 32) + number
             number += 1
-            row = [pa.array([block]), pa.array([part.column(2).to_pylist()]), pa.array([off.astype(np.int64).tobytes()]), pa.array([words.tobytes()]), pa.array([n.astype(np.int64).tobytes()]), pa.array([_planes(tok)]), pa.array([part.column(0).to_pylist()], pa.list_(part.schema.field(0).type))]
-            yield pa.RecordBatch.from_arrays(row, ["block", "held", "off", "words", "n", "tok", "ids"])
+            most = np.argsort(-n, kind="stable")[: 2 * OWN]
+            top = [{"word": int(words[i].view(np.int64)), "n": int(n[i])} for i in most if n[i]]
+            row = [pa.array([block]), pa.array([part.column(2).to_pylist()]), pa.array([off.astype(np.int64).tobytes()]), pa.array([words.tobytes()]), pa.array([n.astype(np.int32).tobytes()]), pa.array([_planes(tok)]), pa.array([top], _TOP), pa.array([part.column(0).to_pylist()], pa.list_(part.schema.field(0).type))]
+            yield pa.RecordBatch.from_arrays(row, ["block", "held", "off", "words", "n", "tok", "top", "ids"])
 
     return src.mapInArrow(run, f"{_BLOCK}, ids array<{id_type}>")
 
@@ -85,14 +96,13 @@ def _entries(blocks: DataFrame) -> DataFrame:
     """word, block, at, n: a row for each distinct word of a block."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, words, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                w, c = np.frombuffer(words, np.int64), np.frombuffer(n, np.int64)
-                for lo in range(0, len(w), 50_000):
-                    k = min(50_000, len(w) - lo)
-                    yield pa.RecordBatch.from_arrays([pa.array(w[lo : lo + k]), pa.array(np.full(k, block)), pa.array(np.arange(lo, lo + k, dtype=np.int32)), pa.array(c[lo : lo + k])], ["word", "block", "at", "n"])
+        for row in _rows(batches):
+            w, c = np.frombuffer(row["words"], np.int64), np.frombuffer(row["n"], np.int32)
+            for lo in range(0, len(w), 50_000):
+                k = min(50_000, len(w) - lo)
+                yield pa.RecordBatch.from_arrays([pa.array(w[lo : lo + k]), pa.array(np.full(k, row["block"])), pa.array(np.arange(lo, lo + k, dtype=np.int32)), pa.array(c[lo : lo + k])], ["word", "block", "at", "n"])
 
-    return blocks.select("block", "words", "n").mapInArrow(run, "word long, block long, at int, n long")
+    return blocks.select("block", "words", "n").mapInArrow(run, "word long, block long, at int, n int")
 
 
 def classes_of(words: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -167,13 +177,12 @@ def train(blocks: DataFrame, own: np.ndarray, class_counts: np.ndarray, tasks: i
         def grad(batches: Iterable[pa.RecordBatch], r: int = r, weights: np.ndarray = weights) -> Iterator[pa.RecordBatch]:
             out, seen = np.zeros((FEATURES, CLASSES)), np.zeros(FEATURES)
             salt = 0
-            for batch in batches:
-                for held, off, words, tok in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    off, words, tok = np.frombuffer(off, np.int64), np.frombuffer(words, np.uint64), _tokens(tok)
-                    mine = ~np.asarray(held, bool) & (np.arange(len(held)) % rounds == r)
-                    at = np.flatnonzero(np.repeat(mine, np.diff(off)))
-                    gradient(weights, bias, histories(words, tok, off)[:, at], classes_of(words, own)[tok[at]], out, seen)
-                    salt = (salt * 31 + len(tok)) % 16
+            for row in _rows(batches):
+                off, words, tok = np.frombuffer(row["off"], np.int64), np.frombuffer(row["words"], np.uint64), _tokens(row["tok"])
+                mine = ~np.asarray(row["held"], bool) & (np.arange(len(row["held"])) % rounds == r)
+                at = np.flatnonzero(np.repeat(mine, np.diff(off)))
+                gradient(weights, bias, histories(words, tok, off)[:, at], classes_of(words, own)[tok[at]], out, seen)
+                salt = (salt * 31 + len(tok)) % 16
             full = np.column_stack((out, seen)).astype(np.float32)
             for s in range(FEATURES // SLICE):
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([salt], pa.int32()), pa.array([full[s * SLICE : (s + 1) * SLICE].tobytes()])], ["slice", "salt", "v"])
@@ -187,24 +196,25 @@ def train(blocks: DataFrame, own: np.ndarray, class_counts: np.ndarray, tasks: i
     return weights, bias
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, block_bytes: int = 4 << 20, rounds: int = 2) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, block_bytes: int = 3 << 20, rounds: int = 2) -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
     blocks = written(encode_blocks(docs, id_col, text_col, folds, block_bytes))
+    top = blocks.select(F.inline("top")).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(OWN).collect()
+    own = np.sort(np.array([r.word for r in top], np.int64).view(np.uint64))
+    names = [int(w) for w in own.view(np.int64)]
+    of_class = OWN + F.pmod("word", F.lit(SHARED))
+    if names:
+        of_class = F.when(F.col("word").isin(names), F.array_position(F.array(*map(F.lit, names)), F.col("word")) - 1).otherwise(of_class)
     word = Window.partitionBy("word")
-    counted = _entries(blocks).select("word", "block", "at", F.sum("n").over(word).alias("c"), (F.col("block") == F.min("block").over(word)).alias("first"))
-    counted = written(counted.select(F.when(F.col("first"), F.col("word")).alias("word"), "block", "at", "c"))
-    distinct = counted.where("word is not null and c > 0")
-    top = [r.word for r in distinct.select("word", "c").orderBy(F.desc("c"), "word").limit(OWN).collect()]
-    own = np.sort(np.array(top, np.int64).view(np.uint64))
-    per_class = distinct.groupBy(F.when(F.col("word").isin(top), -1).otherwise(F.pmod("word", F.lit(SHARED))).alias("class")).agg(F.sum("c").alias("n"), F.count("*").alias("v")) if top else distinct.select(F.lit(-1).alias("class"), F.col("c").alias("n"), F.col("c").alias("v"))
-    n_shared, v_shared = np.zeros(SHARED), np.zeros(SHARED)
+    counted = _entries(blocks).select("word", "block", "at", F.sum("n").over(word).alias("c"), F.count("*").over(word).alias("blocks"), F.min("block").over(word).alias("first"))
+    # A word of one block needs no answer: its count there is its count. One row of each word carries its class for the totals.
+    many = F.col("blocks") > 1
+    counted = written(counted.select(F.when(F.col("block") == F.col("first"), of_class).cast("int").alias("class"), F.when(many, F.col("block")).alias("block"), F.when(many, F.col("at")).alias("at"), "c"))
+    class_counts, class_types = np.zeros(CLASSES), np.zeros(CLASSES)
     total = types = 0
-    for r in per_class.collect():
+    for r in counted.where("class is not null and c > 0").groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
         total, types = total + r.n, types + r.v
-        if r["class"] >= 0:
-            n_shared[r["class"]], v_shared[r["class"]] = r.n, r.v
-    own_n = {r.word: r.c for r in distinct.where(F.col("word").isin(top)).select("word", "c").collect()} if top else {}
-    class_counts = np.concatenate(([own_n[int(w)] for w in own.view(np.int64)], np.zeros(OWN - len(own)), n_shared))
+        class_counts[r["class"]], class_types[r["class"]] = r.n, r.v
     size = blocks.agg(F.coalesce(F.sum(F.length("tok")), F.lit(0))).first()[0]
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // (12 << 20)))
     weights, bias = train(blocks, own, class_counts, tasks, rounds)
@@ -217,12 +227,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             return schema.empty_table()
         row = left.slice(0, 1).to_pylist()[0]
         off, words, tok = np.frombuffer(row["off"], np.int64), np.frombuffer(row["words"], np.uint64), _tokens(row["tok"])
-        c = np.zeros(len(words))
+        c = np.frombuffer(row["n"], np.int32).astype(np.float64)
         c[right.column("at").to_numpy()] = right.column("c").to_numpy()
         cls = classes_of(words, own)
         base = np.log10((c + SMOOTH) / (total + SMOOTH * (types + 1)))
-        shared = np.maximum(cls - OWN, 0)
-        within = np.where(cls < OWN, 0.0, np.log10((c + SMOOTH) / (n_shared[shared] + SMOOTH * (v_shared[shared] + 1))))
+        within = np.where(cls < OWN, 0.0, np.log10((c + SMOOTH) / (class_counts[cls] + SMOOTH * (class_types[cls] + 1))))
         f = histories(words, tok, off)
         of_class = np.empty(len(tok))
         for lo in range(0, len(tok), 1 << 15):
@@ -231,8 +240,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         add = lambda x: np.add.reduceat(x, off[:-1])
         return pa.Table.from_arrays([pa.array(row["ids"], arrow_id), pa.array(row["held"], pa.bool_()), pa.array(np.diff(off)), pa.array(add((c > 0)[tok].astype(np.int64))), pa.array(add(base[tok])), pa.array(add(of_class / np.log(10) + within[tok]))], schema=schema)
 
-    own_side = blocks.select("block", "held", "off", "words", "tok", "ids").groupBy("block")
-    out = own_side.cogroup(counted.select("block", "at", "c").groupBy("block")).applyInArrow(score, f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    own_side = blocks.select("block", "held", "off", "words", "n", "tok", "ids").groupBy("block")
+    out = own_side.cogroup(counted.where("block is not null").select("block", "at", "c").groupBy("block")).applyInArrow(score, f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
