@@ -85,7 +85,9 @@ def _settling(need: list[int], finish: Callable[[list[np.ndarray]], dict[str, pa
     """The work of one tile: rows of the points that are final here, and the ids of the others."""
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = left.column("point_id")
+        ids = left.column("point_id").combine_chunks()
+        if pa.types.is_struct(ids.type):  # Spark's schema of the result has fields that may be null
+            ids = ids.cast(pa.struct([pa.field(f.name, f.type) for f in ids.type]))
         px, py = (left.column(c).to_numpy().astype(np.float64) for c in ("x", "y"))
         if left.num_rows and not last:
             tx, ty = left.column("tx")[0].as_py(), left.column("ty")[0].as_py()
@@ -102,7 +104,7 @@ def _settling(need: list[int], finish: Callable[[list[np.ndarray]], dict[str, pa
         full = np.logical_and.reduce([np.isfinite(d[:, -1]) for d in found]) if left.num_rows else final
         made = finish([np.rint(d[final & full]).astype(np.int64) for d in found])
         rows, rest = np.flatnonzero(final & full), np.flatnonzero(~final)
-        cols = {"point_id": pa.concat_arrays([ids.combine_chunks().take(pa.array(rows)), ids.combine_chunks().take(pa.array(rest))]), "settled": pa.array(np.arange(len(rows) + len(rest)) < len(rows))}
+        cols = {"point_id": pa.concat_arrays([ids.take(pa.array(rows)), ids.take(pa.array(rest))]), "settled": pa.array(np.arange(len(rows) + len(rest)) < len(rows))}
         cols |= {name: pa.concat_arrays([a, pa.nulls(len(rest), a.type)]) for name, a in made.items()}
         return pa.table(cols)
 
