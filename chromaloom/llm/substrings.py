@@ -8,7 +8,8 @@ bytes that stands in two documents has a whole chunk in common. A chunk is
 known by a 64-bit digest; a run of neighbouring chunks counts from ``min_chars`` on,
 which takes several, so a chance equality of one digest has no effect.
 
-Digests are pre-aggregated to the least and greatest document id; those of two documents
+A chunk repeated in place, as in text of one word over and over, is one chunk with its
+number of repeats. Digests are pre-aggregated to the least and greatest document id; those of two documents
 are joined back, a join that splits hot digests, and the chunks of one document, which its
 own text bounds, are merged to spans. The chunk rows are made again for the join rather
 than stored: they cost less to make than to write.
@@ -30,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .textkit import segment_hashes, slices
+from .common import table, written
+from .textkit import mix64, segment_hashes, slices
 
 GEAR_BITS = 16
 _SPAN = "struct<start:long,end:long,first_id:long>"
@@ -85,7 +86,16 @@ def chunked(text: bytes, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     cut = cut_points(buf, window)
     edges = np.concatenate(([0], cut[(cut > 0) & (cut < len(buf))], [len(buf)]))
     points = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))[edges]
-    return segment_hashes(buf, edges[:-1], edges[1:], seed=29), points[:-1], points[1:]
+    return folded(segment_hashes(buf, edges[:-1], edges[1:], seed=29), points)
+
+
+def folded(digests: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of one chunk repeated in place as a single chunk, whose digest depends on the number of repeats."""
+    first = np.flatnonzero(np.concatenate(([True], digests[1:] != digests[:-1])))
+    n = np.diff(np.append(first, len(digests))).astype(np.uint64)
+    d = digests[first]
+    d = np.where(n > 1, mix64(d + n * np.uint64(0x9E3779B97F4A7C15)), d)
+    return d, points[first], points[np.append(first[1:], len(digests))]
 
 
 def chunk_rows(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
@@ -106,7 +116,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """``id_col, n_chars, spans``: of each document the passages that also stand in another one, with the least id that holds their first chunk."""
     chunks = chunk_rows(docs, id_col, text_col, window)
     shared = chunks.groupBy("digest").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id")
-    hits = chunks.join(shared.select("digest", "first_id"), "digest").select("id", "span", "first_id")
+    # Written, so that both sides of the join come by an exchange of their own and a hot digest's side can be split.
+    shared = written(shared.select("digest", "first_id"))
+    hits = chunks.join(shared, "digest").select("id", "span", "first_id")
     own = hits.groupBy("id").agg(F.array_sort(F.collect_set(F.struct(F.shiftright("span", 32).alias("start"), F.col("span").bitwiseAND(0xFFFFFFFF).alias("n"), "first_id"))).alias("hits"))
 
     @F.pandas_udf(f"array<{_SPAN}>")
