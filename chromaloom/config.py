@@ -59,6 +59,10 @@ class EngineConfig:
             raise ValueError(f"unknown options in {path}: {sorted(unknown)}")
         return base.with_overrides(**{k: v for k, v in found.items() if reset or getattr(base, k) == getattr(defaults, k)})
 
+    def dump(self, path: str) -> None:
+        """Writes a file that ``from_file`` reads back."""
+        Path(path).write_text("".join(f"{f.name} = {getattr(self, f.name)!r}\n" for f in dataclasses.fields(self)))
+
     def with_overrides(self, **values) -> EngineConfig:
         return dataclasses.replace(self, **values)
 

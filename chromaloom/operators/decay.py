@@ -74,6 +74,23 @@ def corrected_proposal(proposal: np.ndarray, observed: np.ndarray, expected: np.
     return out - np.logaddexp.reduce(out) if live.any() else out
 
 
+def constant_proposal(size: int) -> np.ndarray:
+    return np.full(size, -math.log(size)) if size else np.zeros(0)
+
+
+def area_proposal(size: int, resolution: int, min_bin: int, max_dist: float) -> np.ndarray:
+    """Shares of the plane in each log-distance strip of a square of side ``max_dist``."""
+    edge = np.minimum(2 ** ((np.arange(size + 1) + min_bin) / resolution) - 1, max_dist)
+    area = (max_dist - edge[:-1]) ** 2 - (max_dist - edge[1:]) ** 2
+    return log_vector(area / area.sum()) if area.sum() > 0 else constant_proposal(size)
+
+
+def sampled_proposal(counts: np.ndarray, smooth: int) -> np.ndarray:
+    """Log shares of the smoothed counts of proposals."""
+    v = smooth_vector(counts, smooth)
+    return log_vector(v / v.sum()) if v.sum() > 0 else constant_proposal(len(counts))
+
+
 def auto_resolution(n: int, min_dist: int, max_dist: int, most: int = 400) -> int:
     return max(0, min(math.floor((n / 200) / (math.log2(max_dist) - math.log2(min_dist))), most)) if max_dist > min_dist else 0
 

@@ -20,9 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..functions.genomic import beyond, distance_bin, hash28
+from ..functions.genomic import beyond, distance_bin, hash28, min_distance_bin
 from .contacts import count_pairs, mirror, replicate
-from .decay import LOG_ZERO, auto_resolution, auto_smooth, corrected_proposal, expected_decay
+from .decay import LOG_ZERO, area_proposal, auto_resolution, auto_smooth, constant_proposal, corrected_proposal, expected_decay, sampled_proposal
 
 
 @dataclass(frozen=True)
@@ -71,11 +71,14 @@ def _lookup(values: np.ndarray):
     return lambda b: F.coalesce(F.try_element_at(array, (b + 1).cast("int")), F.lit(LOG_ZERO)) if isinstance(b, Column) else values[b]
 
 
-def shuffle_contacts(rows: DataFrame, resolution: int, smooth: int, min_dist: int = 1024, seed: int = 1, sweeps: float = 80, cells: tuple[int, int, int] = (500_000, 1_000_000, 500_000), step_sweeps: float = 40, factor: float = 0.25, max_rounds: int = 1000, salts: int = 1, write_every: int = 4) -> ShuffleResult:
+def shuffle_contacts(rows: DataFrame, resolution: int, smooth: int, min_dist: int = 1024, seed: int = 1, sweeps: float = 80, cells: tuple[int, int, int] = (500_000, 1_000_000, 500_000), step_sweeps: float = 40, factor: float = 0.25, max_rounds: int = 1000, salts: int = 1, proposal_from: str = "contacts") -> ShuffleResult:
     """Swap rounds on mirrored rows (chrom, cid, x, y) until each contact moved ``sweeps`` times on average.
 
     The cell grows from cells[0] by cells[2] to cells[1] every ``step_sweeps``; two rounds without a move end it.
+    ``proposal_from``: "contacts" for the bins that a round without swaps would propose, "area" for the strips' areas, "constant".
     """
+    if proposal_from not in ("contacts", "area", "constant"):
+        raise ValueError(f"no such proposal: {proposal_from}")
     rows = _written(rows)
     total = rows.count()
     counts = lambda df: {r.dbin: r.n for r in df.groupBy(distance_bin(resolution, min_dist, "x", "y").alias("dbin")).agg(F.count("*").alias("n")).collect()}
@@ -87,7 +90,13 @@ def shuffle_contacts(rows: DataFrame, resolution: int, smooth: int, min_dist: in
     vector = lambda d: np.array([d.get(i, 0) for i in range(size)], np.float64)
     observed = vector(found)
     expected = expected_decay(observed, smooth)
-    proposal = np.where(observed > 0, np.log(np.maximum(observed, 1) / max(total, 1)), LOG_ZERO)
+    if proposal_from == "contacts" and total:
+        p = paired(rows, seed, -1, cells[0], salts).where("pcid is not null")
+        proposal = sampled_proposal(vector(counts(p.select("x", F.col("py").alias("y")).where(F.col("y").isNotNull()))), smooth)
+    elif proposal_from == "area" and total:
+        proposal = area_proposal(size, resolution, min_distance_bin(resolution, min_dist), float(extent[1] - extent[0]))
+    else:
+        proposal = constant_proposal(size)
     done, idle, cell, grown, history = 0.0, 0, cells[0], 0.0, []
     for number in range(max_rounds):
         if not total or done >= sweeps or idle >= 2:

@@ -186,3 +186,27 @@ def test_config(tmp_path):
     f.write_text("kk = __import__('os')\n")
     with pytest.raises(ValueError):
         EngineConfig.from_file(str(f))
+
+
+def test_config_round_trip(tmp_path):
+    c = EngineConfig(k=33, score_pal_zero="red")
+    c.dump(str(tmp_path / "c"))
+    assert EngineConfig.from_file(str(tmp_path / "c"), reset=True) == c and c.get_list("score_pal_neg")[-1] == "black"
+
+
+def test_proposals():
+    assert np.exp(D.constant_proposal(7)).sum() == pytest.approx(1)
+    area = np.exp(D.area_proposal(200, 10, 0, 1e6))
+    assert area.sum() == pytest.approx(1) and area[50] > area[10]
+    assert np.exp(D.sampled_proposal(np.array([0, 3.0, 1]), 0)).sum() == pytest.approx(1)
+
+
+def test_virtual_track(spark):
+    from chromaloom.operators.virtual import VirtualTrack, screen
+
+    track = frame(spark, [("c", 10, 20, 5), ("c", 14, 22, 9), ("c", 30, 90, 1), ("d", 10, 20, 7)])
+    rects = frame(spark, [("c", 11, 20, 1), ("c", 29, 88, 1), ("c", 500, 600, 1)]).drop("contacts")
+    v = VirtualTrack("v", track, "max", "contacts", (-3, 3), (-3, 3))
+    assert {r.start1: r.v for r in v.over(rects).collect()} == {11: 9, 29: 1, 500: None}
+    assert {r.start1: r.v for r in v.shifted((-1, 0), (0, 1)).over(rects, bucket=4).collect()} == {11: 5, 29: None, 500: None}
+    assert [r.start1 for r in screen(v, rects, 5).collect()] == [11] and screen(v, rects, 0, (-60, -58)).first().start1 == 29

@@ -44,6 +44,10 @@ def test_shuffle_keeps_marginals(spark):
     assert got.sweeps > 0.5 and all(abs(r.x - r.y) + 1 >= 1024 for r in after)
     assert {(r.cid, r.y) for r in after} == {(r.cid, r.y) for r in again.contacts.collect()}
     assert got.history[-1]["total_variation"] < 0.25
+    for how in ("area", "constant"):
+        assert H.shuffle_contacts(rows, 20, 2, sweeps=0.3, max_rounds=2, proposal_from=how).sweeps > 0
+    with pytest.raises(ValueError):
+        H.shuffle_contacts(rows, 20, 2, proposal_from="none")
 
 
 def test_shuffled_track_has_twice_the_contacts(spark):
