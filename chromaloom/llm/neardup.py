@@ -198,7 +198,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_links = links.groupBy(F.col("u").alias("digest")).agg(F.sum("n").alias("n_links"))
     per_class = classes.select("digest", "first_id").join(of, "digest", "left").join(n_links, "digest", "left")
     per_class = per_class.select("digest", F.coalesce("component", "first_id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = sigs.drop("bands").join(per_class, "digest", "left")
+    # Written, so that the side of a set with very many copies can be split in this join.
+    out = sigs.drop("bands").join(written(per_class), "digest", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "digest")
 
 
