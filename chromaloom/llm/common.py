@@ -26,7 +26,7 @@ def written(df: DataFrame) -> DataFrame:
     """Cuts lineage: the rows as Parquet in the shared folder, read back, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

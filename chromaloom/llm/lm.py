@@ -10,7 +10,7 @@ class, smoothed by 0.1 for each known word and for one unknown word.
    64-bit hash, and tokens as numbers within the block.
 2. A word has one row per block with its training count there, so the counts are
    pre-aggregated; a window over the word gives the corpus count to every block that has
-   it, unless no other has. The largest group has one short row per block.
+   it. The largest group has one short row per block.
 3. The weights are trained by ``rounds`` gradient updates, each on its own share of all
    training documents: tasks sum their gradients, sums meet in a salted tree by slices of the
    weights, and the driver, which holds only the weights, takes the step.
@@ -26,6 +26,7 @@ result; without training documents all words are unknown.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -41,9 +42,10 @@ OWN, SHARED = 16, 16
 CLASSES = OWN + SHARED
 FEATURES = 1 << 14
 SLICE = 256  # features in a row of summed gradients
+AT_BITS, PART_BITS = 24, 24
 END = np.uint64(0x5DEECE66D1234567)
 SMOOTH = 0.1
-_BLOCK = "block long, held array<boolean>, off binary, words binary, n binary, tok binary, top array<struct<word:long,n:long>>"
+_BLOCK = "block long, held array<boolean>, off binary, low binary, high binary, n binary, tok binary, top array<struct<word:long,n:long>>"
 
 _TOP = pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())]))
 
@@ -55,13 +57,13 @@ def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
 
 
-def _planes(tokens: np.ndarray) -> bytes:
+def _packed(tokens: np.ndarray) -> bytes:
     """Token numbers as one plane per byte, so that the high bytes compress away."""
-    return np.ascontiguousarray(tokens.astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes()
+    return zlib.compress(np.ascontiguousarray(tokens.astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes(), 1)
 
 
-def _tokens(planes: bytes) -> np.ndarray:
-    p = np.frombuffer(planes, np.uint8).reshape(3, -1).astype(np.int64)
+def _tokens(packed: bytes) -> np.ndarray:
+    p = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(3, -1).astype(np.int64)
     return p[0] | p[1] << 8 | p[2] << 16
 
 
@@ -79,35 +81,42 @@ def encode_blocks(docs: DataFrame, id_col: str, text_col: str, folds: int, block
             at_end = np.zeros(off[-1], bool)
             at_end[off[1:] - 1] = True
             all_h[~at_end] = h
-            words, tok = np.unique(all_h, return_inverse=True)
+            words, tok, own = np.unique(all_h, return_inverse=True, return_counts=True)
+            order = np.argsort(-own, kind="stable")  # frequent words get small numbers
+            rank = np.empty(len(words), np.int64)
+            rank[order] = np.arange(len(words))
+            words, tok = words[order], rank[tok]
             train = np.repeat(~np.asarray(part.column(2).to_pylist(), bool), np.diff(off))
             n = np.bincount(tok[train], minlength=len(words))
-            block = (int(part.column(3)[0].as_py()) << 32) + number
+            if len(words) > 1 << AT_BITS:
+                raise ValueError(f"a text has more than {1 << AT_BITS} distinct words")
+            block = (number << PART_BITS) + int(part.column(3)[0].as_py())
             number += 1
             most = np.argsort(-n, kind="stable")[: 2 * OWN]
             top = [{"word": int(words[i].view(np.int64)), "n": int(n[i])} for i in most if n[i]]
-            row = [pa.array([block]), pa.array([part.column(2).to_pylist()]), pa.array([off.astype(np.int64).tobytes()]), pa.array([words.tobytes()]), pa.array([n.astype(np.int32).tobytes()]), pa.array([_planes(tok)]), pa.array([top], _TOP), pa.array([part.column(0).to_pylist()], pa.list_(part.schema.field(0).type))]
-            yield pa.RecordBatch.from_arrays(row, ["block", "held", "off", "words", "n", "tok", "top", "ids"])
+            row = [pa.array([block]), pa.array([part.column(2).to_pylist()]), pa.array([off.astype(np.int64).tobytes()]), pa.array([words.astype(np.uint32).tobytes()]), pa.array([(words >> np.uint64(32)).astype(np.uint32).tobytes()]), pa.array([n.astype(np.int32).tobytes()]), pa.array([_packed(tok)]), pa.array([top], _TOP), pa.array([part.column(0).to_pylist()], pa.list_(part.schema.field(0).type))]
+            yield pa.RecordBatch.from_arrays(row, ["block", "held", "off", "low", "high", "n", "tok", "top", "ids"])
 
     return src.mapInArrow(run, f"{_BLOCK}, ids array<{id_type}>")
 
 
 def _entries(blocks: DataFrame) -> DataFrame:
-    """word, block, at, n: a row for each distinct word of a block."""
+    """word, key, n: a row for each distinct word of a block; the key holds the block and, in its low bits, the word's place there."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            w, c = np.frombuffer(row["words"], np.int64), np.frombuffer(row["n"], np.int32)
+            low, high = (np.frombuffer(row[c], np.uint32).astype(np.uint64) for c in ("low", "high"))
+            w, c = (low | high << np.uint64(32)).view(np.int64), np.frombuffer(row["n"], np.int32)
+            key = (row["block"] << AT_BITS) + np.arange(len(w), dtype=np.int64)
             for lo in range(0, len(w), 50_000):
-                k = min(50_000, len(w) - lo)
-                yield pa.RecordBatch.from_arrays([pa.array(w[lo : lo + k]), pa.array(np.full(k, row["block"])), pa.array(np.arange(lo, lo + k, dtype=np.int32)), pa.array(c[lo : lo + k])], ["word", "block", "at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 50_000]) for x in (w, key, c)], ["word", "key", "n"])
 
-    return blocks.select("block", "words", "n").mapInArrow(run, "word long, block long, at int, n int")
+    return blocks.select("block", "low", "high", "n").mapInArrow(run, "word long, key long, n int")
 
 
 def classes_of(words: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Class of each word: its place in ``own`` (ascending) if it is there, else by hash."""
-    out = OWN + np.mod(words.view(np.int64), SHARED)
+    """Class of each word, known by the low 32 bits of its hash: its place in ``own`` (ascending) if it is there, else by hash."""
+    out = OWN + (words & np.uint32(SHARED - 1)).astype(np.int64)
     if len(own):
         at = np.minimum(np.searchsorted(own, words), len(own) - 1)
         out = np.where(own[at] == words, at, out)
@@ -116,7 +125,7 @@ def classes_of(words: np.ndarray, own: np.ndarray) -> np.ndarray:
 
 def histories(words: np.ndarray, tok: np.ndarray, off: np.ndarray) -> np.ndarray:
     """(3, tokens): hashed features of each token's history, which starts afresh in each document."""
-    h = words[tok]
+    h = words[tok].astype(np.uint64)
     one, two = np.empty_like(h), np.empty_like(h)
     one[1:], two[2:] = h[:-1], h[:-2]
     first = off[:-1]
@@ -171,14 +180,14 @@ def train(blocks: DataFrame, own: np.ndarray, class_counts: np.ndarray, tasks: i
     share = (class_counts + 1) / (class_counts + 1).sum()
     bias = np.log(share).astype(np.float32)
     weights = np.zeros((FEATURES, CLASSES), np.float32)
-    src = blocks.select("held", "off", "words", "tok").coalesce(tasks)
+    src = blocks.select("held", "off", "low", "tok").coalesce(tasks)
     for r in range(rounds):
 
         def grad(batches: Iterable[pa.RecordBatch], r: int = r, weights: np.ndarray = weights) -> Iterator[pa.RecordBatch]:
             out, seen = np.zeros((FEATURES, CLASSES)), np.zeros(FEATURES)
             salt = 0
             for row in _rows(batches):
-                off, words, tok = np.frombuffer(row["off"], np.int64), np.frombuffer(row["words"], np.uint64), _tokens(row["tok"])
+                off, words, tok = np.frombuffer(row["off"], np.int64), np.frombuffer(row["low"], np.uint32), _tokens(row["tok"])
                 mine = ~np.asarray(row["held"], bool) & (np.arange(len(row["held"])) % rounds == r)
                 at = np.flatnonzero(np.repeat(mine, np.diff(off)))
                 gradient(weights, bias, histories(words, tok, off)[:, at], classes_of(words, own)[tok[at]], out, seen)
@@ -196,27 +205,26 @@ def train(blocks: DataFrame, own: np.ndarray, class_counts: np.ndarray, tasks: i
     return weights, bias
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, block_bytes: int = 3 << 20, rounds: int = 2) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, block_bytes: int = 3 << 19, rounds: int = 2) -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
     blocks = written(encode_blocks(docs, id_col, text_col, folds, block_bytes))
     top = blocks.select(F.inline("top")).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(OWN).collect()
-    own = np.sort(np.array([r.word for r in top], np.int64).view(np.uint64))
-    names = [int(w) for w in own.view(np.int64)]
+    names = sorted((r.word for r in top), key=lambda w: w & 0xFFFFFFFF)
+    own = np.array([w & 0xFFFFFFFF for w in names], np.uint32)
     of_class = OWN + F.pmod("word", F.lit(SHARED))
     if names:
         of_class = F.when(F.col("word").isin(names), F.array_position(F.array(*map(F.lit, names)), F.col("word")) - 1).otherwise(of_class)
     word = Window.partitionBy("word")
-    counted = _entries(blocks).select("word", "block", "at", F.sum("n").over(word).alias("c"), F.count("*").over(word).alias("blocks"), F.min("block").over(word).alias("first"))
-    # A word of one block needs no answer: its count there is its count. One row of each word carries its class for the totals.
-    many = F.col("blocks") > 1
-    counted = written(counted.select(F.when(F.col("block") == F.col("first"), of_class).cast("int").alias("class"), F.when(many, F.col("block")).alias("block"), F.when(many, F.col("at")).alias("at"), "c"))
+    counted = _entries(blocks).select("word", "key", F.sum("n").over(word).alias("c"), F.min("key").over(word).alias("first"))
+    # One row of each word carries its class for the totals.
+    counted = written(counted.select(F.when(F.col("key") == F.col("first"), of_class).cast("int").alias("class"), "key", "c"))
     class_counts, class_types = np.zeros(CLASSES), np.zeros(CLASSES)
     total = types = 0
     for r in counted.where("class is not null and c > 0").groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
         total, types = total + r.n, types + r.v
         class_counts[r["class"]], class_types[r["class"]] = r.n, r.v
     size = blocks.agg(F.coalesce(F.sum(F.length("tok")), F.lit(0))).first()[0]
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // (12 << 20)))
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // (6 << 20)))
     weights, bias = train(blocks, own, class_counts, tasks, rounds)
     id_type = docs.schema[id_col].dataType.simpleString()
     arrow_id = blocks.limit(0).select("ids").toArrow().schema.field(0).type.value_type
@@ -226,8 +234,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not left.num_rows:
             return schema.empty_table()
         row = left.slice(0, 1).to_pylist()[0]
-        off, words, tok = np.frombuffer(row["off"], np.int64), np.frombuffer(row["words"], np.uint64), _tokens(row["tok"])
-        c = np.frombuffer(row["n"], np.int32).astype(np.float64)
+        off, words, tok = np.frombuffer(row["off"], np.int64), np.frombuffer(row["low"], np.uint32), _tokens(row["tok"])
+        c = np.zeros(len(words))
         c[right.column("at").to_numpy()] = right.column("c").to_numpy()
         cls = classes_of(words, own)
         base = np.log10((c + SMOOTH) / (total + SMOOTH * (types + 1)))
@@ -240,8 +248,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         add = lambda x: np.add.reduceat(x, off[:-1])
         return pa.Table.from_arrays([pa.array(row["ids"], arrow_id), pa.array(row["held"], pa.bool_()), pa.array(np.diff(off)), pa.array(add((c > 0)[tok].astype(np.int64))), pa.array(add(base[tok])), pa.array(add(of_class / np.log(10) + within[tok]))], schema=schema)
 
-    own_side = blocks.select("block", "held", "off", "words", "n", "tok", "ids").groupBy("block")
-    out = own_side.cogroup(counted.where("block is not null").select("block", "at", "c").groupBy("block")).applyInArrow(score, f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    own_side = blocks.select("block", "held", "off", "low", "tok", "ids").groupBy("block")
+    answers = counted.where("c > 0").select(F.shiftright("key", AT_BITS).alias("block"), F.col("key").bitwiseAND((1 << AT_BITS) - 1).cast("int").alias("at"), "c")
+    out = own_side.cogroup(answers.groupBy("block")).applyInArrow(score, f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
