@@ -112,7 +112,7 @@ def chunk_rows(docs: DataFrame, id_col: str, text_col: str, window: int) -> Data
     return src.mapInArrow(run, "digest long, id long, span long")
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 64, min_chars: int = 110) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 64, min_chars: int = 160) -> DataFrame:
     """``id_col, n_chars, spans``: of each document the passages that also stand in another one, with the least id that holds their first chunk."""
     chunks = chunk_rows(docs, id_col, text_col, window)
     shared = chunks.groupBy("digest").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id")
