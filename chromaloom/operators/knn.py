@@ -111,10 +111,11 @@ def _settling(need: list[int], finish: Callable[[list[np.ndarray]], dict[str, pa
     return work
 
 
-def tiled(points: DataFrame, refs: dict[str, DataFrame], ks: dict[str, int], finish: Callable[[list[np.ndarray]], dict[str, pa.Array]], schema: str, tile: int = 1 << 18, halo: int = 1 << 18) -> DataFrame:
+def tiled(points: DataFrame, refs: dict[str, DataFrame], ks: dict[str, int], finish: Callable[[list[np.ndarray]], dict[str, pa.Array]], schema: str, tile: int = 1 << 18, halo: int = 1 << 18, max_refs: int = 1_000_000) -> DataFrame:
     """Rows (point_id, *schema) made by ``finish`` from the distance matrices of each reference set in order.
 
     points: point_id, chrom, x, y. refs: chrom, x, y, n (multiplicity). A point with fewer neighbours than asked for in some set is left out.
+    Tiles start so narrow that none holds more than ``max_refs`` references, however dense the diagonal is.
     """
     names = list(refs)
     every = None
@@ -124,6 +125,13 @@ def tiled(points: DataFrame, refs: dict[str, DataFrame], ks: dict[str, int], fin
     need = [ks[n] for n in names]
     done = None
     todo = points.select("point_id", "chrom", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
+    while tile > 1024:
+        densest = every.groupBy("chrom", F.floor(F.col("x") / tile), F.floor(F.col("y") / tile)).count().agg(F.max("count")).first()[0] or 0
+        if densest <= max_refs:
+            break
+        # The count falls with the square of the width at most.
+        shrink = max(2, 1 << int(np.ceil(np.log2(densest / max_refs) / 2)))
+        tile, halo = max(1024, tile // shrink), max(1024, halo // shrink)
     limits = every.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0] or 0
     while True:
         last = halo > 4 * limits

@@ -70,7 +70,8 @@ def test_knn_across_tiles(spark):
     refs = [("a", int(x), int(y), int(n)) for x, y, n in zip(*rng.integers(0, 5000, (2, 300)), rng.integers(1, 4, 300), strict=True)]
     pts = [(i, "a", int(x), int(y)) for i, (x, y) in enumerate(rng.integers(-1000, 9000, (60, 2)))] + [(99, "b", 1, 1)]
     ref = spark.createDataFrame(refs, "chrom string, x long, y long, n long")
-    got = {r.point_id: r.distances for r in knn_join(spark.createDataFrame(pts, "point_id long, chrom string, x long, y long"), ref, 9, tile=700, halo=300).collect()}
+    got = {r.point_id: r.distances for r in knn_join(spark.createDataFrame(pts, "point_id long, chrom string, x long, y long"), ref, 9, tile=4096, halo=2048, max_refs=40).collect()}
+    assert got == {r.point_id: r.distances for r in knn_join(spark.createDataFrame(pts, "point_id long, chrom string, x long, y long"), ref, 9, tile=700, halo=300).collect()}
     for i, c, x, y in pts:
         near = sorted(round(math.hypot(x - a, y - b)) for ch, a, b, n in refs for _ in range(n) if ch == c)[:9]
         assert got.get(i) == (near or None)
