@@ -134,7 +134,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     least = lambda df: df.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
     every = labels.select(F.col(id_col).alias("id")).distinct()
     chosen = least(ids.join(known.where("label > 0"), "id", "left_semi")).withColumn("positive", F.lit(True)).unionByName(least(ids.join(every, "id", "left_anti")).withColumn("positive", F.lit(False)))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("text", "positive")
+    # At most 2 * ``sample`` ids, so they go to the documents rather than all texts to them.
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "positive")
 
     def shaped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, max_bytes=2 << 20):
