@@ -206,7 +206,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _confirmed(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, coarse: DataFrame, words: int, count: int, per_cent: int, block: int) -> DataFrame:
     """u, v, n: forests of the links between different sets, and with v null the number of links of u found in a task."""
     sizes = coarse.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = coarse.join(sizes, "root").join(classes.select("digest", "first_id"), F.col("node") == F.col("digest"))
+    # Written, as one group may hold a large part of all rows: its side of the join can then be split.
+    members = coarse.join(written(sizes), "root").join(classes.select("digest", "first_id"), F.col("node") == F.col("digest"))
     members = members.select("first_id", "digest", "root", "blocks", F.pmod(F.hash("digest"), "blocks").alias("own"))
     texts = docs.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text"))
     members = texts.join(members, "first_id")
