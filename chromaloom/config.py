@@ -12,6 +12,7 @@ from pathlib import Path
 class EngineConfig:
     """Defaults of the engine. A file may set any field; unknown names raise."""
 
+    # Thresholds, neighbourhoods, grid widths and palettes on which results depend.
     min_dist: int = 1024
     k: int = 100
     near_cis: int = 5_000_000
