@@ -28,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -143,6 +143,21 @@ def merge_runs(chunks: list[tuple[int, int, int]], min_chars: int) -> list[dict]
     return [x for x in out if x["end"] - x["start"] >= min_chars]
 
 
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` with the passages taken out that also stand in a document of a smaller id; the smallest id keeps its text."""
+    found = repeated_passages(docs, id_col, text_col, **how).where(F.size("spans") > 0)
+    found = found.select(F.col(id_col).alias("_key"), F.filter("spans", lambda s: s["first_id"] < F.col(id_col)).alias("_spans")).dropDuplicates(["_key"])
+    text = F.col(text_col)
+
+    def cut(acc: Column, s: Column) -> Column:
+        return F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")))).alias("out"))
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    rest = F.aggregate("_spans", start, cut, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    out = docs.join(found, F.col(id_col) == F.col("_key"), "left").withColumn(text_col, F.when(F.size("_spans") > 0, rest).otherwise(text))
+    return out.select(docs.columns)
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_passages(table(spark, sf_dir, "documents"))
     chars = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])

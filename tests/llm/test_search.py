@@ -67,6 +67,14 @@ def test_substrings_odd_rows(spark):
     assert substrings.op7_substrings(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
 
 
+def test_repeats_taken_out(spark):
+    rng = random.Random(6)
+    p, a, b = text(rng, 70), text(rng, 40), text(rng, 40)
+    docs = as_docs(spark, [(1, f"{a} {p}"), (2, f"{b} {p} {a[:20]}"), (3, None)])
+    got = {r.doc_id: r.text for r in substrings.without_repeats(docs).collect()}
+    assert got[1] == f"{a} {p}" and got[3] is None and got[2].startswith(b[:-20]) and len(got[2]) < len(b) + 180 and got[2].endswith(a[:20])
+
+
 def distance(p, t):
     row = [0] * (len(t) + 1)
     for i, a in enumerate(p):
