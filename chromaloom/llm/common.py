@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .textkit import slices
 
@@ -39,3 +40,9 @@ def keep_rows(docs: DataFrame, text_col: str, keep: Callable[[list], np.ndarray]
             yield part.filter(pa.array(np.asarray(mask, bool)))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def matched(docs: DataFrame, ids: DataFrame, key: str, how: str, most: int = 1_000_000) -> DataFrame:
+    """``docs`` with (left_semi) or without (left_anti) the ids. Up to ``most`` ids are broadcast, so that no text is shuffled; more are joined."""
+    ids = written(ids.select(key).distinct())
+    return docs.join(F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids, key, how)

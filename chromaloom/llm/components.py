@@ -13,16 +13,22 @@ from pyspark.sql import functions as F
 from .common import written
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Joins on the node and its hash: other keys than the aggregation's give both sides an exchange, so that a hot node's side can be split."""
+    hashed = lambda df: df.withColumn("_h", F.hash("u"))
+    return hashed(edges).join(hashed(least), ["u", "_h"]).drop("_h")
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges: u, v. Large: links every larger neighbour of a node to its least one; small: the node and its smaller neighbours."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = _with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        out = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        out = _with_least(down, least).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import matched, table, written
 from .components import connected_components
 from .textkit import lowered, mix64, slices, word_hashes
 
@@ -210,7 +210,8 @@ def _confirmed(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame,
     members = coarse.join(written(sizes), "root").join(classes.select("digest", "first_id"), F.col("node") == F.col("digest"))
     members = members.select("first_id", "digest", "root", "blocks", F.pmod(F.hash("digest"), "blocks").alias("own"))
     texts = docs.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text"))
-    members = texts.join(members, "first_id")
+    members = written(members)
+    members = matched(texts, members, "first_id", "left_semi").join(members, "first_id")
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, max_bytes=2 << 20):
