@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chromaloom.llm import decontam, neardup, pieces, pii, toxicity
-from chromaloom.llm.common import shared_dir, table
+from chromaloom.llm.common import matched, shared_dir, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +26,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2 with five-word shingles and a similarity of 0.8: the document of least id stays in each group."""
     found = neardup.near_duplicates(docs)
-    gone = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    gone = found.where(F.col("component_id") != F.col("doc_id"))
     twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    kept = matched(docs, gone, "doc_id", "left_anti").select(docs.columns)
     if twice.isEmpty():
         return kept
     again = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
