@@ -102,7 +102,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             lists = [pa.array([x[k].astype(np.int64) for x in own], pa.list_(pa.int64())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([part.column(1), *lists], ["toxic", "words", "n"])
 
-    got = written(texts.join(rows, "id").select("text", "toxic").mapInArrow(counted, "toxic int, words array<long>, n array<long>"))
+    # At most ``sample`` ids and flags, so they go to the documents rather than all texts to them.
+    got = written(texts.join(F.broadcast(rows), "id").select("text", "toxic").mapInArrow(counted, "toxic int, words array<long>, n array<long>"))
     total, toxic = got.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     none = np.zeros(0)
     if not 0 < toxic < total:
