@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 from .quality import fold
-from .textkit import lowered, mix64, slices, word_hashes
+from .textkit import lowered, mix64, slices, trim, word_hashes
 
 OWN, SHARED = 16, 16
 CLASSES = OWN + SHARED
@@ -52,6 +52,7 @@ _TOP = pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())]))
 
 def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
     """Rows one at a time, so that no more than one block is held as Python objects."""
+    trim()
     for batch in batches:
         for i in range(batch.num_rows):
             yield {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}

@@ -107,7 +107,7 @@ class ChunkTable:
         return out, np.concatenate(([0], text_ends + np.arange(1, len(texts) + 1))), decoded
 
 
-def encode_documents(docs: DataFrame, model_file: str | None = None, id_col: str = "doc_id", text_col: str = "text", table_entries: int = 400_000) -> DataFrame:
+def encode_documents(docs: DataFrame, model_file: str | None = None, id_col: str = "doc_id", text_col: str = "text", table_entries: int = 200_000) -> DataFrame:
     """Returns ``id_col, n_tokens, ids, decoded``: the ids with the end id, and the text decoded from them."""
     model_file = model_file or model_path()
     if not marker_bound(model_file):
@@ -117,7 +117,7 @@ def encode_documents(docs: DataFrame, model_file: str | None = None, id_col: str
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = ChunkTable(model_file, table_entries)
-        for part in slices(batches, max_bytes=2 << 20):
+        for part in slices(batches, max_bytes=1 << 20):
             ids, offsets, decoded = chunks.encode(part.column(1).to_pylist())
             arrays = [part.column(0), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids)), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "n_tokens", "ids", "decoded"])

@@ -8,6 +8,9 @@ finished with a bijective mixer; the same word has the same hash on every execut
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -88,8 +91,19 @@ def word_hashes(texts: list[bytes], seed: int = 7, bare: bool = False) -> tuple[
     return segment_hashes(buf, starts, ends, seed), np.searchsorted(starts, first)
 
 
+def trim() -> None:
+    """Gives memory that an earlier task of this Python worker freed back to the system; workers are reused."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", max_bytes: int = 4 << 20, max_rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that a slice has about ``max_bytes`` of text; a longer text is alone."""
+    trim()
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text))
         sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), np.int64)
