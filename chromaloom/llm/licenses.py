@@ -4,11 +4,10 @@ Base: places where the words of a fixed phrase stand consecutively. They are fou
 one linear pattern; a place's word number is the count of words in the gaps before it.
 
 Method: each template is a short notice. Words that few templates use are indexed with
-their positions. A file's eight words of highest inverse document frequency among the
-templates are looked up; each posting proposes that the template starts at a certain
-word of the file, the weights of postings that agree on the start are summed, and a
-template is accepted where a mandatory key phrase stands at its place. The index has a
-fixed number of rows, so it is broadcast; only agreeing starts are shuffled, keyed by row.
+their positions. All indexed words of a file are looked up; each posting proposes that the
+template starts at a certain word of the file, a start is kept where a mandatory key phrase
+stands at its place, and the weights of postings that agree on it are summed. The index has
+a fixed number of rows, so it is broadcast; only agreeing starts are shuffled, keyed by row.
 
 Defined cases: a null or empty text has no words, no labels and score 0; null ids are
 carried through; repeated rows are scanned each; extra columns are not read; an empty
@@ -119,7 +118,7 @@ def _places(text: Column, phrases: dict[str, str]) -> Column:
     return F.when(text.rlike(_needed(list(phrases))), found).otherwise(none)
 
 
-def template_matches(rows: DataFrame, keys: list[str], text_col: str = "text", rarest: int = 8) -> DataFrame:
+def template_matches(rows: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """``keys``, label, score: the templates accepted in each row; rows that share ``keys`` must share the text."""
     index = index_rows()
     vocabulary = sorted({(-idf, w) for w, idf, *_ in index})
@@ -130,14 +129,14 @@ def template_matches(rows: DataFrame, keys: list[str], text_col: str = "text", r
     indexed = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(known))
     # A posting looks at most _REACH words back, so an occurrence carries a short window in place of the whole file.
     seen = F.transform(indexed, lambda x: F.struct(x["w"].alias("w"), x["i"].alias("i"), F.slice("words", F.greatest(x["i"] - _REACH, F.lit(0)) + 1, 2 * _REACH).alias("near")))
-    rare = F.slice(F.array_intersect(F.array(*[F.lit(w) for w in known]), "words"), 1, rarest)
-    hits = cand.select(*keys, rare.alias("rare"), seen.alias("seen")).select(*keys, "rare", F.explode("seen").alias("x")).where(F.array_contains("rare", F.col("x.w")))
+    hits = cand.select(*keys, F.explode(seen).alias("x"))
     entries = [F.struct(F.lit(w).alias("word"), F.lit(idf).alias("idf"), F.lit(label).alias("label"), F.lit(back).alias("back"), F.array(*map(F.lit, phrase)).alias("phrase"), F.lit(whole).alias("whole")) for w, idf, label, back, phrase, whole in index]
     postings = rows.sparkSession.range(1).select(F.inline(F.array(*entries)))
     hits = hits.join(F.broadcast(postings), F.col("x.w") == F.col("word")).withColumn("at", F.col("x.i") - F.col("back")).where("at >= 0")
-    hits = hits.withColumn("stands", F.slice("x.near", F.col("at") - F.greatest(F.col("x.i") - _REACH, F.lit(0)) + 1, F.size("phrase")) == F.col("phrase"))
-    starts = hits.groupBy(*keys, "label", "at", "phrase", "whole").agg(F.bool_or("stands").alias("stands"), F.sum("idf").alias("weight"))
-    return starts.where("stands").groupBy(*keys, "label").agg(F.max(F.least(F.lit(1.0), F.col("weight") / F.col("whole"))).alias("score"))
+    # The window of an occurrence holds the phrase's whole place, so each posting tells by itself whether the phrase stands there.
+    stands = F.slice("x.near", F.col("at") - F.greatest(F.col("x.i") - _REACH, F.lit(0)) + 1, F.size("phrase")) == F.col("phrase")
+    starts = hits.where(stands).groupBy(*keys, "label", "at", "phrase", "whole").agg(F.sum("idf").alias("weight"))
+    return starts.groupBy(*keys, "label").agg(F.max(F.least(F.lit(1.0), F.col("weight") / F.col("whole"))).alias("score"))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

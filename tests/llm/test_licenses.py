@@ -48,3 +48,14 @@ def test_odd_rows_and_query(spark):
 
 def test_plan_has_no_python(spark):
     assert not re.search("Python|Pandas|Arrow", licenses.op4_licenses(spark, SF)._jdf.queryExecution().toString())
+
+
+def test_every_notice_of_a_file_is_found(spark):
+    mit = "Copyright (c) someone. Released under the MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy without charge."
+    prose = "Without a person there is no purpose, except that the author forms, without general version or public source, a domain where rights are granted. " * 40
+    notices = {t.label: t.notice for t in licenses.TEMPLATES}
+    rows = [(1, f"{mit} Licensed under the GNU General Public License version 3."), (2, f"{mit} Licensed under CC BY-NC 4.0."), (3, f"{mit} Licensed under CC BY-NC-SA 4.0."), (4, " ; ".join(notices.values()))]
+    rows += [(100 + i, f"{prose} {n}. {prose}") for i, n in enumerate(notices.values())]
+    of = {r.doc_id: set(r.labels) for r in licenses.scan_licenses(as_docs(spark, rows)).collect()}
+    assert {"mit", "gpl-3.0"} <= of[1] and {"mit", "cc-by-nc-4.0"} <= of[2] and {"mit", "cc-by-nc-sa-4.0"} <= of[3] and set(notices) <= of[4]
+    assert all(x in of[100 + i] for i, x in enumerate(notices))
