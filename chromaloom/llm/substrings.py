@@ -8,7 +8,7 @@ bytes that stands in two documents has a whole chunk in common. A chunk is
 known by a 64-bit digest; a run of neighbouring chunks counts from ``min_chars`` on,
 which takes several, so a chance equality of one digest has no effect.
 
-A chunk repeated in place, as in text of one word over and over, is one chunk with its
+A chunk repeated in place, as in text of one word over and over, is one row, whatever the
 number of repeats. Digests are pre-aggregated to the least and greatest document id; those of two documents
 are joined back, a join that splits hot digests, and the chunks of one document, which its
 own text bounds, are merged to spans. The chunk rows are made again for the join rather
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .textkit import mix64, segment_hashes, slices
+from .textkit import segment_hashes, slices
 
 GEAR_BITS = 16
 _SPAN = "struct<start:long,end:long,first_id:long>"
@@ -90,12 +90,9 @@ def chunked(text: bytes, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def folded(digests: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of one chunk repeated in place as a single chunk, whose digest depends on the number of repeats."""
+    """Runs of one chunk repeated in place as a single chunk with its own digest, so that runs of any number of repeats meet."""
     first = np.flatnonzero(np.concatenate(([True], digests[1:] != digests[:-1])))
-    n = np.diff(np.append(first, len(digests))).astype(np.uint64)
-    d = digests[first]
-    d = np.where(n > 1, mix64(d + n * np.uint64(0x9E3779B97F4A7C15)), d)
-    return d, points[first], points[np.append(first[1:], len(digests))]
+    return digests[first], points[first], points[np.append(first[1:], len(digests))]
 
 
 def chunk_rows(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:

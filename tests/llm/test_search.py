@@ -40,6 +40,12 @@ def test_insertion_moves_few_cuts():
     assert len(a - b) <= 6
 
 
+def test_lines_repeated_unlike_often_share_chunks():
+    for line in ("a line of thirty-two characters.\n", "w ", "a line of about sixty characters, period and all, no longer.\n"):
+        (a, start, end), (b, *_) = (substrings.chunked((line * n).encode(), 64) for n in (90, 91))
+        assert a[np.argmax(end - start)] in b  # the run of the repeated chunk
+
+
 def test_passages_over_fifty_words(spark):
     rng = random.Random(5)
     passages = [text(rng, 51 + i) for i in range(20)]
