@@ -3,19 +3,24 @@
 A 16-bit gear hash (each byte shifts the hash left and adds its table value, so it sees
 the last sixteen bytes) is taken at every byte; a chunk ends where the hash is the least
 of some window of ``window`` positions. Cuts depend on nearby bytes alone, so inserted
-text moves no cut beyond its own neighbourhood, and a passage of ``16 + 2 * window``
-bytes that stands in two documents has a whole chunk in common. A chunk is
-known by a 64-bit digest; a run of neighbouring chunks counts from ``min_chars`` on,
-which takes several, so a chance equality of one digest has no effect.
-
-A chunk repeated in place, as in text of one word over and over, is one row, whatever the
-number of repeats. Digests are pre-aggregated to the least and greatest document id; those of two documents
-are joined back, a join that splits hot digests, and the chunks of one document, which its
-own text bounds, are merged to spans. The chunk rows are made again for the join rather
-than stored: they cost less to make than to write.
+text moves no cut beyond its own neighbourhood, and a passage of ``18 + 2 * window``
+bytes that stands in two documents has a whole chunk in common. 51 words take 101 bytes
+at least, so a window of 40 leaves none out.
+
+1. A chunk is known by a 64-bit digest; a chunk repeated in place, as in text of one word
+   over and over, is one row, whatever the number of repeats. Digests are pre-aggregated to
+   the least and greatest document id; those of two documents are joined back, a join that
+   splits hot digests. The chunk rows are made again for the join rather than stored: they
+   cost less to make than to write.
+2. Common chunks only propose: around runs of them, widened by what a passage may have
+   outside its whole chunks, every ``min_words`` consecutive words are hashed, byte for byte
+   with what stands between them. Windows of one document with one hash that touch are one
+   row. Hashes of two documents are found as in step 1, and the windows that have them are
+   merged to spans. So a span is made of whole words, each in ``min_words`` that also stand in
+   another document; blanks at an edge of a text belong to a span if they repeat as well.
 
 Defined cases: null or empty texts have no chunks; repeats inside one document alone
-do not count; equal documents repeat as a whole; rows with a null id are not compared and
+do not count; equal documents of ``min_words`` repeat as a whole; rows with a null id are not compared and
 come back without spans; rows that share an id are one document; extra columns are not
 read; an empty table gives an empty result. Spans are code points, end exclusive.
 """
@@ -32,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .textkit import segment_hashes, slices
+from .textkit import _powers, _space_table, mix64, segment_hashes, slices
 
 GEAR_BITS = 16
 _SPAN = "struct<start:long,end:long,first_id:long>"
@@ -109,18 +114,85 @@ def chunk_rows(docs: DataFrame, id_col: str, text_col: str, window: int) -> Data
     return src.mapInArrow(run, "digest long, id long, span long")
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 64, min_chars: int = 160) -> DataFrame:
-    """``id_col, n_chars, spans``: of each document the passages that also stand in another one, with the least id that holds their first chunk."""
+def word_windows(text: bytes, hits: np.ndarray, window: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of every ``min_words`` consecutive words near common chunks, and their starts and ends in code points.
+
+    ``hits`` holds the chunks' starts in the high and their lengths in the low 32 bits.
+    """
+    buf = np.frombuffer(text, np.uint8)
+    gap = _space_table(False)[buf]
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).astype(np.int8)))
+    starts, ends = edge[0::2], edge[1::2]
+    n = len(starts) - min_words + 1
+    if n < 1:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    points = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))
+    lo, hi = points[starts[:n]], points[ends[min_words - 1 :]]
+    # A passage has less than 16 + window bytes before its first whole chunk and than window after its last one; cuts move on to a character.
+    hits = np.sort(hits)
+    left, right = (hits >> 32) - (window + 20), np.maximum.accumulate((hits >> 32) + (hits & 0xFFFFFFFF)) + (window + 4)
+    new = np.flatnonzero(np.concatenate(([True], (hits >> 32)[1:] > right[:-1] - (window + 4))))
+    left, right = left[new], right[np.append(new[1:] - 1, len(hits) - 1)]
+    # Widened runs ascend in both ends, so the last one that begins before a window is the one that reaches farthest.
+    at = np.searchsorted(left, lo, "right") - 1
+    near = np.flatnonzero((at >= 0) & (right[np.maximum(at, 0)] >= hi))
+    # The first and the last window of a text once more with the blanks at its edge.
+    first = near[:1] if len(near) and near[0] == 0 and starts[0] > 0 else near[:0]
+    last = near[-1:] if len(near) and near[-1] == n - 1 and ends[-1] < len(buf) else near[:0]
+    of_word = segment_hashes(buf, starts, ends, seed=31)
+    # A word with the blanks up to the next one; the last word of a window counts without them.
+    of_gap = segment_hashes(buf, ends[:-1], starts[1:], seed=37)
+    key = mix64(of_word[:-1] * np.uint64(3) + of_gap)
+    up, down = _powers(1 << len(key).bit_length())
+    sums = np.zeros(len(key) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(key * up[: len(key)], out=sums[1:])
+        h = (sums[near + min_words - 1] - sums[near]) * down[near]
+        h = mix64(mix64(h) + of_word[near + min_words - 1])
+        edges = []
+        for pick, a, b, salt in ((first, 0, int(starts[0]), 41), (last, int(ends[-1]), len(buf), 43)):
+            blank = segment_hashes(buf, np.array([a]), np.array([b]), seed=salt) if len(pick) else np.zeros(0, np.uint64)
+            edges.append(mix64(h[np.searchsorted(near, pick)] * np.uint64(5) + blank))
+    h = np.concatenate((h, *edges))
+    lo = np.concatenate((lo[near], np.zeros(len(first), np.int64), lo[last]))
+    hi = np.concatenate((hi[near], hi[first], np.full(len(last), points[-1])))
+    # Overlapping windows of one hash, as in a line over and over, are one row.
+    order = np.lexsort((lo, h))
+    h, lo, hi = h[order], lo[order], hi[order]
+    new = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (lo[1:] > hi[:-1]))))
+    return h[new], lo[new], hi[np.append(new[1:], len(h))[: len(new)] - 1]
+
+
+def _in_two(rows: DataFrame) -> DataFrame:
+    """digest, first_id: the digests of two documents at least. Written, so that both sides of a join with them come by an exchange of their own and a hot digest's side can be split."""
+    shared = rows.groupBy("digest").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id")
+    return written(shared.select("digest", "first_id"))
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 40, min_words: int = 51) -> DataFrame:
+    """``id_col, n_chars, spans``: of each document the passages of ``min_words`` words that also stand in another one, with the least id that holds a part of them."""
+    if 18 + 2 * window > 2 * min_words - 1:
+        raise ValueError(f"passages of {min_words} words may lie between chunks of window {window}")
     chunks = chunk_rows(docs, id_col, text_col, window)
-    shared = chunks.groupBy("digest").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id")
-    # Written, so that both sides of the join come by an exchange of their own and a hot digest's side can be split.
-    shared = written(shared.select("digest", "first_id"))
-    hits = chunks.join(shared, "digest").select("id", "span", "first_id")
-    own = hits.groupBy("id").agg(F.array_sort(F.collect_set(F.struct(F.shiftright("span", 32).alias("start"), F.col("span").bitwiseAND(0xFFFFFFFF).alias("n"), "first_id"))).alias("hits"))
+    near = chunks.join(_in_two(chunks), "digest").groupBy("id").agg(F.collect_list("span").alias("hits"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text <> ''")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, max_bytes=1 << 19):
+            found = [word_windows(t.as_py().encode("utf-8", "replace"), x.values.to_numpy(), window, min_words) for t, x in zip(part.column(1), part.column(2), strict=True)]
+            ids = np.repeat(part.column(0).to_numpy(), [len(x[0]) for x in found])
+            digest, lo, hi = (np.concatenate([x[i] for x in found]) for i in range(3))
+            for at in range(0, len(ids), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in (digest.view(np.int64), ids, (lo << 32) | (hi - lo))], ["digest", "id", "span"])
+
+    # Written, as they are read twice and cost a shuffle of texts.
+    windows = written(texts.join(near, "id").select("id", "text", "hits").mapInArrow(run, "digest long, id long, span long"))
+    hits = windows.join(_in_two(windows), "digest").select("id", "span", "first_id")
+    own = hits.groupBy("id").agg(F.collect_list(F.struct("span", "first_id")).alias("hits"))
 
     @F.pandas_udf(f"array<{_SPAN}>")
     def merged(hits: pd.Series) -> pd.Series:
-        return hits.map(lambda rows: merge_runs([(r["start"], r["start"] + r["n"], r["first_id"]) for r in rows], min_chars))
+        return hits.map(lambda rows: merge_runs([(r["span"] >> 32, (r["span"] >> 32) + (r["span"] & 0xFFFFFFFF), r["first_id"]) for r in rows]))
 
     spans = own.select(F.col("id").alias("_id"), merged("hits").alias("spans"))
     all_docs = docs.select(F.col(id_col), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_chars"))
@@ -128,16 +200,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return out.withColumn("spans", F.coalesce("spans", F.array().cast(f"array<{_SPAN}>")))
 
 
-def merge_runs(chunks: list[tuple[int, int, int]], min_chars: int) -> list[dict]:
-    """Runs of chunks that touch or overlap, from ``min_chars`` characters on."""
+def merge_runs(windows: list[tuple[int, int, int]]) -> list[dict]:
+    """Runs of windows that touch or overlap."""
     out: list[dict] = []
-    for start, end, first in sorted(chunks):
+    for start, end, first in sorted(windows):
         if out and start <= out[-1]["end"]:
             out[-1]["end"] = max(end, out[-1]["end"])
             out[-1]["first_id"] = min(first, out[-1]["first_id"])
         else:
             out.append({"start": start, "end": end, "first_id": first})
-    return [x for x in out if x["end"] - x["start"] >= min_chars]
+    return out
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -1,6 +1,7 @@
 """Repeated passages, benchmark leaks and top-k search."""
 
 import random
+import re
 from collections import Counter
 
 import duckdb
@@ -81,6 +82,65 @@ def test_repeats_taken_out(spark):
     assert got[1] == f"{a} {p}" and got[3] is None and got[2].startswith(b[:-20]) and len(got[2]) < len(b) + 180 and got[2].endswith(a[:20])
 
 
+def spans_by_brute_force(docs, n=51):
+    """Spans of the words that stand in ``n`` consecutive ones, blanks between them included, that another document has too."""
+    found = {}
+    for i, t in docs:
+        w = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+        found[i] = [(w[j][0], w[j + n - 1][1]) for j in range(len(w) - n + 1)]
+    held = {}
+    for i, t in docs:
+        for s, e in found[i]:
+            held.setdefault(t[s:e], set()).add(i)
+    out = {}
+    for i, t in docs:
+        out[i] = []
+        for s, e in found[i]:
+            if len(held[t[s:e]]) > 1:
+                if out[i] and s <= out[i][-1][1]:
+                    out[i][-1] = (out[i][-1][0], e)
+                else:
+                    out[i].append((s, e))
+    return out
+
+
+def spans_found(spark, docs):
+    return {r.doc_id: [(s.start, s.end) for s in r.spans] for r in substrings.repeated_passages(as_docs(spark, docs)).collect()}
+
+
+def test_passages_like_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.choice([1, 1, 1, 2, 3])))
+    docs = []
+    for i in range(0, 300, 2):
+        p = " ".join(word() for _ in range(rng.choice([50, 51, 51, 51, 52, 70])))
+        docs += [(i + j, f"{text(rng, rng.randint(1, 60))} {p} {text(rng, rng.randint(1, 60))}") for j in range(2)]
+    want = spans_by_brute_force(docs)
+    assert sum(bool(x) for x in want.values()) > 200 and not all(want.values())
+    assert spans_found(spark, docs) == want
+
+
+def test_lines_repeated_unlike_often(spark):
+    rng = random.Random(9)
+    docs = []
+    for k, size in enumerate([2, 33, 60, 64, 90]):
+        line = (" ".join(rng.choice("abcde") * rng.randint(1, 4) for _ in range(40)))[: size - 1].strip() + "\n"
+        docs += [(10 * k + j, f"{text(rng, 30)}\n{line * n}{text(rng, 30)}") for j, n in enumerate((60, 61))]
+    want = spans_by_brute_force(docs)
+    assert all(want.values())
+    assert spans_found(spark, docs) == want
+
+
+def test_passages_of_documents_like_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").where("text <> ''").collect()]
+    want, got = spans_by_brute_force(docs), spans_found(spark, docs)
+    edge = lambda t, s, e: (0 if not t[:s].strip(" \t\n\v\f\r") else s, len(t) if not t[e:].strip(" \t\n\v\f\r") else e)
+    texts = dict(docs)
+    assert got.keys() == want.keys() and any(want.values())
+    for i in got:
+        assert [edge(texts[i], *x) for x in got[i]] == [edge(texts[i], *x) for x in want[i]]
+
+
 def distance(p, t):
     row = [0] * (len(t) + 1)
     for i, a in enumerate(p):
