@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import EngineConfig
 from ..functions.genomic import beyond, distance_bin, in_band
 from ..operators import contacts as C
 from ..operators import decay as D
@@ -199,6 +200,7 @@ def expand_adjust(spark, d):
 
 
 KNN = 20
+K_WHOLE = EngineConfig().k
 _POINTS = f", pts as (select distinct chrom1 as chrom, start1, start2 from track where src = 'obs' and {_IN(FOCUS)} and abs(start1 - start2) > 1024)"
 
 
@@ -263,6 +265,37 @@ def kk_score(spark, d):
     return S.kk_norm(obs, exp, _focus_points(spark, d), KNN, 2 * KNN)
 
 
+def _whole_points(spark, d):
+    return C.distinct_points(C.pool([contacts(spark, d, "obs")], None, MIN_DIST))
+
+
+def _whole_knn(spark, d, src, k):
+    return knn_ranked(S._points(_whole_points(spark, d)), S._refs(C.pool([contacts(spark, d, src)], None, MIN_DIST), "contacts"), k)
+
+
+@query("knn_obs_whole")
+def knn_obs_whole(spark, d):
+    """Neighbours of every distinct contact of every chromosome at the default k; brute force in the tests."""
+    return _whole_knn(spark, d, "obs", K_WHOLE).select("point_id.*", "rn", "dist")
+
+
+@query("knn_exp_whole")
+def knn_exp_whole(spark, d):
+    return _whole_knn(spark, d, "exp", 2 * K_WHOLE).select("point_id.*", "rn", "dist")
+
+
+@query("ks_components_whole")
+def ks_components_whole(spark, d):
+    ranked = _whole_knn(spark, d, "obs", K_WHOLE).withColumn("src", F.lit("obs")).unionByName(_whole_knn(spark, d, "exp", 2 * K_WHOLE).withColumn("src", F.lit("exp")))
+    return K.ks_components(ranked, K_WHOLE, 2 * K_WHOLE).select("point_id.*", "max_d", "min_d")
+
+
+@query("kk_score_whole")
+def kk_score_whole(spark, d):
+    obs, exp = _both(spark, d)
+    return S.kk_norm(obs, exp, _whole_points(spark, d), K_WHOLE, 2 * K_WHOLE)
+
+
 @query("score_focus", _KS + f" select chrom, start1, start2, {_SCORE} from mm")
 def score_focus(spark, d):
     obs, exp = _both(spark, d)
