@@ -532,8 +532,8 @@ def shuffle_counts(spark, d):
 
 @query("shuffle_track")
 def shuffle_track(spark, d):
-    """An expected map after two sweeps; marginals and decay are held in the tests."""
-    return H.shuffle_track(contacts(spark, d, "obs"), sweeps=2)
+    """An expected map after the default sweeps; marginals and decay are held in the tests."""
+    return H.shuffle_track(contacts(spark, d, "obs"))
 
 
 @query("small_track_fallback", TRACK + """, s as (

@@ -4,6 +4,8 @@ from collections import defaultdict
 
 import numpy as np
 
+from chromaloom.config import EngineConfig
+from chromaloom.operators import shuffle
 from chromaloom.operators.ks import ks_score
 from chromaloom.plans.queries import QUERIES
 from chromaloom.sources.views import contacts
@@ -11,6 +13,7 @@ from chromaloom.sources.views import contacts
 from .conftest import SF
 
 K = 100
+ran = shuffle.shuffle_contacts
 
 
 def nearest(points, refs, k):
@@ -49,3 +52,10 @@ def test_every_contact_like_brute_force(spark):
         for r in rows:
             score = r.score if name == "kk_score_whole" else (r.max_d if -r.min_d < r.max_d else r.min_d) / 10
             assert abs(score - want[r.chrom, r.start1, r.start2]) < 1e-6
+
+
+def test_shuffle_query_mixes_by_the_default(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(shuffle, "shuffle_contacts", lambda *a, **b: seen.update(sweeps=a[5]) or ran(*a[:5], 0, *a[6:], **b))
+    QUERIES["shuffle_track"](spark, SF.replace("0.001", "0.01"))
+    assert seen == {"sweeps": EngineConfig().shuffle}
