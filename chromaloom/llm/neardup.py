@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -123,6 +124,17 @@ def _digest(shingles: np.ndarray) -> bytes:
     return np.array([x.sum(dtype=np.uint64), mix64(x ^ np.uint64(0xABCDEF)).sum(dtype=np.uint64) + np.uint64(len(x))], np.uint64).tobytes()
 
 
+@lru_cache(maxsize=8)
+def least_equal(count: int, share: float, missed: float = 1e-9) -> int:
+    """The largest number of equal minima under which a pair with ``share`` of equal ones in the mean falls with probability ``missed`` at most."""
+    below = 0.0
+    for k in range(count + 1):
+        below += math.comb(count, k) * share**k * (1 - share) ** (count - k)
+        if below > missed:
+            return k
+    return count
+
+
 def compare_blocks(sets_a: list, sets_b: list | None, sig_a: np.ndarray, sig_b: np.ndarray | None, count: int, per_cent: int) -> list[tuple[int, int]]:
     """Pairs (i, j) of linked sets; within one block (``sets_b`` None) those with i < j."""
     inner = sets_b is None
@@ -130,8 +142,8 @@ def compare_blocks(sets_a: list, sets_b: list | None, sig_a: np.ndarray, sig_b:
         sets_b, sig_b = sets_a, sig_a
     t = per_cent / 100
     by_chance = 1 / 2**BITS
-    spread = math.sqrt((t + (1 - t) * by_chance) * (1 - t) * (1 - by_chance) / count) / (1 - by_chance)
-    near = estimated(sig_a, sig_b, count) >= t - 6 * spread
+    least = (least_equal(count, t + (1 - t) * by_chance) - 0.5) / count
+    near = estimated(sig_a, sig_b, count) >= (least - by_chance) / (1 - by_chance)
     size_a, size_b = np.array([len(s) for s in sets_a]), np.array([len(s) for s in sets_b])
     near &= 100 * np.minimum(size_a[:, None], size_b[None]) >= per_cent * np.maximum(size_a[:, None], size_b[None])
     if inner:

@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 from itertools import combinations
@@ -84,3 +85,18 @@ def test_estimate_is_near_the_similarity():
 def test_chain_of_nodes(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 200), (7, 7)], "u long, v long")
     assert {(r.node, r.root) for r in components.connected_components(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (200, 100)}
+
+
+@pytest.mark.parametrize("count, per_cent", [(116, 85), (160, 80)])
+def test_bit_counts_lose_few_links(count, per_cent):
+    share = per_cent / 100 + (1 - per_cent / 100) / 2**neardup.BITS
+    least = neardup.least_equal(count, share) if hasattr(neardup, "least_equal") else 0
+    below = lambda k: sum(math.comb(count, i) * share**i * (1 - share) ** (count - i) for i in range(k))
+    kept = []
+    for equal in range(count + 1):
+        a, b = np.zeros(count, np.uint32), np.arange(count, dtype=np.uint32) >= equal
+        sig = [neardup.packed_bits(x)[None] for x in (a, b.astype(np.uint32))]
+        s = np.arange(50, dtype=np.uint64)
+        if neardup.compare_blocks([s], [s], *sig, count, per_cent):
+            kept.append(equal)
+    assert below(kept[0]) <= 1e-9 and kept[0] == least
