@@ -196,15 +196,25 @@ def test_leaks_odd_rows(spark):
 
 def test_top_k_like_sql(spark):
     rows = [(i, None if i % 7 == 0 else [float(j * i % 5) / 3 for j in range(3 if i % 5 else 4)]) for i in range(130)]
-    rows += [(140, [float("nan")]), (160, [1.0, None, 2.0]), (None, [1.0, 2.0, 3.0]), (1000, []), (1020, []), (1040, [float("inf")] * 3), (21, rows[21][1])]
+    rows += [(140, [float("nan")]), (160, [1.0, None, 2.0]), (None, [1.0, 2.0, 3.0]), (1000, []), (1020, []), (1040, [float("inf")] * 3), (21, rows[21][1]), (40, rows[40][1]), (20, [5.0, 5.0, 5.0])]
     con = duckdb.connect()
     con.register("embeddings", pa.table({"vec_id": pa.array([r[0] for r in rows], pa.int64()), "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float32()))}))
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = sorted(tuple(r) for r in topk.exact_top_k(df, row_block=16, query_block=2).collect())
     assert got == sorted(con.execute(topk.OP9_SQL).fetchall())
-    joined = topk.exact_top_k(df, row_block=16, query_block=2, broadcast_bytes=0)
+    joined = topk.exact_top_k(df, row_block=16, query_block=2, broadcast_bytes=0, group_rows=20)
     assert sorted(tuple(r) for r in joined.collect()) == got
     assert topk.exact_top_k(df.limit(0)).count() == 0
+    clash = df.selectExpr("vec_id", "embedding", "'x' as id", "'x' as v", "'x' as row", "'x' as score", "'x' as qb")
+    assert sorted(tuple(r) for r in topk.exact_top_k(clash).collect()) == got
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        topk.exact_top_k(df.selectExpr("'a' as vec_id", "embedding")).count()
+
+
+def test_equal_rows_are_candidates_of_each_other(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (20, [1.0, 1.0]), (20, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in topk.exact_top_k(df).collect())
+    assert got == sorted([(20, 1, 20, 8192), (20, 2, 1, 4096), (20, 3, 1, 4096)] * 2)
 
 
 def test_bounds_stop_early_and_stay_exact():
@@ -212,8 +222,8 @@ def test_bounds_stop_early_and_stay_exact():
     centres = rng.integers(-900, 900, (6, 8))
     x = centres[rng.integers(0, 6, 4000)] + rng.integers(-3, 4, (4000, 8))
     ids = rng.permutation(4000)
-    got = topk.top_of_block(x[:5], ids[:5], x, ids, x[:24].astype(float), 20)
+    got = topk.top_of_block(x[:5], ids[:5], x, ids, ids, x[:24].astype(float), 20)
     for i in range(5):
         s = x @ x[i]
         want = sorted((-int(s[j]), int(ids[j])) for j in range(4000) if ids[j] != ids[i])[:20]
-        assert [(-c, b) for a, b, c in got if a == ids[i]] == want
+        assert [(-c, b) for a, b, c in got if a == i] == want
