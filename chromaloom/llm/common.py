@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -19,8 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; one of our own only where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints"
+    """The shared folder named by the cluster; one of our own only where it is unset and everything runs in one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or f"{tempfile.gettempdir()}/checkpoints"
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -42,7 +46,16 @@ def keep_rows(docs: DataFrame, text_col: str, keep: Callable[[list], np.ndarray]
     return docs.mapInArrow(run, docs.schema)
 
 
-def matched(docs: DataFrame, ids: DataFrame, key: str, how: str, most: int = 1_000_000) -> DataFrame:
-    """``docs`` with (left_semi) or without (left_anti) the ids. Up to ``most`` ids are broadcast, so that no text is shuffled; more are joined."""
-    ids = written(ids.select(key).distinct())
-    return docs.join(F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids, key, how)
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def matched(docs: DataFrame, ids: DataFrame, keys: list[str], how: str, most: int = 32 << 20) -> DataFrame:
+    """``docs`` with (left_semi) or without (left_anti) the keys. Up to ``most`` bytes of keys are broadcast, so that no text is shuffled; more are joined."""
+    ids = written(ids.select(keys).distinct())
+    size = sum((F.coalesce(F.length(F.col(k).cast("string")), F.lit(0)) + 16 for k in keys), F.lit(0)).cast("long")
+    return docs.join(F.broadcast(ids) if (ids.agg(F.sum(size)).first()[0] or 0) <= most else ids, keys, how)

@@ -1,7 +1,8 @@
 """Connected components by alternating large and small stars, on DataFrames.
 
-Each round replaces a node's edges by edges to the least node it knows; rounds are
-logarithmic in practice, each is two aggregations and joins that pre-aggregate and split hot nodes,
+Each round replaces a node's edges by edges to the least node it knows, until a round changes
+nothing; every round but the last lowers the sum of the smaller ends, so the loop ends, and rounds are
+logarithmic in practice. Each is two aggregations and joins that pre-aggregate and split hot nodes,
 and each result is written to the shared folder, so a lost executor costs one round.
 """
 
@@ -32,18 +33,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """edges: u, v of any ordered type. Returns ``node, root``: of every node with an edge, the least node reachable."""
     kind = edges.schema["u"].dataType.simpleString()
     now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
-    for _ in range(max_rounds):
+    while True:
         now = written(_star(_star(now, True), False))
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == mark:
             break
         mark = new
-    else:
-        raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots).select(F.col("node").cast(kind), F.col("root").cast(kind))

@@ -223,7 +223,7 @@ def _confirmed(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame,
     members = members.select("first_id", "digest", "root", "blocks", F.pmod(F.hash("digest"), "blocks").alias("own"))
     texts = docs.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text"))
     members = written(members)
-    members = matched(texts, members, "first_id", "left_semi").join(members, "first_id")
+    members = matched(texts, members, ["first_id"], "left_semi").join(members, "first_id")
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, max_bytes=1 << 20):

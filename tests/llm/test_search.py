@@ -71,14 +71,18 @@ def test_substrings_odd_rows(spark):
     twice = substrings.repeated_passages(as_docs(spark, [(1, "w " * 3000), (2, "w " * 3000), (3, None)])).collect()
     assert {r.doc_id: [(s.start, s.end) for s in r.spans] for r in twice} == {1: [(0, 6000)], 2: [(0, 6000)], 3: []}
     assert substrings.repeated_passages(as_docs(spark, []).limit(0)).count() == 0
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        substrings.repeated_passages(spark.createDataFrame([("a", "x y")], "doc_id string, text string")).count()
     assert substrings.op7_substrings(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
 
 
 def test_repeats_taken_out(spark):
     rng = random.Random(6)
     p, a, b = text(rng, 70), text(rng, 40), text(rng, 40)
-    docs = as_docs(spark, [(1, f"{a} {p}"), (2, f"{b} {p} {a[:20]}"), (3, None)])
-    got = {r.doc_id: r.text for r in substrings.without_repeats(docs).collect()}
+    docs = as_docs(spark, [(1, f"{a} {p}"), (2, f"{b} {p} {a[:20]}"), (3, None)]).selectExpr("*", "'x' as _key", "'y' as _spans", "'z' as spans")
+    left = substrings.without_repeats(docs)
+    assert left.columns == docs.columns and {(r._key, r._spans, r.spans) for r in left.collect()} == {("x", "y", "z")}
+    got = {r.doc_id: r.text for r in left.collect()}
     assert got[1] == f"{a} {p}" and got[3] is None and got[2].startswith(b[:-20]) and len(got[2]) < len(b) + 180 and got[2].endswith(a[:20])
 
 
