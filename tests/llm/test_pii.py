@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from chromaloom.llm import pii
@@ -41,6 +42,9 @@ def test_added_kinds_and_context(spark):
     t = 'IBAN GB82 WEST 1234 5698 7654 32, not GB82 WEST 1234 5698 7654 33. token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" call (602) 555-5136 or +1 (602) 555-5136'
     spans = pii.find_pii(as_docs(spark, [(1, t)])).first().pii_spans
     assert [s.kind for s in spans] == ["phone", "iban", "local_phone", "secret"]
+    kinds = lambda x: [s.kind for s in pii.find_pii(as_docs(spark, [(1, x)])).first().pii_spans]
+    assert kinds("see 234 567 8901 units") == [] and kinds("call 234 567 8901") == ["local_phone"] and kinds("phone " + "x" * 40 + " 234 567 8901") == []
+    assert kinds('secret = "abcdefghijklmnop"') == [] and kinds('login secret = "abcdefghijklmnop"') == ["secret"] and kinds('secret = "abcdefgh1jklmnop"') == ["secret"]
     plain, near = (pii.find_pii(as_docs(spark, [(1, x)])).first().pii_spans[0].score for x in ("see a@b.cd", "e-mail: a@b.cd"))
     assert near > plain
 
@@ -53,6 +57,8 @@ def test_redaction(spark):
 
 def test_odd_rows_and_query(spark):
     assert pii.find_pii(odd_docs(spark)).count() == len(ODD)
+    with pytest.raises(ValueError):
+        pii.find_pii(odd_docs(spark), spans_col="Spans")
     assert pii.find_pii(as_docs(spark, []).limit(0)).count() == 0
     import hashlib
 
