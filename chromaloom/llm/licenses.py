@@ -4,13 +4,14 @@ Base: places where the words of a fixed phrase stand consecutively. They are fou
 one linear pattern; a place's word number is the count of words in the gaps before it.
 
 Method: each template is a short notice. Words that few templates use are indexed with
-their positions. All indexed words of a file are looked up; each posting proposes that the
-template starts at a certain word of the file, a start is kept where a mandatory key phrase
-stands at its place, and the weights of postings that agree on it are summed. The index has
+their positions. All indexed words of a file are looked up; each posting proposes that a
+key phrase of the template starts at a certain word of the file, a start is kept where the
+mandatory phrase stands at its place, and the weights of the postings that agree on it are summed:
+the score is their share of the weights of all indexed words of the notice. The index has
 a fixed number of rows, so it is broadcast; only agreeing starts are shuffled, keyed by row.
 
 Defined cases: a null or empty text has no words, no labels and score 0; null ids are
-carried through; repeated rows are scanned each; extra columns are not read; an empty
+carried through; repeated rows are scanned each and score as one alone does; extra columns are not read; an empty
 table gives an empty result.
 """
 
@@ -26,7 +27,6 @@ from .common import table
 
 _SEP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-_REACH = 24
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
 
@@ -60,7 +60,7 @@ FUNCTION_WORDS = frozenset("a all and any are by code copy file for form free in
 
 
 def index_rows(templates: tuple[Template, ...] = TEMPLATES) -> list[tuple[str, float, str, int, list[str], float]]:
-    """Postings: word, weight, label, the word's place before a key phrase's start (negative: after), the phrase, the phrase's whole weight."""
+    """Postings: word, weight, label, the word's place counted from a key phrase's start, the phrase, the weight of all postings of the two."""
     of = {t.label: {w for k in (*t.keys, t.notice) for w in k.split()} for t in templates}
     df: dict[str, int] = {}
     for words in of.values():
@@ -118,25 +118,30 @@ def _places(text: Column, phrases: dict[str, str]) -> Column:
     return F.when(text.rlike(_needed(list(phrases))), found).otherwise(none)
 
 
-def template_matches(rows: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+def template_matches(rows: DataFrame, keys: list[str], text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """``keys``, label, score: the templates accepted in each row; rows that share ``keys`` must share the text."""
-    index = index_rows()
-    vocabulary = sorted({(-idf, w) for w, idf, *_ in index})
+    index = index_rows(templates)
+    known = sorted({w for w, *_ in index})
+    # How far before and after an indexed word a phrase that it proposes may reach.
+    before = max(0, *(place for *_, place, _, _ in index))
+    after = max(len(phrase) - place for *_, place, phrase, _ in index)
     cand = rows.where(F.col(text_col).rlike(_needed([" ".join(phrase) for *_, phrase, _ in index])))
     words = F.transform(F.filter(F.split(text_col, f"{_SEP}+", -1), lambda w: w != ""), lambda w: F.lower(w))
     cand = cand.select(*keys, words.alias("words"))
-    known = [w for _, w in vocabulary]
     indexed = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(known))
-    # A posting looks at most _REACH words back, so an occurrence carries a short window in place of the whole file.
-    seen = F.transform(indexed, lambda x: F.struct(x["w"].alias("w"), x["i"].alias("i"), F.slice("words", F.greatest(x["i"] - _REACH, F.lit(0)) + 1, 2 * _REACH).alias("near")))
+    # An occurrence carries the words that a phrase may stand on in place of the whole file.
+    first = lambda x: F.greatest(x["i"] - before, F.lit(0))
+    seen = F.transform(indexed, lambda x: F.struct(x["w"].alias("w"), x["i"].alias("i"), F.slice("words", first(x) + 1, before + after).alias("near")))
     hits = cand.select(*keys, F.explode(seen).alias("x"))
-    entries = [F.struct(F.lit(w).alias("word"), F.lit(idf).alias("idf"), F.lit(label).alias("label"), F.lit(back).alias("back"), F.array(*map(F.lit, phrase)).alias("phrase"), F.lit(whole).alias("whole")) for w, idf, label, back, phrase, whole in index]
+    entries = [F.struct(F.lit(w).alias("word"), F.lit(idf).alias("idf"), F.lit(label).alias("label"), F.lit(place).alias("place"), F.array(*map(F.lit, phrase)).alias("phrase"), F.lit(whole).alias("whole")) for w, idf, label, place, phrase, whole in index]
     postings = rows.sparkSession.range(1).select(F.inline(F.array(*entries)))
-    hits = hits.join(F.broadcast(postings), F.col("x.w") == F.col("word")).withColumn("at", F.col("x.i") - F.col("back")).where("at >= 0")
+    hits = hits.join(F.broadcast(postings), F.col("x.w") == F.col("word")).withColumn("at", F.col("x.i") - F.col("place")).where("at >= 0")
     # The window of an occurrence holds the phrase's whole place, so each posting tells by itself whether the phrase stands there.
-    stands = F.slice("x.near", F.col("at") - F.greatest(F.col("x.i") - _REACH, F.lit(0)) + 1, F.size("phrase")) == F.col("phrase")
-    starts = hits.where(stands).groupBy(*keys, "label", "at", "phrase", "whole").agg(F.sum("idf").alias("weight"))
-    return starts.groupBy(*keys, "label").agg(F.max(F.least(F.lit(1.0), F.col("weight") / F.col("whole"))).alias("score"))
+    stands = F.slice("x.near", F.col("at") - first(F.col("x")) + 1, F.size("phrase")) == F.col("phrase")
+    # A set, since rows with the same keys bring the same postings again.
+    starts = hits.where(stands).groupBy(*keys, "label", "at", "phrase", "whole").agg(F.collect_set(F.struct("place", "idf")).alias("agree"))
+    weight = F.aggregate("agree", F.lit(0.0), lambda total, p: total + p["idf"])
+    return starts.groupBy(*keys, "label").agg(F.max(F.least(F.lit(1.0), weight / F.col("whole"))).alias("score"))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,5 +1,9 @@
+import math
+import random
 import re
 
+import pytest
+
 from chromaloom.llm import licenses
 
 from ..conftest import SF
@@ -59,3 +63,48 @@ def test_every_notice_of_a_file_is_found(spark):
     of = {r.doc_id: set(r.labels) for r in licenses.scan_licenses(as_docs(spark, rows)).collect()}
     assert {"mit", "gpl-3.0"} <= of[1] and {"mit", "cc-by-nc-4.0"} <= of[2] and {"mit", "cc-by-nc-sa-4.0"} <= of[3] and set(notices) <= of[4]
     assert all(x in of[100 + i] for i, x in enumerate(notices))
+
+
+def method_by_brute_force(t):
+    """Label and score of every template whose key phrase stands in the words of ``t``, straight from the notices."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(t))
+    used = {x.label: {y for k in (x.notice, *x.keys) for y in k.split()} for x in licenses.TEMPLATES}
+    weight = lambda y: 0 if y in licenses.FUNCTION_WORDS or y.isdigit() else 1 + math.log(len(used) / sum(y in u for u in used.values()))
+    best = {}
+    for x in licenses.TEMPLATES:
+        for key in x.keys:
+            phrase, notice = key.split(), x.notice.split()
+            at = [i for i in range(len(notice)) if notice[i : i + len(phrase)] == phrase][:1]
+            ring = [(i - at[0], y) for i, y in enumerate(notice)] if at else list(enumerate(phrase))
+            whole = sum(weight(y) for _, y in ring)
+            for s in range(len(w) - len(phrase) + 1):
+                if w[s : s + len(phrase)] == phrase and any(weight(y) for y in phrase):
+                    got = sum(weight(y) for i, y in ring if 0 <= s + i < len(w) and w[s + i] == y)
+                    best[x.label] = max(best.get(x.label, 0), min(1, got / whole))
+    return best
+
+
+def test_labels_and_scores_like_brute_force(spark):
+    rng = random.Random(3)
+    notices = [t.notice for t in licenses.TEMPLATES] + [k for t in licenses.TEMPLATES for k in t.keys]
+    texts = [*notices, *TEXTS, " . ".join(notices)]
+    for _ in range(120):
+        parts = []
+        for n in rng.sample(notices, rng.randint(1, 4)):
+            w = n.split()
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = rng.choice(["license", "public", "other", "version"])
+            parts.append(rng.choice([" ", ", ", "\n"]).join(w[rng.choice([0, 0, 1, 3]) :]))
+        texts.append(rng.choice([" ", " and some words ", "; "]).join(parts))
+    texts = dict(enumerate(texts))
+    for r in licenses.scan_licenses(as_docs(spark, list(texts.items()))).collect():
+        want = method_by_brute_force(texts[r.doc_id])
+        n, places = brute(texts[r.doc_id])
+        assert set(r.labels) == set(want) | {x for _, x in places}
+        assert r.score == pytest.approx(max([*want.values(), 0.5 * bool(places), 0]))
+
+
+def test_a_repeated_row_scores_as_one(spark):
+    t = "see the mit license here"
+    one, *many = (licenses.scan_licenses(as_docs(spark, [(1, t)] * n)).collect() for n in (1, 2, 5))
+    assert all(r.score == one[0].score and r.labels == one[0].labels for rows in many for r in rows) and [len(x) for x in many] == [2, 5]
