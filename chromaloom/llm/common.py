@@ -46,6 +46,35 @@ def keep_rows(docs: DataFrame, text_col: str, keep: Callable[[list], np.ndarray]
     return docs.mapInArrow(run, docs.schema)
 
 
+def grouped(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows of equal keys side by side in one partition, for ``whole_groups``."""
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of equal keys (integers, not null) from sorted batches, and the groups' edges; only a group cut by a batch waits."""
+    held: pa.Table | None = None
+
+    def edges(t: pa.Table) -> np.ndarray:
+        differ = np.zeros(max(t.num_rows - 1, 0), bool)
+        for k in keys:
+            v = t.column(k).to_numpy()
+            differ |= v[1:] != v[:-1]
+        return np.concatenate(([0], np.flatnonzero(differ) + 1, [t.num_rows]))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([held, t]) if held is not None else t
+        at = edges(t)
+        if len(at) > 2:
+            yield t.slice(0, at[-2]), at[:-1]
+        held = t.slice(at[-2])
+    if held is not None:
+        yield held, edges(held)
+
+
 def unused(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have, in any case of letters."""
     taken = {c.lower() for c in df.columns}

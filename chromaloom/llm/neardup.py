@@ -6,20 +6,26 @@
    follows from the threshold, so that a pair at it misses all bands with probability
    under ``miss`` (1e-9).
 2. Documents of the same set (128-bit digest) form one class; classes go on.
-3. Every class is tied to the least class of each of its band buckets; components of
-   these ties are coarse groups, which hold every candidate pair. Ties are linear in the
-   number of buckets; no pair within a bucket is emitted.
-4. A coarse group is cut by hash into blocks of about ``block`` classes, and pairs of
-   blocks are compared in one task each: the signatures' equal-bit counts, corrected for
-   chance agreement, rule out pairs that lie beyond six standard deviations under the
-   threshold, and the rest is decided on the full sets by sparse matrix counts. Each task
-   returns a spanning forest of the links and the counts of links.
-5. Components of the confirmed links give the component ids.
+3. Candidates are pairs of classes that share a band bucket and whose signatures' equal-bit
+   counts, corrected for chance agreement, do not rule out the threshold. Buckets are cut by
+   hash into blocks of about ``block`` classes, so no task holds a whole bucket; only
+   signatures (some 50 bytes a class and bucket) move here.
+4. First every class brings its best candidate among the smaller classes of its bucket blocks, one pair a
+   class; a bucket's least class is in each of its blocks. These are confirmed on the full sets, and components
+   of the confirmed links are made. Then only buckets that still hold two components are met again, block
+   by block, for all candidate pairs between components, and these are confirmed too. So no pair inside
+   a component that is known already is looked at, and groups of very many copies cost one pair a class.
+5. Pairs are confirmed in tiles of some 256 classes of a bucket: a text is sent once to a tile, not once a pair.
+6. Components of the confirmed links give the component ids. Classes with over 1/4096 of all rows, at most
+   4096 of them, are joined to their documents by broadcast, so no exchange piles up a large class.
+
+Documents are compared by sets of 64-bit shingle hashes: two different shingles of a pair agree by chance with
+probability under 10**-9 for sets of 10**5, and then move the similarity by one shingle. Classes are told by 128 bits.
 
 Defined cases: a document without words, or null, has the empty set and is linked with
 nothing; fewer words than a shingle make one shingle; repeated rows are copies of each
-other; rows with a null id take part, but never name a component; extra columns are not
-read; an empty table gives an empty result.
+other; rows with a null id take part, but never name a component, and texts that only rows without an id hold are
+linked with their copies only; extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,12 +35,11 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import matched, table, written
+from .common import grouped, matched, table, whole_groups, written
 from .components import connected_components
 from .textkit import lowered, mix64, slices, word_hashes
 
@@ -98,25 +103,30 @@ def estimated(a: np.ndarray, b: np.ndarray, count: int, bits: int = BITS) -> np.
 
 
 def _signatures(docs: DataFrame, id_col: str, text_col: str, words: int, count: int) -> DataFrame:
-    """id, n, digest (null for the empty set), bands."""
+    """id, text_key, n, digest (null for the empty set), bands, sig."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, max_bytes=1 << 20):
-            n, digests, bands = [], [], []
-            for s in shingle_sets(part.column(1).to_pylist(), words):
+            n, digests, bands, sigs = [], [], [], []
+            for s in shingle_sets(part.column(2).to_pylist(), words):
                 n.append(len(s))
-                digests.append(_digest(s) if len(s) else None)
-                keys = minima(s, count).reshape(-1, ROWS).astype(np.uint64) if len(s) else None
-                key = np.zeros(count // ROWS, np.uint64)
-                for r in range(ROWS if len(s) else 0):
+                if not len(s):
+                    digests, bands, sigs = [*digests, None], [*bands, None], [*sigs, None]
+                    continue
+                digests.append(_digest(s))
+                least = minima(s, count)
+                keys = least.reshape(-1, ROWS).astype(np.uint64)
+                key = np.arange(count // ROWS, dtype=np.uint64)  # a band's number is part of its keys
+                for r in range(ROWS):
                     key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + keys[:, r] + np.uint64(1))
-                bands.append(key.view(np.int64).tolist() if len(s) else None)
-            arrays = [part.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "digest", "bands"])
+                bands.append(key.view(np.int64))
+                sigs.append(packed_bits(least).tobytes())
+            arrays = [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "text_key", "n", "digest", "bands", "sig"])
 
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, f"id {id_type}, n long, digest binary, bands array<long>")
+    src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    return src.mapInArrow(run, f"id {id_type}, text_key long, n long, digest binary, bands array<long>, sig binary")
 
 
 def _digest(shingles: np.ndarray) -> bytes:
@@ -135,129 +145,167 @@ def least_equal(count: int, share: float, missed: float = 1e-9) -> int:
     return count
 
 
-def compare_blocks(sets_a: list, sets_b: list | None, sig_a: np.ndarray, sig_b: np.ndarray | None, count: int, per_cent: int) -> list[tuple[int, int]]:
-    """Pairs (i, j) of linked sets; within one block (``sets_b`` None) those with i < j."""
-    inner = sets_b is None
-    if inner:
-        sets_b, sig_b = sets_a, sig_a
-    t = per_cent / 100
-    by_chance = 1 / 2**BITS
+def candidates(sig_a: np.ndarray, n_a: np.ndarray, sig_b: np.ndarray, n_b: np.ndarray, count: int, per_cent: int) -> np.ndarray:
+    """Estimated similarity of all rows of a to all of b; -inf where the bits or the set sizes rule a link out."""
+    t, by_chance = per_cent / 100, 1 / 2**BITS
     least = (least_equal(count, t + (1 - t) * by_chance) - 0.5) / count
-    near = estimated(sig_a, sig_b, count) >= (least - by_chance) / (1 - by_chance)
-    size_a, size_b = np.array([len(s) for s in sets_a]), np.array([len(s) for s in sets_b])
-    near &= 100 * np.minimum(size_a[:, None], size_b[None]) >= per_cent * np.maximum(size_a[:, None], size_b[None])
-    if inner:
-        near = np.triu(near, 1)
-    rows, cols = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
-    if not len(rows):
-        return []
-    both = np.zeros((len(rows), len(cols)), np.int64)
-    flat_a, flat_b = np.concatenate([sets_a[i] for i in rows]), np.concatenate([sets_b[j] for j in cols])
-    of_a, of_b = np.repeat(np.arange(len(rows)), size_a[rows]), np.repeat(np.arange(len(cols)), size_b[cols])
-    shared = np.intersect1d(flat_a, flat_b)
-    at_a, at_b = np.searchsorted(shared, flat_a), np.searchsorted(shared, flat_b)
-    if len(shared):
-        in_a, in_b = shared[np.minimum(at_a, len(shared) - 1)] == flat_a, shared[np.minimum(at_b, len(shared) - 1)] == flat_b
-        at_a, of_a, at_b, of_b = at_a[in_a], of_a[in_a], at_b[in_b], of_b[in_b]
-        for lo in range(0, len(shared), 4096):  # so many shingles at a time bound the dense counts
-            a, b = np.zeros((len(rows), 4096), np.float32), np.zeros((len(cols), 4096), np.float32)
-            pick_a, pick_b = (at_a >= lo) & (at_a < lo + 4096), (at_b >= lo) & (at_b < lo + 4096)
-            a[of_a[pick_a], at_a[pick_a] - lo] = 1
-            b[of_b[pick_b], at_b[pick_b] - lo] = 1
-            both += np.rint(a @ b.T).astype(np.int64)
-    union = size_a[rows][:, None] + size_b[cols][None] - both
-    linked = (100 * both >= per_cent * union) & near[np.ix_(rows, cols)]
-    return [(int(rows[i]), int(cols[j])) for i, j in zip(*np.nonzero(linked), strict=True)]
-
-
-def spanning(pairs: list[tuple]) -> list[tuple]:
-    """Of the pairs, a forest with the same components."""
-    parent: dict = {}
-
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    kept = []
-    for a, b in pairs:
-        x, y = root(a), root(b)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            kept.append((a, b))
-    return kept
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, per_cent: int = 80, block: int = 64) -> DataFrame:
-    """``id_col, n_shingles, component_id, n_links, digest``: the least id reachable over links, and the links to different sets.
-
-    Documents are linked when 100 * shared shingles >= ``per_cent`` * all shingles of the two.
+    near = estimated(sig_a, sig_b, count)
+    fits = 100 * np.minimum(n_a[:, None], n_b[None]) >= per_cent * np.maximum(n_a[:, None], n_b[None])
+    return np.where((near >= (least - by_chance) / (1 - by_chance)) & fits, near, -np.inf)
+
+
+def _unpacked(t: pa.Table) -> np.ndarray:
+    flat = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64)
+    return flat.reshape(t.num_rows, BITS, -1)
+
+
+def _classes(sigs: DataFrame) -> DataFrame:
+    """cid, digest, first_id, size, n, bands, sig of every set of shingles; cid numbers them, so keys are 8 bytes from here on."""
+    by = sigs.where("digest is not null").groupBy("digest")
+    found = by.agg(F.min("id").alias("first_id"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    return written(found.withColumn("cid", F.monotonically_increasing_id()))
+
+
+def _members(classes: DataFrame, block: int) -> DataFrame:
+    """key, cid, lead (least class of the bucket), blocks, tiles, n, sig: the classes of every bucket that two share."""
+    buckets = classes.select("cid", "n", F.explode("bands").alias("key"))
+    shared = buckets.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("weight"), F.min("cid").alias("lead")).where("m > 1")
+    tiles = F.ceil(F.greatest(F.col("m") / 128, F.col("weight") / (1 << 17))).cast("int")
+    # Written, so that both sides of the join have an exchange of their own and a common bucket's side can be split.
+    shared = written(shared.select("key", "lead", F.ceil(F.col("m") / block).cast("int").alias("blocks"), tiles.alias("tiles")))
+    return written(buckets.drop("n").join(shared, "key").join(classes.select("cid", "n", "sig"), "cid"))
+
+
+def _best(members: DataFrame, count: int, per_cent: int) -> DataFrame:
+    """a, b, key, tiles: of each class the candidate of highest estimate among the smaller ones of its bucket blocks."""
+    own = F.array(F.pmod(F.hash("cid", "key"), "blocks"))
+    part = F.explode(F.when(F.col("cid") == F.col("lead"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own))
+    rows = members.select("key", part.alias("part"), "cid", "tiles", "n", "sig")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, edge in whole_groups(batches, ["key", "part"]):
+            sig, n, cid = _unpacked(t), t.column("n").to_numpy(), t.column("cid").to_numpy()
+            out = []
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                for a in range(lo, hi, 256):
+                    b = min(a + 256, hi)
+                    near = candidates(sig[a:b], n[a:b], sig[lo:b], n[lo:b], count, per_cent)
+                    near[np.arange(lo, b)[None] >= np.arange(a, b)[:, None]] = -np.inf  # smaller classes only
+                    at = near.argmax(1)
+                    best = near[np.arange(b - a), at]
+                    out.append((np.flatnonzero(best > -np.inf) + a, at[best > -np.inf] + lo, best[best > -np.inf]))
+            i, j, est = (np.concatenate([x[k] for x in out]) for k in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(cid[i]), pa.array(cid[j]), pa.array(est), t.column("key").take(i).combine_chunks(), t.column("tiles").take(i).combine_chunks()], ["a", "b", "est", "key", "tiles"])
+
+    found = grouped(rows, ["key", "part"], ["cid"]).mapInArrow(run, "a long, b long, est double, key long, tiles int")
+    return found.groupBy("a").agg(F.max(F.struct("est", "b", "key", "tiles")).alias("x")).select("a", "x.b", "x.key", "x.tiles")
+
+
+def _between(members: DataFrame, roots: DataFrame, count: int, per_cent: int) -> DataFrame:
+    """a, b, key, tiles: the candidate pairs of different components that share a bucket; ``roots`` are the components known so far."""
+    seen = written(members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root"))
+    open_keys = written(seen.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key"))
+    rows = seen.join(open_keys, "key").withColumn("own", F.pmod(F.hash("cid", "key"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "cid", "comp", "tiles", "n", "sig")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, edge in whole_groups(batches, ["key", "one", "two"]):
+            sig, n, cid, comp, own = _unpacked(t), *(t.column(c).to_numpy() for c in ("n", "cid", "comp", "own"))
+            two = t.column("two").to_numpy()
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                # Rows ascend by their block: those of ``one`` come first, and inside one block all meet all before them.
+                split = lo + int(np.searchsorted(own[lo:hi], two[lo]))
+                for a in range(lo if split == lo else split, hi, 256):
+                    b = min(a + 256, hi)
+                    end = b if split == lo else split
+                    near = candidates(sig[a:b], n[a:b], sig[lo:end], n[lo:end], count, per_cent)
+                    near[comp[a:b][:, None] == comp[lo:end][None]] = -np.inf
+                    if split == lo:
+                        near[np.arange(lo, end)[None] >= np.arange(a, b)[:, None]] = -np.inf
+                    i, j = np.nonzero(near > -np.inf)
+                    i, j = i + a, j + lo
+                    for s in range(0, len(i), 50_000):
+                        x, y = i[s : s + 50_000], j[s : s + 50_000]
+                        cols = [np.maximum(cid[x], cid[y]), np.minimum(cid[x], cid[y])]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, cols), t.column("key").take(x).combine_chunks(), t.column("tiles").take(x).combine_chunks()], ["a", "b", "key", "tiles"])
+
+    found = grouped(rows, ["key", "one", "two"], ["own", "cid"]).mapInArrow(run, "a long, b long, key long, tiles int")
+    return found.groupBy("a", "b").agg(F.min(F.struct("key", "tiles")).alias("x")).select("a", "b", "x.key", "x.tiles")
+
+
+def linked(a: np.ndarray, b: np.ndarray, per_cent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= per_cent * (len(a) + len(b) - both)
+
+
+def _confirmed(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, pairs: DataFrame, words: int, per_cent: int) -> DataFrame:
+    """u, v: the pairs (a, b, key, i, j) whose full sets are linked. A tile (key, i, j) gets each text that its pairs need once."""
+    keys = ["key", "i", "j"]
+    ends = pairs.select(*keys, F.explode(F.array("a", "b")).alias("cid")).distinct()
+    ends = written(ends.join(classes.select("cid", "digest", "first_id"), "cid"))
+    texts = docs.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text"))
+    if ends.count() <= 500_000:  # rows of 60 bytes: 30 MB at most
+        texts = texts.join(F.broadcast(ends), "first_id")
+    else:
+        texts = matched(texts, ends, ["first_id"], "left_semi").join(ends, "first_id")
+    none = F.lit(None)
+    rows = texts.select(*keys, F.lit(0).alias("kind"), F.col("cid").alias("a"), none.cast("long").alias("b"), "digest", "text")
+    rows = rows.unionByName(pairs.select(*keys, F.lit(1).alias("kind"), "a", "b", none.cast("binary").alias("digest"), none.cast("string").alias("text")))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, edge in whole_groups(slices(batches, max_bytes=4 << 20), keys):
+            kind, a, b = t.column("kind").to_numpy(), t.column("a").to_numpy(), t.column("b")
+            u, v = [], []
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                cut = lo + int(np.searchsorted(kind[lo:hi], 1))  # texts, then pairs
+                digests = t.column("digest").slice(lo, cut - lo).to_pylist()
+                sets = shingle_sets(t.column("text").slice(lo, cut - lo).to_pylist(), words)
+                # An id may repeat with another text, whose set is not the class's.
+                of = {c: s for c, s, d in zip(a[lo:cut].tolist(), sets, digests, strict=True) if _digest(s) == d}
+                for x, y in zip(a[cut:hi].tolist(), b.slice(cut, hi - cut).to_pylist(), strict=True):
+                    if x in of and y in of and linked(of[x], of[y], per_cent):
+                        u.append(x)
+                        v.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return written(grouped(rows, keys, ["kind", "a"]).mapInArrow(run, "u long, v long"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, per_cent: int = 80, block: int = 1024) -> DataFrame:
+    """``id_col, text_key, n_shingles, component_id, component_key``: the least id reachable over links.
+
+    Documents are linked when 100 * shared shingles >= ``per_cent`` * all shingles of the two. ``text_key`` is the xxhash64 of
+    the text; ``component_key`` tells components apart where ids repeat, and is null for the empty set.
     """
     count = bands_for(per_cent / 100) * ROWS
     sigs = written(_signatures(docs, id_col, text_col, words, count))
-    classes = sigs.where("digest is not null").groupBy("digest").agg(F.min("id").alias("first_id"), F.first("bands").alias("bands"))
-    classes = written(classes)
-    buckets = classes.select("digest", F.posexplode("bands").alias("band", "key"))
-    least = buckets.groupBy("band", "key").agg(F.min("digest").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    ties = buckets.join(least, ["band", "key"]).where("digest <> least").select(F.col("digest").alias("u"), F.col("least").alias("v"))
-    coarse = written(connected_components(ties.distinct()))
-    links = written(_confirmed(docs, id_col, text_col, classes, coarse, words, count, per_cent, block))
-    found = connected_components(links.where("v is not null").select("u", "v"))
-    linked = found.join(classes.select("digest", "first_id"), found.node == F.col("digest")).select("digest", "root", "first_id")
-    ids = linked.groupBy("root").agg(F.min("first_id").alias("component"))
-    of = linked.join(ids, "root").select("digest", "component")
-    n_links = links.groupBy(F.col("u").alias("digest")).agg(F.sum("n").alias("n_links"))
-    per_class = classes.select("digest", "first_id").join(of, "digest", "left").join(n_links, "digest", "left")
-    per_class = per_class.select("digest", F.coalesce("component", "first_id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    # Written, so that the side of a set with very many copies can be split in this join.
-    out = sigs.drop("bands").join(written(per_class), "digest", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "digest")
-
-
-def _confirmed(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, coarse: DataFrame, words: int, count: int, per_cent: int, block: int) -> DataFrame:
-    """u, v, n: forests of the links between different sets, and with v null the number of links of u found in a task."""
-    sizes = coarse.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    # Written, as one group may hold a large part of all rows: its side of the join can then be split.
-    members = coarse.join(written(sizes), "root").join(classes.select("digest", "first_id"), F.col("node") == F.col("digest"))
-    members = members.select("first_id", "digest", "root", "blocks", F.pmod(F.hash("digest"), "blocks").alias("own"))
-    texts = docs.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text"))
-    members = written(members)
-    members = matched(texts, members, ["first_id"], "left_semi").join(members, "first_id")
-
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, max_bytes=1 << 20):
-            found = shingle_sets(part.column(0).to_pylist(), words)
-            same = [_digest(s) == d for s, d in zip(found, part.column(1).to_pylist(), strict=True)]  # an id may repeat with another text
-            kept = np.flatnonzero(same)
-            arrays = [part.column(i).take(pa.array(kept)) for i in range(1, 5)]
-            arrays.append(pa.array([found[i].tobytes() for i in kept], pa.binary()))
-            arrays.append(pa.array([packed_bits(minima(found[i], count)).tobytes() for i in kept], pa.binary()))
-            yield pa.RecordBatch.from_arrays(arrays, ["digest", "root", "blocks", "own", "shingles", "sig"])
-
-    full = members.select("text", "digest", "root", "blocks", "own").mapInArrow(sets, "digest binary, root binary, blocks int, own int, shingles binary, sig binary")
-    dealt = full.select("digest", "root", "own", "shingles", "sig", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("digest", "root", "own", "shingles", "sig", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("digest")
-        one, two = int(pdf["one"].iloc[0]), int(pdf["two"].iloc[0])
-
-        def parts(own: int) -> tuple[list, list, np.ndarray]:
-            p = pdf[pdf["own"] == own]
-            sig = np.stack([np.frombuffer(x, np.uint64).reshape(BITS, -1) for x in p["sig"]]) if len(p) else np.zeros((0, BITS, 1), np.uint64)
-            return list(p["digest"]), [np.frombuffer(x, np.uint64) for x in p["shingles"]], sig
-
-        names, found, sig = parts(one)
-        if one == two:
-            pairs = [(names[i], names[j]) for i, j in compare_blocks(found, None, sig, None, count, per_cent)]
-        else:
-            others, found_b, sig_b = parts(two)
-            pairs = [(names[i], others[j]) for i, j in compare_blocks(found, found_b, sig, sig_b, count, per_cent)] if names and others else []
-        n = pd.Series([x for p in pairs for x in p], dtype=object).value_counts()
-        return pd.DataFrame([(a, b, 0) for a, b in spanning(pairs)] + [(a, None, int(x)) for a, x in n.items()], columns=["u", "v", "n"])
-
-    return dealt.groupBy("root", "one", "two").applyInPandas(compare, "u binary, v binary, n long")
+    classes = _classes(sigs)
+    members = _members(classes, block)
+    tile = lambda c: F.pmod(F.hash(c), "tiles")
+    tiled = lambda p: written(p.withColumns({"i": tile("a"), "j": tile("b")}))
+    first = tiled(_best(members, count, per_cent))
+    links = _confirmed(docs, id_col, text_col, classes, first, words, per_cent)
+    found = connected_components(links)
+    rest = _between(members, found, count, per_cent).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    rest = tiled(rest)
+    if not rest.isEmpty():
+        links = links.unionByName(_confirmed(docs, id_col, text_col, classes, rest, words, per_cent))
+        found = connected_components(links)
+    named = classes.select("cid", "digest", "first_id", "size").join(found.withColumnRenamed("node", "cid"), "cid", "left")
+    named = written(named.withColumn("component_key", F.coalesce("root", "cid")).drop("root"))
+    ids = named.groupBy("component_key").agg(F.min("first_id").alias("component_id"), F.count("*").alias("classes"))
+    linked_ids = written(ids.where("classes > 1").drop("classes"))  # so that a component of many classes can be split
+    named = named.join(linked_ids, "component_key", "left").withColumn("component_id", F.coalesce("component_id", "first_id"))
+    per_class = written(named.select("digest", "size", "component_id", "component_key"))
+    total = per_class.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    large, small = (per_class.where(c).drop("size") for c in (F.col("size") * 4096 >= total, F.col("size") * 4096 < total))
+    every = sigs.select("id", "text_key", "n", "digest")
+    some = every.where("digest is not null").join(F.broadcast(large), "digest", "left")  # 4096 rows at most
+    out = some.where("component_key is not null").unionByName(some.where("component_key is null").select(every.columns).join(small, "digest"))
+    empty = every.where("digest is null").withColumns({"component_id": F.col("id"), "component_key": F.lit(None).cast("long")})
+    out = out.unionByName(empty)
+    return out.select(F.col("id").alias(id_col), "text_key", F.col("n").alias("n_shingles"), "component_id", "component_key")
 
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

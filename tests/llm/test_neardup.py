@@ -60,6 +60,29 @@ def test_components_like_brute_force(spark, k, per_cent):
     assert got(neardup.near_duplicates(as_docs(spark, docs), words=k, per_cent=per_cent, block=16)) == brute(docs, k, per_cent)
 
 
+def test_boilerplate_makes_few_pairs(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    notice = [word() for _ in range(60)]
+    docs = [(i, " ".join(notice + [word() for _ in range(60)])) for i in range(600)]
+    docs += [(1000 + i, f"{docs[0][1]} {word()}") for i in range(400)]
+    df = as_docs(spark, docs)
+    count = neardup.bands_for(0.85) * neardup.ROWS
+    classes = neardup._classes(neardup.written(neardup._signatures(df, "doc_id", "text", 3, count)))
+    members = neardup._members(classes, 64)
+    best = neardup._best(members, count, 85)
+    assert members.where("blocks > 1").count() > 0 and best.count() <= 1000
+    links = best.selectExpr("a as u", "b as v")
+    assert neardup._between(members, components.connected_components(links), count, 85).count() <= 1000
+    assert got(neardup.near_duplicates(df, words=3, per_cent=85, block=64)) == brute(docs, 3, 85)
+
+
+def test_ids_that_repeat_with_other_texts(spark):
+    a, b = "one two three four five six seven", "all other words stand in this text here"
+    docs = [(5, a), (6, a + " eight"), (6, b), (7, b)]
+    assert got(neardup.near_duplicates(as_docs(spark, docs), words=3, per_cent=80)) == brute(docs, 3, 80)
+
+
 def test_odd_rows(spark):
     # Rows without an id keep a component of their own that has no name.
     assert got(neardup.near_duplicates(odd_docs(spark), words=3, per_cent=85)) == brute(ODD, 3, 85)
@@ -90,13 +113,13 @@ def test_chain_of_nodes(spark):
 @pytest.mark.parametrize("count, per_cent", [(116, 85), (160, 80)])
 def test_bit_counts_lose_few_links(count, per_cent):
     share = per_cent / 100 + (1 - per_cent / 100) / 2**neardup.BITS
-    least = neardup.least_equal(count, share) if hasattr(neardup, "least_equal") else 0
+    least = neardup.least_equal(count, share)
     below = lambda k: sum(math.comb(count, i) * share**i * (1 - share) ** (count - i) for i in range(k))
     kept = []
     for equal in range(count + 1):
         a, b = np.zeros(count, np.uint32), np.arange(count, dtype=np.uint32) >= equal
         sig = [neardup.packed_bits(x)[None] for x in (a, b.astype(np.uint32))]
-        s = np.arange(50, dtype=np.uint64)
-        if neardup.compare_blocks([s], [s], *sig, count, per_cent):
+        n = np.array([50])
+        if neardup.candidates(sig[0], n, sig[1], n, count, per_cent)[0, 0] > -np.inf:
             kept.append(equal)
     assert below(kept[0]) <= 1e-9 and kept[0] == least
