@@ -1,6 +1,8 @@
 import re
 
 import corpus_pipeline as P
+from pyspark.sql import functions as F
+
 from chromaloom.llm import decontam, toxicity
 
 from ..conftest import SF
@@ -58,3 +60,21 @@ def test_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_a_shared_id_loses_only_the_copy(spark):
+    a, b = "one two three four five six seven eight nine ten eleven twelve", "all other words stand in this unlike text of the same document number"
+    rows = [(5, a), (6, a + " more"), (6, b), (7, b), (8, "w " + b), (9, "x y z"), (9, "x y z"), (9, None), (9, ""), (9, "p q r s t u v w"), (9, "p q r s t u v w x y z"), (None, a)]
+    docs = as_docs(spark, rows).selectExpr("*", "'kept' as _spans", "'kept' as text_key", "'kept' as component_id", "'kept' as digest")
+    out = P.keep_one_of_near_copies(spark, docs, SF)
+    left = sorted((str(r.doc_id), str(r.text)) for r in out.collect())
+    want = [(5, a), (6, b), (9, "x y z"), (9, None), (9, ""), (9, "p q r s t u v w"), (9, "p q r s t u v w x y z"), (None, a)]
+    assert out.columns == docs.columns and left == sorted((str(i), str(t)) for i, t in want)
+    shown = P.redact(spark, docs.limit(1).withColumn("text", F.lit("mail a@b.cd")), SF).first()
+    assert (shown.text, shown._spans, shown.digest) == ("mail <EMAIL>", "kept", "kept")
+
+
+def test_near_copies_of_one_id(spark):
+    a = " ".join(f"w{i}" for i in range(60))
+    left = P.keep_one_of_near_copies(spark, as_docs(spark, [(3, a), (3, a + " end"), (3, a), (4, a)]), SF).collect()
+    assert len(left) == 1 and left[0].doc_id == 3
