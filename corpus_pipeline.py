@@ -3,7 +3,8 @@ documents that hold benchmark passages, replace personal data by its kind, encod
 
 A stage takes (spark, docs, sf_dir) and works on every row of ``docs``; its result is written as Parquet and read again as
 the next one's ``docs``. All but the last keep the columns of ``documents``. Rows with a null doc_id pass the
-near-duplicate stage, since no id can name them; rows that share an id and text count as copies, of which one stays.
+near-duplicate stage, since no id can name them. That stage removes by id and text: of rows that share an id, only those go whose own
+text is in another document's group, or is a copy or near copy of one that stays. Extra columns of any name are carried along.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chromaloom.llm import decontam, neardup, pieces, pii, toxicity
-from chromaloom.llm.common import matched, shared_dir, table
+from chromaloom.llm.common import matched, shared_dir, table, unused, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,14 +26,20 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2 with five-word shingles and a similarity of 0.8: the document of least id stays in each group."""
-    found = neardup.near_duplicates(docs)
-    gone = found.where(F.col("component_id") != F.col("doc_id"))
-    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = matched(docs, gone, "doc_id", "left_anti").select(docs.columns)
-    if twice.isEmpty():
-        return kept
-    again = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
-    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(again)
+    found = written(neardup.near_duplicates(docs))
+    key, same = unused(docs, "text_key"), ["component_key", F.when(F.col("component_key").isNull(), F.col("text_key"))]
+    own = found.where("doc_id is not null").withColumnRenamed("text_key", key)
+    gone = own.where("component_id <> doc_id").select("doc_id", key)
+    # Rows that share the least id of their group: the one of least text hash stays, once.
+    least = found.where("component_id = doc_id").groupBy("doc_id", *same).agg(F.min("text_key").alias("least"), F.max("text_key").alias("most"), F.count("*").alias("n")).where("n > 1")
+    least = written(least.select("doc_id", "component_key", "least", "most"))
+    if least.isEmpty():
+        return matched(docs.withColumn(key, F.xxhash64("text")), gone, ["doc_id", key], "left_anti").select(docs.columns)
+    later = own.join(least.where("component_key is not null").select("doc_id", "component_key", "least"), ["doc_id", "component_key"]).where(F.col(key) != F.col("least"))
+    kept = matched(docs.withColumn(key, F.xxhash64("text")), gone.unionByName(later.select("doc_id", key)), ["doc_id", key], "left_anti")
+    several = written(least.select("doc_id").distinct())
+    again = kept.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id", key])
+    return kept.join(several, "doc_id", "left_anti").select(docs.columns).unionByName(again.select(docs.columns))
 
 
 def reject_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +49,11 @@ def reject_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: spans of personal data are replaced by their kind; n_chars follows the new text."""
-    found = pii.find_pii(docs, spans_col="_spans")
-    found = found.withColumn("text", F.when(F.col("text").isNotNull(), pii.redacted(F.coalesce("text", F.lit("")), F.col("_spans"))))
+    spans = unused(docs, "_spans")
+    found = pii.find_pii(docs, spans_col=spans)
+    found = found.withColumn("text", F.when(F.col("text").isNotNull(), pii.redacted(F.coalesce("text", F.lit("")), F.col(spans))))
     if "n_chars" in docs.columns:
-        changed = F.size("_spans") > 0
+        changed = F.size(spans) > 0
         found = found.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return found.select(docs.columns)
 
