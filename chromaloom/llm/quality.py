@@ -1,28 +1,35 @@
 """Operator 6: quality by positive-unlabelled learning with the non-negative risk estimator.
 
-Positives are rows labelled 1, unlabelled text is every document without a label; of
-either at most ``sample`` rows are taken, those of least hash. The class prior is the share
-of 1 among the labelled rows that may be learnt from. With the logistic loss l and scores
-g the model minimises
+Positives are rows labelled 1, of which at most ``sample`` are taken, those of least hash; unlabelled text is
+every document without a label, all of them. Labels of 0 are never learnt from. With the logistic loss l and scores g the model minimises
 
     prior * mean_P l(g, +1) + max(0, mean_U l(g, -1) - prior * mean_P l(g, -1)),
 
 and where the second term would turn negative its gradient is taken back instead. The
 model is additive: each shape feature of the text (shares of character classes, word
-lengths, repetition) is cut into bins at quantiles of the sample, and each bin has a
-weight. Every document is scored whole, in one pass without a shuffle; labels, language,
+lengths, repetition) is cut into bins at quantiles, half by positives and half by all unlabelled
+documents, and each bin has a weight.
+
+The unlabelled side is dealt by hash to shards of about ``sample`` rows of bin numbers. Each shard minimises the
+risk of all positives and its own rows, and the weights are the shards' mean; nothing but sums of fixed size
+leaves the shards. The class prior is estimated from positives and unlabelled rows alone: in each shard
+a classifier tells the two apart on four fifths, and on the last fifth the share of unlabelled rows above a
+score is set against the share of positives; the least ratio over all scores is the prior, as no more
+than all of the unlabelled rows above a score can be positives.
+
+Every document's features are made once, in one pass without a shuffle, and written. Every document is scored whole; labels, language,
 source and id are no inputs of a score.
 
 Learning rows are those with crc32(id as text) mod ``folds`` other than 0; a null id counts as
 held out. Defined cases: a null or empty text has features of an empty text and a score;
-labels that are null are ignored; repeated rows are scored each; extra columns are not
-read; without positives or unlabelled rows the score is the prior (0.5 without labels); an
+labels that are null make a row neither positive nor unlabelled; repeated rows are scored each; extra columns are not
+read; without positives or unlabelled rows the score is 0.5; an
 empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,10 +37,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 from .textkit import lowered, slices, word_hashes
 
 BINS = 16
+#: Shares of the positives above the scores at which the prior is looked for.
+SHARES = np.arange(20, 100) / 100
 
 
 def _classes() -> np.ndarray:
@@ -88,6 +97,7 @@ class QualityModel:
     edges: np.ndarray  # (features, BINS - 1)
     weights: np.ndarray  # (features, BINS)
     bias: float
+    prior: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
         g = np.full(len(x), self.bias)
@@ -96,76 +106,176 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(g, -40, 40)))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.2, ridge: float = 1e-5) -> QualityModel:
-    edges = np.stack([np.quantile(np.concatenate((positive[:, j], unlabelled[:, j])), np.linspace(0, 1, BINS + 1)[1:-1]) for j in range(positive.shape[1])])
-    edges[:, 0], edges[:, -1] = (np.quantile(np.concatenate((positive, unlabelled)), q, axis=0) for q in (0.02, 0.98))
-    edges = np.sort(edges, 1)
-    cells = lambda x: np.stack([np.searchsorted(edges[j], x[:, j], "right") + j * BINS for j in range(len(edges))], 1)
-    p, u = cells(positive), cells(unlabelled)
-    size = edges.shape[0] * BINS
-    theta = np.zeros(size + 1)
-    theta[-1] = np.log(prior / (1 - prior))
+def _sigmoid(g: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(g, -40, 40)))
+
+
+def _summed(cells: np.ndarray, by: np.ndarray, size: int) -> np.ndarray:
+    """``by`` of each row, summed over the bins that the row is in, and over all rows (the bias)."""
+    return np.append(np.bincount(cells.ravel(), np.repeat(by, cells.shape[1]), size), by.sum())
+
+
+def _value(theta: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return theta[cells].sum(1) + theta[-1]
+
+
+def nnpu_risk(theta: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The part of the risk that must not be negative, and the gradient to follow; p and u are bin numbers of rows."""
+    size = len(theta) - 1
+    gp, gu = _value(theta, p), _value(theta, u)
+    rest = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+    of_rest = _summed(u, _sigmoid(gu) / len(u), size) - prior * _summed(p, _sigmoid(gp) / len(p), size)
+    return rest, prior * _summed(p, (_sigmoid(gp) - 1) / len(p), size) + of_rest if rest >= 0 else -of_rest
+
+
+def _descended(gradient: Callable[[np.ndarray], np.ndarray], theta: np.ndarray, rounds: int, rate: float, ridge: float) -> np.ndarray:
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    sig = lambda g: 1 / (1 + np.exp(-np.clip(g, -40, 40)))
-    spread = lambda at, g: np.append(np.bincount(at.ravel(), np.repeat(g, at.shape[1]), size), g.sum())
     for t in range(1, rounds + 1):
-        gp, gu = theta[p].sum(1) + theta[-1], theta[u].sum(1) + theta[-1]
-        rest = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        of_rest = spread(u, sig(gu) / len(u)) - prior * spread(p, sig(gp) / len(p))
-        g = prior * spread(p, (sig(gp) - 1) / len(p)) + of_rest if rest >= 0 else -of_rest
+        g = gradient(theta)
         g[:-1] += ridge * theta[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-    return QualityModel(edges, theta[:-1].reshape(-1, BINS), float(theta[-1]))
+    return theta
+
+
+def fit_nnpu(p: np.ndarray, u: np.ndarray, size: int, prior: float, rounds: int = 400, rate: float = 0.3, ridge: float = 1e-4) -> np.ndarray:
+    """Weights of ``size`` bins and the bias, by Adam."""
+    start = np.append(np.zeros(size), np.log(prior / (1 - prior)))
+    return _descended(lambda theta: nnpu_risk(theta, p, u, prior)[1], start, rounds, rate, ridge)
+
+
+def shares_above(p: np.ndarray, u: np.ndarray, size: int, parts: int = 5, rounds: int = 30, rate: float = 0.1, ridge: float = 1e-2) -> np.ndarray:
+    """How many rows of u lie above the scores that ``SHARES`` of p lie above; each fifth is scored by a classifier of p against u fitted on the others."""
+    out = np.zeros(len(SHARES))
+    for k in range(parts):
+        own_p, own_u = np.arange(len(p)) % parts == k, np.arange(len(u)) % parts == k
+        fit_p, fit_u = p[~own_p], u[~own_u]
+
+        def gradient(theta: np.ndarray, a: np.ndarray = fit_p, b: np.ndarray = fit_u) -> np.ndarray:
+            return _summed(a, (_sigmoid(_value(theta, a)) - 1) / max(len(a), 1), size) + _summed(b, _sigmoid(_value(theta, b)) / max(len(b), 1), size)
+
+        theta = _descended(gradient, np.zeros(size + 1), rounds, rate, ridge)
+        if own_p.any() and own_u.any():
+            cuts = np.quantile(_value(theta, p[own_p]), 1 - SHARES)
+            out += own_u.sum() - np.searchsorted(np.sort(_value(theta, u[own_u])), cuts, "left")
+    return out
 
 
 def fold(id_col: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % folds, F.lit(0))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, sample: int = 8_000) -> QualityModel | float:
-    """The model, or only the prior where there is nothing to learn from."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).where(fold(F.col(id_col), folds) != 0)
-    known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col)).alias("label"))
-    n, ones = known.agg(F.count("*"), F.coalesce(F.sum((F.col("label") > 0).cast("int")), F.lit(0))).first()
-    if not n:
-        return 0.5
-    ids = docs.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull() & (fold(F.col("id"), folds) != 0))
-    least = lambda df: df.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
-    every = labels.select(F.col(id_col).alias("id")).distinct()
-    chosen = least(ids.join(known.where("label > 0"), "id", "left_semi")).withColumn("positive", F.lit(True)).unionByName(least(ids.join(every, "id", "left_anti")).withColumn("positive", F.lit(False)))
-    # At most 2 * ``sample`` ids, so they go to the documents rather than all texts to them.
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "positive")
-
-    def shaped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def shape_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, row (a number of its own), x (the features as 32-bit floats) of every document; written."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, max_bytes=2 << 20):
-            x = shape_features(part.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["positive", "x"])
+            x = shape_features(part.column(1).to_pylist()).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "x"])
 
-    got = texts.mapInArrow(shaped, "positive boolean, x array<double>").toArrow()
-    flag = np.asarray(got.column(0).to_pylist(), bool)
-    x = np.asarray(got.column(1).to_pylist(), np.float64).reshape(len(flag), -1)
-    prior = float(np.clip(ones / n, 0.01, 0.99))
-    if not flag.any() or flag.all():
-        return prior
-    order = np.lexsort(x.T)  # rows come in any order; sums should not
-    x, flag = x[order], flag[order]
-    return fit_nnpu(x[flag], x[~flag], prior)
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return written(src.mapInArrow(run, f"id {id_type}, x binary").withColumn("row", F.monotonically_increasing_id()))
 
 
-def score_quality(docs: DataFrame, model: QualityModel | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, score``: the probability that a label would be 1."""
-    id_type = docs.schema[id_col].dataType.simpleString()
+def _matrix(x: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(x.to_pylist()), np.float32).reshape(len(x), -1)
+
+
+def _codes(x: np.ndarray) -> np.ndarray:
+    """Floats that are not negative as integers of the same order, exact to nine bits."""
+    return np.ascontiguousarray(x, np.float32).view(np.uint32) >> np.uint32(14)
+
+
+def bin_edges(unlabelled: DataFrame, positive: np.ndarray) -> np.ndarray:
+    """(features, BINS - 1) quantiles over all unlabelled rows and the positives, each side with half of the weight."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code = _codes(_matrix(batch.column(0))).astype(np.int64)
+            at, n = np.unique(code + (np.arange(code.shape[1]) << 18), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], ["at", "n"])
+
+    # A row for each value of nine bits that a feature takes: a fixed number, whatever the input.
+    got = unlabelled.select("x").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas().sort_values("at")
+    at, n = got["at"].to_numpy(np.int64), got["n"].to_numpy(np.float64)
+    marks = np.concatenate(([0.02], np.linspace(0, 1, BINS + 1)[2:-2], [0.98]))
+    edges = []
+    for j in range(positive.shape[1]):
+        mine = at >> 18 == j
+        code = np.concatenate((at[mine] & (1 << 18) - 1, _codes(positive[:, j])))
+        weight = np.concatenate((n[mine] / n[mine].sum() / 2, np.full(len(positive), 0.5 / len(positive))))
+        order = np.argsort(code, kind="stable")
+        mark = np.minimum(np.searchsorted(np.cumsum(weight[order]), marks), len(order) - 1)
+        edges.append((code[order][mark].astype(np.uint32) << np.uint32(14)).view(np.float32))
+    return np.array(edges, np.float64)
+
+
+def cells_of(edges: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.stack([np.searchsorted(edges[j], x[:, j], "right") + j * BINS for j in range(len(edges))], 1)
+
+
+def fit_on(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", folds: int = 5, sample: int = 8_000) -> QualityModel | float:
+    """The model from ``shape_rows``, or 0.5 where there is nothing to learn from."""
+    known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("one"))
+    learn = rows.where(F.col("id").isNotNull() & (fold(F.col("id"), folds) != 0))
+    ones = learn.join(known.where("one = 1").where(fold(F.col("id"), folds) != 0), "id", "left_semi")
+    # At most ``sample`` rows of 100 bytes.
+    positive = ones.orderBy(F.xxhash64("id", "x"), "id", "x").limit(sample).select("x").toArrow().column(0).combine_chunks()
+    unlabelled = written(learn.join(known, "id", "left_anti").select("row", "x"))
+    n = unlabelled.count()
+    if not len(positive) or not n:
+        return 0.5
+    positive = _matrix(positive)
+    edges = bin_edges(unlabelled, positive)
+    size = len(edges) * BINS
+    p = cells_of(edges, positive)
+
+    def pack(t: pa.Table) -> pa.Table:
+        u = cells_of(edges, _matrix(t.column("x").combine_chunks()))
+        u = u[np.lexsort(u.T)]  # rows come in any order; sums should not
+        u = u[np.random.default_rng(3).permutation(len(u))].astype(np.int16)
+        return pa.table({"n": pa.array([len(u)], pa.int64()), "u": pa.array([u.tobytes()], pa.binary())})
+
+    shards = unlabelled.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(-(-n // sample))))
+    shards = written(shards.groupBy("shard").applyInArrow(pack, "n long, u binary"))
+
+    def summed(work: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """``work`` of all shards, summed."""
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for u in batch.column(0):
+                    out = work(np.frombuffer(u.as_py(), np.int16).reshape(-1, len(edges)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], ["at", "v"])
+
+        return np.array([r.v for r in shards.select("u").mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").collect()])
+
+    prior = float(np.clip((summed(lambda u: shares_above(p, u, size)) / n / SHARES).min(), 0.01, 0.99))
+    theta = summed(lambda u: len(u) * fit_nnpu(p, u, size, prior)) / n
+    return QualityModel(edges, theta[:-1].reshape(-1, BINS), float(theta[-1]), prior)
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, sample: int = 8_000) -> QualityModel | float:
+    return fit_on(shape_rows(docs, id_col, text_col), labels, id_col, label_col, folds, sample)
+
+
+def score_on(rows: DataFrame, model: QualityModel | float, id_col: str = "doc_id") -> DataFrame:
+    """``id_col, score`` from ``shape_rows``: the probability that a label would be 1."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, max_bytes=2 << 20):
-            score = np.full(part.num_rows, model) if isinstance(model, float) else model.score(shape_features(part.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score)], ["id", "score"])
+        for batch in batches:
+            score = np.full(batch.num_rows, model) if isinstance(model, float) else model.score(_matrix(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["id", "score"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, score double").withColumnRenamed("id", id_col)
+    return rows.select("id", "x").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
+
+
+def score_quality(docs: DataFrame, model: QualityModel | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return score_on(shape_rows(docs, id_col, text_col), model, id_col)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+    rows = shape_rows(table(spark, sf_dir, "documents"))
+    found = score_on(rows, fit_on(rows, table(spark, sf_dir, "labels")))
     return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

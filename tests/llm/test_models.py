@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -9,9 +10,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from chromaloom.llm import lm, quality, toxicity
+from chromaloom.llm.textkit import word_hashes
 
 from ..conftest import SF
-from .cases import ODD, as_docs, odd_docs, words
+from .cases import ODD, as_docs, ascii_lower, odd_docs, words
 
 
 def labelled(spark, n=400):
@@ -75,6 +77,84 @@ def test_quality_never_learns_from_held_out_labels(spark):
     assert np.allclose(a.weights, b.weights) and a.bias == b.bias
 
 
+def slow_risk(theta, p, u, prior):
+    """The risk's two parts as their definitions read, a row at a time."""
+    g = lambda row: sum(theta[c] for c in row) + theta[-1]
+    loss = lambda x, sign: math.log1p(math.exp(-sign * x))
+    first = prior * sum(loss(g(r), 1) for r in p) / len(p)
+    return first, sum(loss(g(r), -1) for r in u) / len(u) - prior * sum(loss(g(r), -1) for r in p) / len(p)
+
+
+def test_risk_and_gradient_like_the_definition():
+    rng = np.random.default_rng(5)
+    p, u = (rng.integers(0, 4, (n, 3)) + np.arange(3) * 4 for n in (30, 50))
+    signs = set()
+    for prior in (0.3, 0.9, 0.97):
+        theta = rng.normal(size=13) * 3
+        theta[p[:20]] += 2
+        rest, got = quality.nnpu_risk(theta, p, u, prior)
+        first, second = slow_risk(theta, p, u, prior)
+        assert np.isclose(rest, second)
+        signs.add(second >= 0)
+        goal = (lambda t, prior=prior: sum(slow_risk(t, p, u, prior))) if second >= 0 else (lambda t, prior=prior: -slow_risk(t, p, u, prior)[1])
+        for j in range(13):
+            step = np.eye(13)[j] * 1e-5
+            assert abs((goal(theta + step) - goal(theta - step)) / 2e-5 - got[j]) < 1e-4
+    assert len(signs) == 2
+
+
+def test_prior_from_positives_and_unlabelled_alone():
+    rng = np.random.default_rng(6)
+    draw = lambda n, good: np.column_stack([np.where(good, rng.integers(2, 8, n), rng.integers(0, 4, n)) + j * 8 for j in range(4)])
+    for prior in (0.2, 0.5, 0.85):
+        p, u = draw(4000, np.ones(4000, bool)), draw(4000, rng.random(4000) < prior)
+        found = (quality.shares_above(p, u, 32) / 4000 / quality.SHARES).min()
+        assert abs(found - prior) < 0.06
+
+
+def test_quality_in_shards(spark):
+    docs, labels = labelled(spark, 900)
+    rows = quality.shape_rows(docs)
+    one, many = quality.fit_on(rows, labels), quality.fit_on(rows, labels, sample=120)
+    for model in (one, many):
+        assert 0.6 < model.prior < 0.95
+        found = quality.score_on(rows, model).collect()
+        assert np.mean([(r.score >= 0.3) == (r.doc_id % 5 != 1) for r in found]) > 0.95
+
+
+def test_ordinal_scores_like_a_slow_loop(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.fit_toxicity(docs, labels)
+    of = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.score_toxicity(docs, model).collect():
+        bare = re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", ascii_lower(texts[r.doc_id]))
+        n = Counter(int(word_hashes([w.encode()])[0][0]) for w in bare if w)
+        z = sum(of[h] * (1 + math.log(c)) for h, c in n.items() if h in of)
+        p = [1 / (1 + math.exp(t - z)) for t in model.thresholds]
+        assert math.isclose(r.severity, sum(p), rel_tol=1e-9) and math.isclose(r.toxicity, p[0], rel_tol=1e-9) and r.toxic == (p[0] >= model.cut)
+
+
+def test_ordinal_gradient_lowers_the_loss_of_the_definition():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(60, 3))
+    grade = rng.integers(0, 3, 60)
+
+    def loss(w, cuts):
+        total = 0.0
+        for row, g in zip(x, grade, strict=True):
+            for j, cut in enumerate(cuts, 1):
+                q = 1 / (1 + math.exp(cut - float(row @ w)))
+                total -= math.log(q if g >= j else 1 - q)
+        return total
+
+    w, cuts = toxicity.fit_ordinal(x, grade, 3, rounds=3000)
+    for j in range(3):
+        for step in (-0.05, 0.05):
+            assert loss(w, cuts) <= loss(w + step * np.eye(3)[j], cuts) + 1e-3
+    assert loss(w, cuts) <= min(loss(w, cuts + [a, b]) for a in (-0.1, 0.1) for b in (-0.1, 0.1))
+
+
 def test_quality_odd_rows(spark):
     docs, labels = labelled(spark)
     model = quality.fit_quality(docs, labels)
