@@ -7,11 +7,15 @@ exactly by rolling hashes over the words of a document; around each hit, Myers'
 bit-parallel recurrence gives the least edit distance of the item to any passage there.
 
 The benchmark is the stated query set: it is cut by hash into blocks of about
-``block_chars`` characters, and each block is one pass over the documents, without a shuffle.
-
-Defined cases: a null or empty document is clean; null or empty items match nothing;
-repeated items count each by their id, repeated documents are searched each; null ids
-are carried through; extra columns are not read; empty tables give clean or no rows.
+``block_chars`` characters, and each block is one pass over the documents, without a shuffle of texts. The driver
+holds one block at a time; of several blocks, each one's hits are written before the next is fetched, and
+meet their documents by a key of id and text.
+
+Defined cases: a null or empty document is clean; null or empty items, items of fewer than ``least_words``
+words, and items without an id match nothing; an item of under five words allows no edit, so a one-word item marks
+every document with that word unless ``least_words`` (1 by default) says otherwise;
+repeated items count each by their id, repeated documents are searched each; ids of documents and items are of any type, null ids
+of documents are carried through; extra columns are not read; empty tables give clean or no rows.
 """
 
 from __future__ import annotations
@@ -24,13 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
-from .common import keep_rows, table
+from .common import keep_rows, matched, table, unused, written
 from .textkit import slices
 
 _WORD = re.compile(r"\w+")
 _MULTIPLIER = 0x9E3779B97F4A7C15
-_HITS = "array<struct<item_id:long,distance:int,first_word:int,last_word:int>>"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -71,14 +76,14 @@ def pattern_bits(words: list) -> dict:
 class Matcher:
     """Pieces of a block of items, and the search for them in documents."""
 
-    def __init__(self, items: list[tuple[int, str]], budget_divisor: int):
+    def __init__(self, items: list[tuple], budget_divisor: int, least_words: int = 1):
         rng = np.random.default_rng(11)
         self.vocab: dict[str, int] = {}
         self.items = []
         pieces = defaultdict(lambda: defaultdict(list))
         for item_id, text in items:
             words = words_of(text)
-            if not words:
+            if len(words) < max(1, least_words):
                 continue
             ids = [self.vocab.setdefault(w, int(rng.integers(1, 2**62))) for w in words]
             m = len(ids)
@@ -137,45 +142,81 @@ class Matcher:
             found[n] = {"item_id": item_id, "distance": distance, "first_word": lo + end - length - int(start), "last_word": lo + end - 1 - int(start)}
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's distinct items in blocks of about ``block_chars`` characters; one block, if empty, at least."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null and text is not null")
+def item_blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_chars: int) -> tuple[int, Iterator[list[tuple]]]:
+    """How many blocks of about ``block_chars`` characters the distinct items make (one, if empty, at least), and the blocks one by one."""
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null and text is not null")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // block_chars))
-    for b in range(blocks):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).distinct().orderBy("item_id", "text").collect()]
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    return blocks, ([tuple(r) for r in items.where(part == b).distinct().orderBy("item_id", "text").collect()] for b in range(blocks))
+
+
+def _with_keys(docs: DataFrame, id_col: str, text_col: str, names: tuple[str, str]) -> DataFrame:
+    return docs.withColumns({names[0]: F.xxhash64(id_col, text_col), names[1]: F.coalesce(F.crc32(text_col), F.lit(-1))})
+
+
+def _searched(src: DataFrame, block: list[tuple], hits: str, how: tuple[int, int], only_hits: bool) -> DataFrame:
+    """The columns of ``src`` but its last, text, and the leaks of that text; ``only_hits`` leaves out rows without one."""
+    names = src.columns[:-1]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(block, *how)
+        kind = pa.list_(pa.struct([("item_id", item_type), ("distance", pa.int32()), ("first_word", pa.int32()), ("last_word", pa.int32())]))
+        for part in slices(batches, max_bytes=2 << 20):
+            found = matcher.search(part.column(len(names)).to_pylist())
+            out = pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, kind)], [*names, "leaks"])
+            yield out.filter(pa.array([bool(x) for x in found])) if only_hits else out
+
+    kinds = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in names)
+    item_type = to_arrow_type(StructType.fromDDL(f"leaks {hits}")["leaks"].dataType.elementType["item_id"].dataType)
+    return src.mapInArrow(run, f"{kinds}, leaks {hits}")
+
+
+def _hits_of_blocks(docs: DataFrame, blocks: Iterator[list[tuple]], id_col: str, text_col: str, hits: str, how: tuple[int, int]) -> DataFrame:
+    """k1, k2, leaks: the documents with a leak, by key, one row for each block that hits them."""
+    keyed = _with_keys(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", ("k1", "k2")).select("k1", "k2", "text")
+    out = None
+    for block in blocks:
+        part = written(_searched(keyed, block, hits, how, True).dropDuplicates(["k1", "k2"]))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _hits(benchmark: DataFrame, item_col: str) -> str:
+    return f"array<struct<item_id:{benchmark.schema[item_col].dataType.simpleString()},distance:int,first_word:int,last_word:int>>"
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", budget_divisor: int = 5, block_chars: int = 4 << 20) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", budget_divisor: int = 5, block_chars: int = 4 << 20, least_words: int = 1) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no passage of the benchmark."""
-    for block in item_blocks(benchmark, item_col, item_text_col, block_chars):
+    n, blocks = item_blocks(benchmark, item_col, item_text_col, block_chars)
+    how = (budget_divisor, least_words)
+    if n > 1:
+        found = _hits_of_blocks(docs, blocks, id_col, text_col, _hits(benchmark, item_col), how)
+        k1 = unused(docs, "k1")
+        k2 = unused(docs.withColumn(k1, F.lit(0)), "k2")
+        keyed = _with_keys(docs, id_col, text_col, (k1, k2))
+        return matched(keyed, found.select(F.col("k1").alias(k1), F.col("k2").alias(k2)), [k1, k2], "left_anti").select(docs.columns)
+    block = next(blocks)
 
-        def clean(texts: list, block: list = block, built: list = []) -> list[bool]:  # noqa: B006  built: once a task
-            if not built:
-                built.append(Matcher(block, budget_divisor))
-            return [not found for found in built[0].search(texts)]
+    def clean(texts: list, built: list = []) -> list[bool]:  # noqa: B006  built: once a task
+        if not built:
+            built.append(Matcher(block, *how))
+        return [not found for found in built[0].search(texts)]
 
-        docs = keep_rows(docs, text_col, clean)
-    return docs
+    return keep_rows(docs, text_col, clean)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", budget_divisor: int = 5, block_chars: int = 4 << 20) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", budget_divisor: int = 5, block_chars: int = 4 << 20, least_words: int = 1) -> DataFrame:
     """``id_col`` and ``leaks``: the items of which the document holds a passage within the edit budget."""
-    blocks = list(item_blocks(benchmark, item_col, item_text_col, block_chars))
-    id_type = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.array().cast(_HITS).alias("leaks"))
-    for i, block in enumerate(blocks):
-
-        def run(batches: Iterable[pa.RecordBatch], block: list = block, last: bool = i == len(blocks) - 1) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block, budget_divisor)
-            for part in slices(batches, max_bytes=2 << 20):
-                found = matcher.search(part.column(1).to_pylist())
-                leaks = [[*x, *y] for x, y in zip(part.column(2).to_pylist(), found, strict=True)]
-                text = pa.nulls(part.num_rows, pa.string()) if last else part.column(1)
-                yield pa.RecordBatch.from_arrays([part.column(0), text, pa.array(leaks, part.schema.field(2).type)], ["id", "text", "leaks"])
-
-        out = out.mapInArrow(run, f"id {id_type}, text string, leaks {_HITS}")
-    return out.select(F.col("id").alias(id_col), "leaks")
+    n, blocks = item_blocks(benchmark, item_col, item_text_col, block_chars)
+    hits, how = _hits(benchmark, item_col), (budget_divisor, least_words)
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if n == 1:
+        return _searched(src, next(blocks), hits, how, False).select(F.col("id").alias(id_col), "leaks")
+    found = _hits_of_blocks(docs, blocks, id_col, text_col, hits, how)
+    found = written(found.groupBy("k1", "k2").agg(F.flatten(F.collect_list("leaks")).alias("leaks")))
+    out = _with_keys(src, "id", "text", ("k1", "k2")).select("id", "k1", "k2").join(found, ["k1", "k2"], "left")
+    return out.select(F.col("id").alias(id_col), F.coalesce("leaks", F.array().cast(hits)).alias("leaks"))
 
 
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

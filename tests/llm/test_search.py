@@ -195,7 +195,25 @@ def test_leaks_odd_rows(spark):
     assert found.count() == len(ODD) and {r.doc_id for r in found.where("size(leaks) > 0").collect()} == {4, 5, 6}
     assert decontam.find_leaks(odd_docs(spark), bench.limit(0)).where("size(leaks) > 0").count() == 0
     assert decontam.find_leaks(as_docs(spark, []).limit(0), bench).count() == 0
-    assert decontam.op8_decontam(spark, SF).where("contaminated").count() > 0
+    one = spark.createDataFrame([("a", "the"), ("b", "other words")], "item_id string, text string")
+    docs = spark.createDataFrame([("x", "in the house"), ("y", "no"), (None, "The"), ("x", "in the house")], "doc_id string, text string")
+    for block in (8, 1 << 20):
+        assert sorted((str(r.doc_id), [x.item_id for x in r.leaks]) for r in decontam.find_leaks(docs, one, block_chars=block).collect()) == [("None", ["a"]), ("x", ["a"]), ("x", ["a"]), ("y", [])]
+        assert decontam.find_leaks(docs, one, block_chars=block, least_words=2).where("size(leaks) > 0").isEmpty()
+        clash = docs.selectExpr("doc_id", "text", "1 as k1", "2 as K2", "3 as leaks", "4 as id")
+        left = decontam.without_leaks(clash, one, block_chars=block)
+        assert left.columns == clash.columns and [tuple(r) for r in left.collect()] == [("y", "no", 1, 2, 3, 4)]
+
+
+def test_decontam_query_like_brute_force(spark):
+    bench = {r.item_id: decontam.words_of(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    found = decontam.op8_decontam(spark, SF).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        t = decontam.words_of(texts[r.doc_id])
+        want = {i: d for i, p in bench.items() if t and set(p) & set(t) and (d := distance(p, t) if len(set(p) & set(t)) > len(set(p)) // 2 else 99) <= len(p) // 5}
+        assert r.contaminated == bool(want) and r.item_ids == sorted(want) and r.distance == min(want.values(), default=None)
 
 
 def test_top_k_like_sql(spark):
