@@ -194,8 +194,86 @@ def test_lm_odd_rows(spark):
     assert only_held.n_known == 0 and only_held.train_tokens == 0
 
 
-def test_class_probabilities_sum_to_one():
+def test_probabilities_of_a_history_sum_to_one():
     rng = np.random.default_rng(1)
-    w = rng.normal(size=(lm.FEATURES, lm.CLASSES)).astype(np.float32)
-    f = rng.integers(0, lm.FEATURES, (3, 50))
-    assert np.allclose(np.exp(lm.class_log_probs(w, np.zeros(lm.CLASSES, np.float32), f)).sum(1), 1, atol=1e-4)
+    codes = lm.Codes(list(range(1 << 20, (1 << 20) + lm.OWN)))
+    low = np.concatenate((np.arange(1 << 20, (1 << 20) + lm.OWN), np.arange(lm.OWN) + (5 << 20))).astype(np.uint32)
+    assert sorted(codes.of(low)) == list(range(lm.CLASSES * lm.CODES))
+    rows = 1024
+    model = lm.Model(codes, *(rng.normal(size=(rows, 32)).astype(np.float32) for _ in range(2)), rng.normal(size=32).astype(np.float32), rng.normal(size=(32, 32)).astype(np.float32))
+    tok = np.stack([np.full(len(low), 3), np.full(len(low), 700), np.arange(len(low))], 1).ravel()  # one text for each word after the same two
+    p = np.exp(model.log_probs(low, tok, np.arange(len(low) + 1) * 3)[2::3])
+    assert np.isclose(p.sum(), 1, atol=1e-4) and p.min() > 0
+
+
+def slow_mix(x):
+    m = 2**64 - 1
+    x &= m
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+    return x ^ x >> 31
+
+
+def slow_scores(docs, rounds):
+    """The model as its docstring reads, a token at a time: log10 probabilities of whole texts."""
+    name = lambda w: int(lm.END) if w is None else int(word_hashes([w.encode()])[0][0])
+    texts = [(i, [name(w) for w in [*words(t), None]]) for i, t in docs]
+    train = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 != 0
+    c = Counter(w for i, t in texts if train(i) for w in t)
+    signed = lambda w: w - 2**64 if w >= 2**63 else w
+    own = {w & 0xFFFFFFFF: r for r, (w, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], signed(x[0])))[: lm.OWN])}
+    code = lambda w: own.get(w & 0xFFFFFFFF, lm.OWN + (w & 511))
+    n, v = Counter(), Counter()
+    for w, k in c.items():
+        n[code(w)] += k
+        v[code(w)] += 1
+    rows = lm.table_rows(sum(c.values()))
+    by = np.array([sum(n[32 * k + j] for j in range(32)) for k in range(32)])
+    share = (by + 1) / (by + 1).sum()
+    inner = np.array([[(n[32 * k + j] + 0.5) / (by[k] + 16) for j in range(32)] for k in range(32)])
+
+    def tokens(t):
+        for k, w in enumerate(t):
+            one = t[k - 1] & 0xFFFFFFFF if k else 1
+            two = t[k - 2] & 0xFFFFFFFF if k > 1 else 1 if k else 2
+            cls = code(w) // 32
+            f = [x & rows - 1 for x in (slow_mix(one * 3), slow_mix(one * 0x9E3779B97F4A7C15 + two), slow_mix(two * 5 + 9))]
+            g = [cls * (rows // 32) + (x & rows // 32 - 1) for x in (slow_mix(one * 7 + 1), slow_mix(two * 11 + 2))]
+            yield w, cls, code(w) % 32, f, g
+
+    def softmax(bias, table, at):
+        z = np.exp(np.log(bias) + sum(table[r] for r in at))
+        return z / z.sum()
+
+    seen, weights = [np.zeros((rows, 32)) for _ in range(2)], [np.zeros((rows, 32)) for _ in range(2)]
+    for r in range(rounds + 2):
+        expected = [np.zeros((rows, 32)) for _ in range(2)]
+        for i, t in texts:
+            for _, cls, k, f, g in tokens(t) if train(i) else ():
+                for x in f:
+                    seen[0][x, cls] += r == 0
+                    expected[0][x] += softmax(share, weights[0], f) if r else 0
+                for x in g:
+                    seen[1][x, k] += r == 0
+                    expected[1][x] += softmax(inner[cls], weights[1], g) if r else 0
+        shares = share[None], np.repeat(inner, rows // 32, 0)
+        if r:
+            weights = [np.clip(w + (0.5 if r == 1 else 0.3) * np.log((o + 20 * p) / (e + 20 * p)), -8, 8) for w, o, e, p in zip(weights, seen, expected, shares, strict=True)]
+    out = []
+    for i, t in texts:
+        p = 0.0
+        for w, cls, k, f, g in tokens(t):
+            smooth = 0.001 if code(w) < lm.OWN else 0.1
+            p += math.log10(softmax(share, weights[0], f)[cls] * softmax(inner[cls], weights[1], g)[k] * (c[w] + smooth) / (n[code(w)] + smooth * (v[code(w)] + 1)))
+        out.append((str(i), p))
+    return sorted(out)
+
+
+def test_scores_like_a_slow_loop(spark):
+    rng = random.Random(4)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 5))) for _ in range(700)]
+    docs = [(i, " ".join(vocab[int(700 * rng.random() ** 3)] for _ in range(rng.randint(0, 60)))) for i in range(40)] + [(None, "a b"), (50, None), (51, "never seen words")]
+    for rounds in (0, 1):
+        got = sorted((str(r.doc_id), r.score) for r in lm.score_documents(as_docs(spark, docs), block_bytes=900, rounds=rounds).collect())
+        for (i, p), (j, q) in zip(got, slow_scores(docs, rounds), strict=True):
+            assert i == j and abs(p - q) < 1e-3 * max(1, abs(q)), (i, p, q)
