@@ -1,5 +1,6 @@
 """Catalog, shuffles, whole-track scoring and the local mode."""
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -50,6 +51,71 @@ def test_shuffle_keeps_marginals(spark):
         H.shuffle_contacts(rows, 20, 2, proposal_from="none")
 
 
+def test_each_chromosome_keeps_its_decay(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for chrom, lo, hi in (("chr1", 10, 15.9), ("chr2", 17, 20)):
+        d, x = (2 ** rng.uniform(lo, hi, 4000)).astype(int) + 1024, rng.integers(0, 2_000_000, 4000)
+        rows += [(chrom, int(a), int(a + b)) for a, b in zip(x, d, strict=True)]
+    track = spark.createDataFrame(rows, "chrom1 string, start1 long, start2 long").groupBy("chrom1", "start1", "start2").agg(F.count("*").alias("contacts"))
+    track = track.selectExpr("chrom1", "start1", "start1 + 1 as end1", "chrom1 as chrom2", "start2", "start2 + 1 as end2", "contacts")
+
+    def beyond(df):
+        far = F.sum(F.when(F.abs(F.col("start1") - F.col("start2")) > 65_536 + 1024, F.col("contacts")).otherwise(0)) / F.sum("contacts")
+        return {r.chrom1: r.far for r in df.groupBy("chrom1").agg(far.alias("far")).collect()}
+
+    report = []
+    both = beyond(H.shuffle_track(track, resolution=10, sweeps=3, report=report))
+    alone = {c: beyond(H.shuffle_track(track.where(F.col("chrom1") == c), resolution=10, sweeps=3))[c] for c in both}
+    before = beyond(track)
+    assert set(report[0].status.values()) == {"mixed"} and report[0].sweeps >= 3
+    for c in both:
+        assert abs(both[c] - alone[c]) < 0.01 and abs(both[c] - before[c]) < 0.03
+    assert {h["chrom"] for h in report[0].history} == {"chr1", "chr2"}
+
+
+def test_tile_steps_like_a_slow_loop():
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(0, 40_000, (2, 200))
+    keep = np.abs(x - y) > 1100
+    x, y = x[keep], y[keep]
+    cid = rng.integers(-(2**62), 2**62, len(x))
+    size = 10 * 17
+    d = H.Decay(10, 100, len(x), rng.normal(size=size), rng.normal(size=size))
+    got, moved, _ = H.shuffled_tile(cid, x, y, d, 9000, range(3), 77)
+    want, times, gain = y.copy(), np.zeros(len(x), int), d.gain()
+    for k in range(3):
+        ox, oy, salt = (H._salt(77, k, i) for i in (1, 2, 3))
+        r = [int(H._mixed(np.array([c], np.int64).view(np.uint64) ^ np.uint64(salt))[0]) for c in cid]
+        cells = {}
+        for i in sorted(range(len(x)), key=lambda i: r[i] >> 28):
+            cells.setdefault(((x[i] + ox % 9000) // 9000, (want[i] + oy % 9000) // 9000), []).append(i)
+        for members in cells.values():
+            for i, j in zip(members[::2], members[1::2]):
+                bins = [int(d.bins(np.array([a]), np.array([b]))[0]) for a, b in ((x[i], want[j]), (x[j], want[i]), (x[i], want[i]), (x[j], want[j]))]
+                u = (int(H._mixed(np.array([r[i] ^ r[j] >> 7], np.uint64))[0]) >> 11) / 2**53
+                if min(bins[:2]) >= 0 and u < math.exp(min(0, gain[bins[0]] + gain[bins[1]] - gain[bins[2]] - gain[bins[3]])):
+                    want[i], want[j] = want[j], want[i]
+                    times[[i, j]] += 1
+    assert (got == want).all() and (moved == times).all() and moved.sum() > 20
+    assert sorted(got) == sorted(y)
+
+
+def test_rounds_that_end_early_say_so(spark):
+    rows = H.contact_rows(contacts(spark, SF, "obs").where("abs(start1 - start2) >= 1024 and start1 < start2"))
+    got = H.shuffle_contacts(rows, 20, 2, sweeps=50, max_rounds=2)
+    assert set(got.status.values()) == {"out of rounds"}
+    lone = H.shuffle_contacts(rows.limit(1), 20, 2, sweeps=1, steps=1)
+    assert set(lone.status.values()) == {"stuck"} and lone.contacts.count() == 1
+    none = H.shuffle_contacts(rows.limit(0), 20, 2)
+    assert none.status == {} and none.contacts.count() == 0
+    with pytest.warns(UserWarning, match="out of rounds"):
+        H.shuffle_track(contacts(spark, SF, "obs"), resolution=10, config=EngineConfig(min_shuffle_rows=10), max_rounds=1)
+    rect = {"chrom1": "chr1", "start1": 0, "end1": 60_000, "start2": 0, "end2": 60_000}
+    part = H.shuffle_track(contacts(spark, SF, "obs"), resolution=10, sweeps=0.5, config=EngineConfig(min_shuffle_rows=10), rect=rect)
+    assert part.where("chrom1 <> 'chr1' or start1 >= 60000 or start2 >= 60000").isEmpty() and part.count() > 100
+
+
 def test_shuffled_track_has_twice_the_contacts(spark):
     obs = contacts(spark, SF, "obs")
     upper = obs.where("start2 - start1 >= 1024").agg(F.sum("contacts")).first()[0]
