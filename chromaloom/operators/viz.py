@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,26 +36,26 @@ def scored_points(points: DataFrame, interval: tuple[int, int] | None = None, ro
     return map_points(points, interval, rotate).withColumn("level", (101 + F.floor("score")).cast("int")).orderBy("score")
 
 
-def _ramp(a: str, b: str, n: int) -> list[str]:
-    p, q = COLOURS[a], COLOURS[b]
-    steps = [i / (n - 1) if n > 1 else 0.0 for i in range(n)]
-    return ["#" + "".join(f"{round(x + (y - x) * t):02X}" for x, y in zip(p, q, strict=True)) for t in steps]
+def palette_stops(colours: tuple[str, ...], breaks: tuple[int, ...]) -> list[tuple[int, str]]:
+    """(level, colour) between which a palette is linear: a colour is reached at its break and left after it."""
+    if len(breaks) < len(colours):
+        raise ValueError("a break for each colour is needed")
+    return sorted({(b + after, c) for i, (c, b) in enumerate(zip(colours, breaks, strict=False)) for after in ((1,) if i == 0 else (0, 1))}, key=lambda x: x[0])
 
 
-def palette_breaks(n: int, colours: tuple[str, ...], breaks: tuple[int, ...]) -> list[str]:
-    """n colours: the first up to the first break, ramps from break to break, the last from the last break on."""
-    out = _ramp(colours[0], colours[0], breaks[0])
-    for i in range(1, len(colours)):
-        out += _ramp(colours[i - 1], colours[i], abs(breaks[i] - breaks[i - 1]))
-    return out + _ramp(colours[-1], colours[-1], n - breaks[len(colours) - 1])
+def colours_at(levels: np.ndarray, stops: list[tuple[int, str]]) -> list[str]:
+    """Colours of levels by interpolation of each channel; levels outside the stops have the colour of the nearest."""
+    at = [x for x, _ in stops]
+    rgb = [np.rint(np.interp(levels, at, [COLOURS[c][k] for _, c in stops])).astype(int) for k in range(3)]
+    return [f"#{r:02X}{g:02X}{b:02X}" for r, g, b in zip(*rgb, strict=True)]
 
 
 def score_palette(config: EngineConfig | None = None) -> list[str]:
-    """201 colours for scores from -100 to 100."""
+    """201 colours for scores from -100 to 100: either side has its own stops, and zero its own colour."""
     c = config or EngineConfig()
-    negative = palette_breaks(100, c.score_pal_neg, c.score_pal_neg_breaks)
-    positive = palette_breaks(100, c.score_pal_pos, c.score_pal_pos_breaks)
-    return negative[::-1] + _ramp(c.score_pal_zero, c.score_pal_zero, 1) + positive
+    levels = np.arange(1, 101)
+    below, above = (colours_at(levels, palette_stops(*x)) for x in ((c.score_pal_neg, c.score_pal_neg_breaks), (c.score_pal_pos, c.score_pal_pos_breaks)))
+    return [*reversed(below), *colours_at(np.zeros(1), [(0, c.score_pal_zero)]), *above]
 
 
 def palette_frame(spark: SparkSession, config: EngineConfig | None = None) -> DataFrame:

@@ -143,6 +143,10 @@ def test_grid_values(spark):
 def test_palette(spark):
     p = Z.score_palette()
     assert len(p) == 201 and p[100] == "#D3D3D3" and p[0] == "#000000" and p[200] == "#FFFF00"
+    by_hand = {1: "D3D3D3", 15: "D3D3D3", 16: "D3D3D3", 25: "FFC0CB", 26: "FFC0CB", 45: "FF0000", 46: "FF0000", 60: "FFA500", 85: "FFFF00", 86: "FFFF00", -15: "D3D3D3", -20: "ADD8E6", -50: "0000FF", -85: "000000", 53: "FF5200"}
+    assert {k: p[100 + k] for k in by_hand} == {k: "#" + v for k, v in by_hand.items()}
+    with pytest.raises(ValueError):
+        Z.palette_stops(("red", "blue"), (3,))
     assert Z.palette_frame(spark).where("score = 0").first().level == 101
     with pytest.raises(ValueError):
         Z.map_points(spark.range(1))

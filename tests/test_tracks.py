@@ -12,7 +12,7 @@ from chromaloom.operators import shuffle as H
 from chromaloom.operators.ks import ks_score
 from chromaloom.operators.score import score_points, score_track
 from chromaloom.plans import jobs
-from chromaloom.sources.catalog import TrackCatalog, write_tsv
+from chromaloom.sources.catalog import TrackCatalog, read_intervals_tsv, write_tsv
 from chromaloom.sources.views import chromosomes, contacts
 
 from .conftest import SF
@@ -32,7 +32,30 @@ def test_catalog(spark, tmp_path):
         cat.write("twice", obs.unionByName(obs))
     with pytest.raises(KeyError):
         cat.read("none")
-    assert cat.rm("hic.obs") and not cat.exists("hic.obs")
+    banded = cat.extract("hic.obs", None, (-20_000, -1023))
+    assert "dist" not in banded.columns and "GreaterThanOrEqual(dist,-20000)" in banded._jdf.queryExecution().toString()
+    assert not any("twice" in n or n.startswith("_") for n in cat.ls())
+    assert cat.rm("hic.obs") and not cat.exists("hic.obs") and not cat.rm("hic.obs")
+
+
+def test_catalog_names_signals_and_sets(spark, tmp_path):
+    cat = TrackCatalog(spark, str(tmp_path / "db"))
+    assert cat.ls() == []
+    two = contacts(spark, SF, "obs").limit(20)
+    one = spark.createDataFrame([("chr1", 0, 10, 1.5), ("chr1", 30, 40, None), ("chr2", 5, 9, 2.0)], "chrom string, start long, end long, data double")
+    sets = one.select("chrom", "start", "end").withColumn("strand", F.lit(1))
+    for name, df in (("a1", two), ("a2.b", two), ("a3.b.c", two), ("a4.b.c.d", two), ("chip.k4", one), ("annots.ctcf.fwd", sets)):
+        cat.write(name, df)
+    assert cat.ls() == ["a1", "a2.b", "a3.b.c", "a4.b.c.d", "annots.ctcf.fwd", "chip.k4"] and cat.ls("b.c") == ["a3.b.c", "a4.b.c.d"]
+    assert cat.exists("annots.ctcf.fwd") and not cat.exists("annots.ctcf") and cat.read("a4.b.c.d").count() == 20
+    assert cat.read("chip.k4").count() == 3 and [r.start for r in cat.overlapping("chip.k4", "chr1", 9, 31).orderBy("start").collect()] == [0, 30]
+    for bad in (lambda: cat.extract("chip.k4"), lambda: cat.overlapping("a1", "chr1", 0, 9), lambda: cat.write("x", two.select("chrom1"))):
+        with pytest.raises(ValueError):
+            bad()
+    cat.write("chip.k4", one.limit(1))
+    assert cat.read("chip.k4").count() == 1 and cat.rm("chip.k4") and "chip.k4" not in cat.ls()
+    write_tsv(sets, str(tmp_path / "sets"))
+    assert read_intervals_tsv(spark, str(tmp_path / "sets")).count() == 3 and read_intervals_tsv(spark, str(tmp_path / "sets"), data=True).columns[-1] == "data"
 
 
 def test_shuffle_keeps_marginals(spark):
