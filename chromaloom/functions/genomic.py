@@ -42,3 +42,8 @@ def hash_uniform(*parts: Column | str) -> Column:
 def hash28(*parts: Column | str) -> Column:
     cols = [F.col(p) if isinstance(p, str) else p for p in parts]
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[c.cast("string") for c in cols])), 1, 7), 16, 10).cast("long")
+
+
+def log_grid_bin(width: int, resolution: int, min_dist: int, x: str = "start1", y: str = "start2") -> tuple[Column, Column]:
+    """A contact's place in a grid of midpoints, ``width`` wide, and log distances."""
+    return F.floor((F.col(x) + F.col(y)) / 2 / width), distance_bin(resolution, min_dist, x, y)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..operators.contacts import distinct_points, pool
+from ..operators.contacts import pool
 from ..operators.decay import adjusted_expand, auto_resolution, auto_smooth
 from ..operators.intervals import pending
 from ..operators.score import kk_norm, score_track
@@ -85,5 +85,4 @@ def shuffle_and_score(obs: list[DataFrame], interval: dict, chrom_size: int, con
     scores = kk_norm(frame(rows, "x", "y"), exp, points, c.k, 2 * c.k)
     if distinct:
         return scores
-    every = points.select(F.col("chrom1").alias("chrom"), "start1", "start2") if not distinct else distinct_points(points)
-    return every.join(scores, ["chrom", "start1", "start2"])
+    return points.select(F.col("chrom1").alias("chrom"), "start1", "start2").join(scores, ["chrom", "start1", "start2"])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..functions.genomic import beyond, distance_bin, in_band
+from ..functions.genomic import beyond, distance_bin, in_band, log_grid_bin
 from ..operators import contacts as C
 from ..operators import decay as D
 from ..operators import enrich as E
@@ -17,8 +17,10 @@ from ..operators import ks as K
 from ..operators import score as S
 from ..operators import shuffle as H
 from ..operators import viz as Z
-from ..operators.knn import knn_ranked, tiled
+from ..operators import virtual as V
+from ..operators.knn import knn_ranked
 from ..sources.views import chromosomes, contacts, features
+from .jobs import shuffle_and_score as shuffle_and_score_region
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -135,10 +137,12 @@ def tile_point_counts(spark, d):
     return grid.join(n, ["chrom", "start1", "start2"], "left").fillna(0, ["n_points"])
 
 
-@query("tiles_missing", TRACK + _TILES + " select chrom, start1, start2 from tiles t where not exists (select 1 from track p where src = 'obs' and p.chrom1 = t.chrom and p.start1 // 150000 * 150000 = t.start1 and p.start2 // 150000 * 150000 = t.start2)")
+@query("tiles_missing", TRACK + _TILES.replace("150000", "20000") + " select chrom, start1, start2 from tiles t anti join (select distinct chrom1 as chrom, start1 // 20000 * 20000 as start1, start2 // 20000 * 20000 as start2 from track where src = 'obs') p using (chrom, start1, start2)")
 def tiles_missing(spark, d):
-    done = tile_point_counts(spark, d).where("n_points > 0")
-    return I.pending(I.tiles(chromosomes(spark, d), 150_000).select("chrom", "start1", "start2"), done, ["chrom", "start1", "start2"])
+    """Tiles without a contact are what is left to do."""
+    at = lambda c: (F.floor(F.col(c) / 20_000) * 20_000).alias(c)
+    done = contacts(spark, d, "obs").select(F.col("chrom1").alias("chrom"), at("start1"), at("start2")).distinct()
+    return I.pending(I.tiles(chromosomes(spark, d), 20_000).select("chrom", "start1", "start2"), done, ["chrom", "start1", "start2"])
 
 
 @query("band_intersect", TRACK + _TILES + """, b as (
@@ -195,13 +199,21 @@ def auto_resolution(spark, d):
 
 @query("expand_adjust", TRACK + """ select chrom, round((pow(2.0::double, ceil(ln(cast("end" + 2000000 as double)) / ln(2.0::double) * 50) / 50) - "end") / 2, 3) as expand from chroms""")
 def expand_adjust(spark, d):
-    grown = F.ceil(F.log((F.col("end") + 2_000_000).cast("double")) / F.log(F.lit(2.0)) * 50) / 50
-    return chromosomes(spark, d).select("chrom", F.round((F.pow(F.lit(2.0), grown) - F.col("end")) / 2, 3).alias("expand"))
+    rows = [(r.chrom, round(D.adjusted_expand(r.end, 1_000_000, 50), 3)) for r in chromosomes(spark, d).collect()]  # a row a chromosome
+    return spark.createDataFrame(rows, "chrom string, expand double")
 
 
 KNN = 20
 K_WHOLE = EngineConfig().k
 _POINTS = f", pts as (select distinct chrom1 as chrom, start1, start2 from track where src = 'obs' and {_IN(FOCUS)} and abs(start1 - start2) > 1024)"
+_EVERY_POINT = ", pts as (select distinct chrom1 as chrom, start1, start2 from track where src = 'obs' and abs(start1 - start2) > 1024)"
+
+
+def _nearest_once(src: str, k: int) -> str:
+    """Each reference once, whatever its count; the k least distances by one aggregate in place of a sort of all pairs."""
+    return f"""(select chrom, start1, start2, unnest(range(1, {k + 1})) as rn, unnest(d) as dist from (
+    select p.chrom, p.start1, p.start2, min(cast(round(sqrt(pow(p.start1 - r.start1, 2) + pow(p.start2 - r.start2, 2))) as bigint), {k}) as d
+    from pts p join track r on r.src = '{src}' and r.chrom1 = p.chrom group by all having count(*) >= {k}))"""
 
 
 def _near(src: str, k: int) -> str:
@@ -212,23 +224,23 @@ def _near(src: str, k: int) -> str:
   where rn <= {k})"""
 
 
-def _focus_points(spark, d):
-    return C.distinct_points(C.pool([contacts(spark, d, "obs")], FOCUS, MIN_DIST))
+def _far_points(spark, d):
+    return C.distinct_points(C.pool([contacts(spark, d, "obs")], None, MIN_DIST))
 
 
 def _knn(spark, d, src, k):
-    refs = S._refs(C.pool([contacts(spark, d, src)], None, MIN_DIST), "contacts")
-    return knn_ranked(S._points(_focus_points(spark, d)), refs, k)
+    return knn_ranked(S._points(_far_points(spark, d)), S._refs(C.pool([contacts(spark, d, src)], None, MIN_DIST), "contacts"), k)
 
 
-@query("knn_obs", TRACK + _POINTS + f" select chrom, start1, start2, cast(rn as integer) as rn, dist from {_near('obs', KNN)}")
+@query("knn_obs")
 def knn_obs(spark, d):
-    return _knn(spark, d, "obs", KNN).select("point_id.*", "rn", "dist")
+    """Neighbours of every distinct contact of every chromosome at the default k, each as often as its count; brute force in the tests."""
+    return _knn(spark, d, "obs", K_WHOLE).select("point_id.*", "rn", "dist")
 
 
-@query("knn_exp", TRACK + _POINTS + f" select chrom, start1, start2, cast(rn as integer) as rn, dist from {_near('exp', 2 * KNN)}")
+@query("knn_exp")
 def knn_exp(spark, d):
-    return _knn(spark, d, "exp", 2 * KNN).select("point_id.*", "rn", "dist")
+    return _knn(spark, d, "exp", 2 * K_WHOLE).select("point_id.*", "rn", "dist")
 
 
 def _ks(k: int, ke: int, near_o: str, near_e: str) -> str:
@@ -252,48 +264,17 @@ _KS = TRACK + _POINTS + _ks(KNN, 2 * KNN, _near("obs", KNN), _near("exp", 2 * KN
 _SCORE = "case when -min_d < max_d then max_d else min_d end / 10.0::double as score"
 
 
-@query("ks_components", _KS + " select chrom, start1, start2, max_d, min_d from mm")
+@query("ks_components")
 def ks_components(spark, d):
-    ranked = _knn(spark, d, "obs", KNN).withColumn("src", F.lit("obs")).unionByName(_knn(spark, d, "exp", 2 * KNN).withColumn("src", F.lit("exp")))
-    return K.ks_components(ranked, KNN, 2 * KNN).select("point_id.*", "max_d", "min_d")
-
-
-@query("kk_score", _KS.replace(", unnest(range(r.contacts))", "") .replace(" cross join unnest(range(r.contacts))", "").replace("abs(r.start1 - r.start2) > 1024 and ", "") + f" select chrom, start1, start2, {_SCORE} from mm")
-def kk_score(spark, d):
-    """The flagship: scores of a focus region's contacts against frames as given."""
-    obs, exp = _both(spark, d)
-    return S.kk_norm(obs, exp, _focus_points(spark, d), KNN, 2 * KNN)
-
-
-def _whole_points(spark, d):
-    return C.distinct_points(C.pool([contacts(spark, d, "obs")], None, MIN_DIST))
-
-
-def _whole_knn(spark, d, src, k):
-    return knn_ranked(S._points(_whole_points(spark, d)), S._refs(C.pool([contacts(spark, d, src)], None, MIN_DIST), "contacts"), k)
-
-
-@query("knn_obs_whole")
-def knn_obs_whole(spark, d):
-    """Neighbours of every distinct contact of every chromosome at the default k; brute force in the tests."""
-    return _whole_knn(spark, d, "obs", K_WHOLE).select("point_id.*", "rn", "dist")
-
-
-@query("knn_exp_whole")
-def knn_exp_whole(spark, d):
-    return _whole_knn(spark, d, "exp", 2 * K_WHOLE).select("point_id.*", "rn", "dist")
-
-
-@query("ks_components_whole")
-def ks_components_whole(spark, d):
-    ranked = _whole_knn(spark, d, "obs", K_WHOLE).withColumn("src", F.lit("obs")).unionByName(_whole_knn(spark, d, "exp", 2 * K_WHOLE).withColumn("src", F.lit("exp")))
+    ranked = _knn(spark, d, "obs", K_WHOLE).withColumn("src", F.lit("obs")).unionByName(_knn(spark, d, "exp", 2 * K_WHOLE).withColumn("src", F.lit("exp")))
     return K.ks_components(ranked, K_WHOLE, 2 * K_WHOLE).select("point_id.*", "max_d", "min_d")
 
 
-@query("kk_score_whole")
-def kk_score_whole(spark, d):
+@query("kk_score", TRACK + _EVERY_POINT + _ks(K_WHOLE, 2 * K_WHOLE, _nearest_once("obs", K_WHOLE), _nearest_once("exp", 2 * K_WHOLE)) + f" select chrom, start1, start2, {_SCORE} from mm")
+def kk_score(spark, d):
+    """The flagship: scores of every contact against frames as given."""
     obs, exp = _both(spark, d)
-    return S.kk_norm(obs, exp, _whole_points(spark, d), K_WHOLE, 2 * K_WHOLE)
+    return S.kk_norm(obs, exp, _far_points(spark, d), K_WHOLE, 2 * K_WHOLE)
 
 
 @query("score_focus", _KS + f" select chrom, start1, start2, {_SCORE} from mm")
@@ -302,11 +283,23 @@ def score_focus(spark, d):
     return S.score_region([obs], [exp], FOCUS, REGION, k=KNN, min_points=20)
 
 
-@query("score_gate", TRACK + " select chrom1 as chrom, start1, start2, 0.0::double as score from track where 1 = 0")
+_GATES = (("open", 50_000, 10), ("closed", 50_000, 1_000_000), ("narrow", 40_001, 10))
+
+
+def _gate_sql() -> str:
+    parts = [f"select '{name}' as focus, case when count(*) < {least} then 0 else count(distinct (start1, start2)) end as n_scores from track where src = 'obs' and {_IN(FOCUS | {'end1': end})} and abs(start1 - start2) > 1024" for name, end, least in _GATES]
+    return TRACK + " " + " union all ".join(parts)
+
+
+@query("score_gate", _gate_sql())
 def score_gate(spark, d):
-    """A focus with fewer pooled rows than asked for has no scores."""
+    """How many contacts of a focus are scored: none where fewer pooled rows lie in it than asked for."""
     obs, exp = _both(spark, d)
-    return S.score_region([obs], [exp], FOCUS | {"end1": 40_001}, REGION, k=KNN)
+    out = None
+    for name, end, least in _GATES:
+        n = S.score_region([obs], [exp], FOCUS | {"end1": end}, REGION | {"end1": 1 << 40, "end2": 1 << 40}, k=4, min_points=least).agg(F.lit(name).alias("focus"), F.count("*").alias("n_scores"))
+        out = n if out is None else out.unionByName(n)
+    return out
 
 
 @query("score_upper_tile", TRACK + f", pts as (select distinct chrom1 as chrom, start1, start2 from track where src = 'obs' and chrom1 = 'chr2' and start1 >= 20000 and start1 < 40000 and start2 >= 20000 and start2 < 150000 and abs(start1 - start2) > 1024)" + _ks(KNN, 2 * KNN, _near("obs", KNN), _near("exp", 2 * KNN)) + f" select chrom, start1, start2, {_SCORE} from mm where start1 <= start2")
@@ -324,10 +317,37 @@ def score_whole_track(spark, d):
     return scores
 
 
-@query("score_tile_status")
+def _status_sql(width: int, reach: int, k: int, least: int) -> str:
+    return TRACK + f""", cut as (
+  select chrom, "end" as size, s as start, least(s + {width}, "end") as "end" from (select chrom, "end", unnest(range(0, "end", {width})) as s from chroms)
+), t as (
+  select concat_ws(':', a.chrom, a.start, b.start) as tile, a.chrom, a.start as start1, a."end" as end1, b.start as start2, b."end" as end2 from cut a join cut b on a.chrom = b.chrom and a.start <= b.start
+), far as (
+  select * from track where abs(start1 - start2) > 1024
+), p as (
+  select tile, count(*) as n_points, count(distinct (p.start1, p.start2)) filter (p.start1 <= p.start2) as n_upper
+  from t join far p on p.src = 'obs' and p.chrom1 = t.chrom and p.start1 // {width} * {width} = t.start1 and p.start2 // {width} * {width} = t.start2 group by 1
+), r as (
+  select tile, sum(p.contacts) filter (src = 'obs') as o, sum(p.contacts) filter (src = 'exp') as e
+  from t join far p on p.chrom1 = t.chrom and p.start1 >= t.start1 - {reach} and p.start1 < t.start1 + {width} + {reach} and p.start2 >= t.start2 - {reach} and p.start2 < t.start2 + {width} + {reach} group by 1
+), n as (
+  select t.*, coalesce(n_points, 0) as n_points, case when n_points >= {least} and o >= {k} and e >= {2 * k} then n_upper else 0 end as n_scores from t left join p using (tile) left join r using (tile)
+) select tile, chrom, start1, end1, start2, end2, n_points, n_scores, cast(n_scores > 0 as integer) as status from n"""
+
+
+@query("score_tile_status", _status_sql(100_000, 40_000, KNN, 100))
 def score_tile_status(spark, d):
     obs, exp = _both(spark, d)
-    return S.score_track([obs], [exp], chromosomes(spark, d), near_cis=500_000, expand=200_000, k=KNN, min_points=100)[1]
+    return S.score_track([obs], [exp], chromosomes(spark, d), near_cis=100_000, expand=40_000, k=KNN, min_points=100)[1]
+
+
+@query("shuffle_and_score")
+def shuffle_and_score(spark, d):
+    """The local mode on one region, at the default sweeps: a shuffled neighbourhood and the scores of the region's upper contacts."""
+    size = chromosomes(spark, d).where("chrom = 'chr2'").first().end  # one row
+    region = {"chrom1": "chr2", "start1": 20_000, "end1": 90_000, "start2": 20_000, "end2": 90_000}
+    found = shuffle_and_score_region([contacts(spark, d, "obs")], region, size, EngineConfig(min_points=100, k=KNN))
+    return found if found is not None else spark.createDataFrame([], "chrom string, start1 long, start2 long, score double")
 
 
 @query("k_exp_ratio", TRACK + " select chrom1 as chrom, cast(round(100.0::double * (sum(contacts) filter (src = 'exp')) / (sum(contacts) filter (src = 'obs'))) as bigint) as k_exp from track where abs(start1 - start2) > 1024 group by 1")
@@ -409,9 +429,47 @@ def grid_size(spark, d):
     return E.feature_grid(features(spark, d, 1), features(spark, d, 2), obs, exp, None, None, REACH, GRID_RES, NEAR, FAR)[1]
 
 
-@query("grid_sum_replicates", TRACK + _PAIRS + _lattice() + " select bin1, bin2, 2 * obs as obs, 2 * exp as exp from grid")
+@query("grid_sum_replicates", TRACK + _PAIRS + _lattice() + " select bin1, bin2, obs + exp as obs, exp + obs as exp from grid")
 def grid_sum_replicates(spark, d):
-    return E.sum_grids([_feature_grid(spark, d), _feature_grid(spark, d)])
+    """Two replicates, of which the second has the tracks the other way round."""
+    grid = _feature_grid(spark, d)
+    return E.sum_grids([grid, grid.select("bin1", "bin2", F.col("exp").alias("obs"), F.col("obs").alias("exp"))])
+
+
+@query("grid_score_filtered", TRACK + _PAIRS.replace("anchors as (", "every as (") + f""", anchors as (
+  select a.* from every a semi join (select * from track where src = 'obs' and contacts > 2) t on t.chrom1 = a.chrom and abs(t.start1 - a.anchor1) <= {REACH} and abs(t.start2 - a.anchor2) <= {REACH}
+)""" + _lattice() + " select * from grid")
+def grid_score_filtered(spark, d):
+    """The grid of those pairs that have a high score in their box."""
+    obs, exp = _both(spark, d)
+    scores = obs.withColumn("score", F.col("contacts").cast("double"))
+    return E.feature_grid(features(spark, d, 1), features(spark, d, 2), obs, exp, scores, 2.0, REACH, GRID_RES, NEAR, FAR)[0]
+
+
+@query("grid_counts_nearest", TRACK + _PAIRS + f""", hit as (
+  select t.chrom1, t.start1, t.start2, a.anchor1, a.anchor2, row_number() over (partition by t.chrom1, t.start1, t.start2 order by abs(t.start1 - a.anchor1) + abs(t.start2 - a.anchor2), a.anchor1, a.anchor2) as nth
+  from (select distinct chrom1, start1, start2 from track where src = 'obs' and start1 - start2 >= -{FAR} and start1 - start2 < -{NEAR}) t
+  join (select distinct * from anchors) a on t.chrom1 = a.chrom and abs(t.start1 - a.anchor1) <= {REACH} and abs(t.start2 - a.anchor2) <= {REACH}
+) select greatest(1, cast(ceil((start1 - anchor1 + {REACH}) / {GRID_RES}.0::double) as integer)) as bin1, greatest(1, cast(ceil((start2 - anchor2 + {REACH}) / {GRID_RES}.0::double) as integer)) as bin2, count(*) as n
+from hit where nth = 1 group by all""")
+def grid_counts_nearest(spark, d):
+    """Each contact counted at its nearest anchor pair alone."""
+    return E.grid_counts(contacts(spark, d, "obs"), _anchors(spark, d), REACH, GRID_RES, NEAR, FAR, mode="nearest")
+
+
+@query("virtual_track_max", TRACK + f"""{_PAIRS} select p.chrom, p.start1, p.start2, max(t.contacts) as v from (select distinct * from pairs) p
+  left join track t on t.src = 'obs' and t.chrom1 = p.chrom and t.start1 >= p.start1 - 300 and t.start1 < p.end1 + 300 and t.start2 >= p.start2 - 300 and t.start2 < p.end2 + 300 group by all""")
+def virtual_track_max(spark, d):
+    """The greatest count within 300 bases of every feature pair."""
+    rects = feature_pairs(spark, d).distinct().select(F.col("chrom").alias("chrom1"), "start1", "end1", F.col("chrom").alias("chrom2"), "start2", "end2")
+    found = V.VirtualTrack("v", contacts(spark, d, "obs"), "max", "contacts", (-300, 300), (-300, 300)).over(rects)
+    return found.select(F.col("chrom1").alias("chrom"), "start1", "start2", "v")
+
+
+@query("log_grid_counts", TRACK + f" select chrom1 as chrom, cast(floor((start1 + start2) / 2.0::double / 100000) as bigint) as midpoint, {_bin()} as dbin, cast(sum(contacts) as bigint) as n from track where src = 'obs' group by all")
+def log_grid_counts(spark, d):
+    mid, dbin = log_grid_bin(100_000, RES, MIN_DIST)
+    return contacts(spark, d, "obs").groupBy(F.col("chrom1").alias("chrom"), mid.alias("midpoint"), dbin.alias("dbin")).agg(F.sum("contacts").alias("n"))
 
 
 _HALF = REACH // GRID_RES
@@ -469,9 +527,23 @@ def score_color_level(spark, d):
     return Z.scored_points(scored).select("start1", "start2", "level")
 
 
-@query("palette_201", "select cast(i as integer) as score, cast(i + 101 as integer) as level from range(-100, 101) t(i)")
+def _palette_sql() -> str:
+    """Every score's colour by interpolation between the stops on either side of it."""
+    c = EngineConfig()
+    rows = [(side, at, *Z.COLOURS[name]) for side, colours, breaks in ((1, c.score_pal_pos, c.score_pal_pos_breaks), (-1, c.score_pal_neg, c.score_pal_neg_breaks)) for at, name in [(0, c.score_pal_zero), (breaks[0], colours[0]), *((b + 1, n) for b, n in zip(breaks, colours, strict=False)), *((b, n) for b, n in list(zip(breaks, colours, strict=False))[1:]), (100, colours[-1])]]
+    mixed = ", ".join(f"cast(round_even(a.{k} + (b.{k} - a.{k}) * (n - a.pos) / greatest(b.pos - a.pos, 1)::double, 0) as integer)" for k in "rgb")
+    return f"""with stop as (
+  select distinct * from (values {", ".join(map(str, rows))}) t(side, pos, r, g, b)
+), s as (
+  select i as score, abs(i) as n, case when i < 0 then -1 else 1 end as side from range(-100, 101) t(i)
+), ab as (
+  select s.*, max(p.pos) filter (p.pos <= n) as low, min(p.pos) filter (p.pos >= n) as high from s join stop p using (side) group by all
+) select cast(score as integer) as score, cast(score + 101 as integer) as level, printf('#%02X%02X%02X', {mixed}) as colour from ab join stop a on a.side = ab.side and a.pos = low join stop b on b.side = ab.side and b.pos = high"""
+
+
+@query("palette_201", _palette_sql())
 def palette_201(spark, d):
-    return Z.palette_frame(spark).select("score", "level")
+    return Z.palette_frame(spark)
 
 
 @query("signal_lane", "select 'chr1' as chrom, greatest(event_id * 100, 20000) as start, least(event_id * 100 + 100, 500000) as \"end\", value as data from events where value is not null and event_id * 100 < 500000 and event_id * 100 + 100 > 20000")
@@ -487,7 +559,7 @@ CELL = 100_000
 def _round_sql() -> str:
     b = lambda x, y: _bin(x, y, 20)
     return TRACK + f""", r as (
-  select chrom1 as chrom, chrom1 || '/' || start1 || '/' || start2 as cid, start1 as x, start2 as y from track where src = 'obs'
+  select chrom1 as chrom, chrom1 || '/' || start1 || '/' || start2 || '/' || copy as cid, start1 as x, start2 as y from track, unnest(range(1, contacts + 1)) u(copy) where src = 'obs'
 ), o as (select {_H("'7'", "'0'", "'x'")} % {CELL} as ox, {_H("'7'", "'0'", "'y'")} % {CELL} as oy
 ), c as (
   select r.*, (x + ox) // {CELL} as gx, (y + oy) // {CELL} as gy, {_H("'7'", "'0'", "cid")} as h from r, o
@@ -502,8 +574,14 @@ def _round_sql() -> str:
 )"""
 
 
+def _copies(spark, d):
+    """Every contact as often as its count."""
+    rows = contacts(spark, d, "obs").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "contacts")))
+    return rows.select(F.col("chrom1").alias("chrom"), F.concat_ws("/", "chrom1", "start1", "start2", "copy").alias("cid"), F.col("start1").alias("x"), F.col("start2").alias("y"))
+
+
 def _round(spark, d):
-    rows = contacts(spark, d, "obs").select(F.col("chrom1").alias("chrom"), F.concat_ws("/", "chrom1", "start1", "start2").alias("cid"), F.col("start1").alias("x"), F.col("start2").alias("y"))
+    rows = _copies(spark, d)
     return rows, H.swap_round(rows, 7, 0, CELL, 20, MIN_DIST, lambda b: -b * 0.03125)
 
 
@@ -512,16 +590,38 @@ def shuffle_round_hash(spark, d):
     return _round(spark, d)[1]
 
 
-@query("shuffle_marginals_kept", "select cast(0 as bigint) as changed")
+@query("shuffle_marginals_kept", TRACK + " select chrom1 as chrom, 'x' as axis, start1 as at, cast(sum(contacts) as bigint) as n from track where src = 'obs' group by all union all select chrom1, 'y', start2, cast(sum(contacts) as bigint) from track where src = 'obs' group by all")
 def shuffle_marginals_kept(spark, d):
-    """Coordinates whose multiplicity a round changed, on either axis: none."""
-    before, after = _round(spark, d)
-    off = None
-    for c in ("x", "y"):
-        part = before.select("chrom", F.col(c).alias("at"), F.lit(1).alias("n")).unionByName(after.select("chrom", F.col(c).alias("at"), F.lit(-1).alias("n")))
-        part = part.groupBy("chrom", "at").agg(F.sum("n").alias("n")).where("n <> 0").agg(F.count("*").alias("changed"))
-        off = part if off is None else off.unionByName(part)
-    return off.agg(F.sum("changed").alias("changed"))
+    """The marginals of both axes after a round, which are those of the track."""
+    after = _round(spark, d)[1]
+    sides = [after.groupBy("chrom", F.lit(c).alias("axis"), F.col(c).alias("at")).agg(F.count("*").alias("n")) for c in ("x", "y")]
+    return sides[0].unionByName(sides[1])
+
+
+def _own_decay_sql() -> str:
+    by = _round_sql()
+    start, end = by.index(", q as ("), by.index(", m as (")
+    own = f", own as (select chrom1 as chrom, {_bin('start1', 'start2', 20)} as dbin, cast(sum(contacts) as bigint) as n from track where src = 'obs' group by all)"
+    looks = " ".join(f"left join own {c} on {c}.chrom = q0.chrom and {c}.dbin = q0.b_{c[1:]}" for c in ("li", "lj", "lij", "lji"))
+    li, lj, lij, lji = (f"ln((1 + coalesce({c}.n, 0))::double)" for c in ("li", "lj", "lij", "lji"))
+    q0 = by[start:end].replace(", q as (", ", q0 as (")
+    return by[:start] + own + q0 + f""", q as (
+  select q0.*, {lij} + {lji} - {li} - {lj} as gain from q0 {looks}
+), m as (
+  select *, coalesce(pcid is not null and b_ij >= 0 and b_ji >= 0 and u < exp(least(0.0::double, gain)), false) as moved from q
+) select chrom, x, case when moved then py else y end as y, count(*) as n, count(*) filter (moved) as moved from m group by 1, 2, 3"""
+
+
+@query("shuffle_round_own_decay", _own_decay_sql())
+def shuffle_round_own_decay(spark, d):
+    """One step in which each chromosome's moves are weighed by its own decay."""
+    rows = _copies(spark, d)
+    own = rows.groupBy("chrom", distance_bin(20, MIN_DIST, "x", "y").alias("dbin")).agg(F.count("*").alias("n"))
+    size = 20 * 32
+    every = own.select("chrom").distinct().withColumn("dbin", F.explode(F.sequence(F.lit(-1).cast("long"), F.lit(size).cast("long"))))
+    value = every.join(own, ["chrom", "dbin"], "left").select("chrom", "dbin", F.log(1.0 + F.coalesce("n", F.lit(0))).alias("value"))
+    out = H.swap_round(rows, 7, 0, CELL, 20, MIN_DIST, value)
+    return out.groupBy("chrom", "x", "y").agg(F.count("*").alias("n"), F.sum(F.col("moved").cast("long")).alias("moved"))
 
 
 @query("shuffle_counts", _round_sql() + " select chrom as chrom1, x as start1, case when moved then py else y end as start2, count(*) as contacts from m group by all")

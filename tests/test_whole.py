@@ -39,18 +39,18 @@ def test_every_contact_like_brute_force(spark):
         far[src], every[src] = ({c: np.array(v) for c, v in d.items()} for d in (f, e))
     assert {c for c, *_ in points} == {"chr1", "chr2", "chr3"}
     obs, exp = nearest(points, far["obs"], K), nearest(points, far["exp"], 2 * K)
-    for name, want in (("knn_obs_whole", obs), ("knn_exp_whole", exp)):
+    for name, want in (("knn_obs", obs), ("knn_exp", exp)):
         got = QUERIES[name](spark, SF).toPandas()
         assert len(got) == sum(map(len, want.values()))
         for key, g in got.sort_values("rn").groupby(["chrom", "start1", "start2"]):
             assert (g["dist"].to_numpy() == want[key]).all()
     keys = sorted(points)
-    for name, o, e in (("ks_components_whole", obs, exp), ("kk_score_whole", nearest(points, every["obs"], K), nearest(points, every["exp"], 2 * K))):
+    for name, o, e in (("ks_components", obs, exp), ("kk_score", nearest(points, every["obs"], K), nearest(points, every["exp"], 2 * K))):
         want = dict(zip(keys, ks_score(np.stack([o[x] for x in keys]), np.stack([e[x] for x in keys])), strict=True))
         rows = QUERIES[name](spark, SF).collect()
         assert len(rows) == len(keys)
         for r in rows:
-            score = r.score if name == "kk_score_whole" else (r.max_d if -r.min_d < r.max_d else r.min_d) / 10
+            score = r.score if name == "kk_score" else (r.max_d if -r.min_d < r.max_d else r.min_d) / 10
             assert abs(score - want[r.chrom, r.start1, r.start2]) < 1e-6
 
 
