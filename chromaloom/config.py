@@ -39,6 +39,8 @@ class EngineConfig:
     score_pal_neg: tuple[str, ...] = ("lightgrey", "lightblue", "blue", "black")
     score_pal_pos_breaks: tuple[int, ...] = (15, 25, 45, 60, 85)
     score_pal_neg_breaks: tuple[int, ...] = (15, 20, 50, 85)
+    track_colors: tuple[str, ...] = ("#42413F", "#E69F00", "#56B4E9", "#009E73", "#F0E442", "#0072B2", "#D55E00", "#CC79A7")
+    annotation_colors: tuple[str, ...] = ("#CC79A7", "#D55E00", "#0072B2", "#F0E442", "#009E73", "#56B4E9", "#E69F00", "#42413F")
 
     @classmethod
     def from_file(cls, path: str, base: EngineConfig | None = None, reset: bool = False) -> EngineConfig:

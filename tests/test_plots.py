@@ -1,6 +1,8 @@
+import pytest
+
 from chromaloom.operators import enrich as E
 from chromaloom.operators.decay import decay_histogram
-from chromaloom.plans.plots import plot_feature_grid, plot_scored_map
+from chromaloom.plans.plots import axis_ticks, plot_feature_grid, plot_scored_map, stacked
 from chromaloom.sources.fixtures import sample_catalog
 from chromaloom.sources.views import features
 
@@ -26,4 +28,10 @@ def test_scored_map(spark, tmp_path):
     sig = ann.selectExpr("chrom", "start", "end", "1.5D as data")
     svg = plot_scored_map(pts, "chr1", (20_000, 40_000), {"signal": sig}, {"parts": ann}, genes=ann)
     assert svg.count("<circle") > 5 and svg.count("<rect") > 5
+    assert svg.count("<line") == 1 and "#42413F" in svg and "#CC79A7" in svg and "20,000" in svg
+    plain = plot_scored_map(pts, "chr1", (20_000, 40_000), {"signal": sig}, {"parts": ann}, axis=False, track_colors=("#111111",), annotation_colors=("#222222",), ylims={"signal": (0, 3)}, stacking="dense", ideogram=ann)
+    assert "<line" not in plain and "#111111" in plain and "#222222" in plain and "#888888" in plain
+    with pytest.raises(ValueError):
+        plot_scored_map(pts, "chr1", (0, 9), stacking="none")
+    assert stacked([(0, 5), (4, 8), (5, 9), (8, 9)]) == [0, 1, 0, 1] and axis_ticks(20_000, 40_000) == [20_000, 25_000, 30_000, 35_000, 40_000]
     assert decay_histogram(cat.read("hic.obs"), 10, 1024).count() > 10
