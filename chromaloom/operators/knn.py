@@ -1,10 +1,11 @@
 """Exact k nearest neighbours in the plane, as a join on tiles.
 
-Points are dealt to square tiles and references to every tile whose square, widened by a
-halo, holds them. In a task a point's k-th neighbour is final if it is nearer than the border
+Points are dealt to square tiles, and a reference is sent to those tiles that hold points and whose square, widened by a
+halo, holds it. In a task a point's k-th neighbour is final if it is nearer than the border
 of what the task can see. Points that are not final go to the next round with tiles and
-halo twice (four times) as wide; the last round sees everything at once only for the points
-whose neighbourhoods are that sparse. Inside a task references are sorted into fine cells,
+halo four times as wide. Points that no halo short of everything settles meet all references of their
+chromosome in the last round, block by block, and the blocks' nearest are merged. Chromosomes with fewer references than
+asked for are left out at once. Rounds are written, so a lost executor costs one. Inside a task references are sorted into fine cells,
 so that work follows the local density. References with a count are met once and weigh
 as many neighbours as the count says; none is replicated before the shuffle.
 """
@@ -18,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stages import written as _written
+
 
 def nearest(px: np.ndarray, py: np.ndarray, rx: np.ndarray, ry: np.ndarray, weight: np.ndarray, k: int, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(n, k) ascending distances from points to weighted references, and which rows are final: k-th distance within ``reach``.
@@ -80,41 +83,93 @@ def _k_smallest(d: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _settling(need: list[int], finish: Callable[[list[np.ndarray]], dict[str, pa.Array]], tile: int, halo: int, last: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The work of one tile: rows of the points that are final here, and the ids of the others."""
+def _rows(t: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    ids = t.column("point_id").combine_chunks()
+    if pa.types.is_struct(ids.type):  # Spark's schema of the result has fields that may be null
+        ids = ids.cast(pa.struct([pa.field(f.name, f.type) for f in ids.type]))
+    return ids, *(t.column(c).to_numpy().astype(np.float64) for c in ("x", "y"))
+
+
+def _distances(px: np.ndarray, py: np.ndarray, right: pa.Table, need: list[int], reach: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of each reference set the k least distances, and which points are final in all sets."""
+    src, n = right.column("src").to_numpy(), right.column("n").to_numpy()
+    rx, ry = (right.column(c).to_numpy().astype(np.float64) for c in ("x", "y"))
+    got = [nearest(px, py, rx[src == i], ry[src == i], n[src == i], k, reach) for i, k in enumerate(need)]
+    return [d for d, _ in got], np.logical_and.reduce([ok for _, ok in got]) if len(px) else np.zeros(0, bool)
+
+
+def _finished(ids: pa.Array, found: list[np.ndarray], final: np.ndarray, finish: Callable[[list[np.ndarray]], dict[str, pa.Array]]) -> pa.Table:
+    """Rows of the final points that have enough neighbours, and the ids of the points that are not final."""
+    full = np.logical_and.reduce([np.isfinite(d[:, -1]) for d in found]) if len(final) else final
+    made = finish([np.rint(d[final & full]).astype(np.int64) for d in found])
+    rows, rest = np.flatnonzero(final & full), np.flatnonzero(~final)
+    cols = {"point_id": pa.concat_arrays([ids.take(pa.array(rows)), ids.take(pa.array(rest))]), "settled": pa.array(np.arange(len(rows) + len(rest)) < len(rows))}
+    return pa.table(cols | {name: pa.concat_arrays([a, pa.nulls(len(rest), a.type)]) for name, a in made.items()})
+
+
+def _in_tiles(todo: DataFrame, every: DataFrame, need: list[int], finish: Callable, schema: str, tile: int, id_type: str) -> DataFrame:
+    """One round: a tile's points against the references of the tile and of a halo as wide around it."""
+    at = lambda c: F.floor(F.col(c) / tile)
+    pts = todo.select("point_id", "chrom", "x", "y", at("x").alias("tx"), at("y").alias("ty"))
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("d")
+    wanted = todo.select("chrom", at("x").alias("tx"), at("y").alias("ty")).distinct().select("chrom", "tx", "ty", around)
+    wanted = wanted.select("chrom", "tx", "ty", (F.col("tx") + F.col("d.i")).alias("ox"), (F.col("ty") + F.col("d.j")).alias("oy"))
+    ref = every.withColumns({"ox": at("x"), "oy": at("y")}).join(wanted, ["chrom", "ox", "oy"]).drop("ox", "oy")
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = left.column("point_id").combine_chunks()
-        if pa.types.is_struct(ids.type):  # Spark's schema of the result has fields that may be null
-            ids = ids.cast(pa.struct([pa.field(f.name, f.type) for f in ids.type]))
-        px, py = (left.column(c).to_numpy().astype(np.float64) for c in ("x", "y"))
-        if left.num_rows and not last:
-            tx, ty = left.column("tx")[0].as_py(), left.column("ty")[0].as_py()
-            reach = np.minimum.reduce([px - (tx * tile - halo), (tx + 1) * tile + halo - px, py - (ty * tile - halo), (ty + 1) * tile + halo - py]) - 1
-        else:
-            reach = np.full(left.num_rows, np.inf)
-        src = right.column("src").to_numpy()
-        rx, ry, n = right.column("x").to_numpy().astype(np.float64), right.column("y").to_numpy().astype(np.float64), right.column("n").to_numpy()
-        found, final = [], np.ones(left.num_rows, bool)
-        for i, k in enumerate(need):
-            d, ok = nearest(px, py, rx[src == i], ry[src == i], n[src == i], k, reach)
-            found.append(d)
-            final &= ok
-        full = np.logical_and.reduce([np.isfinite(d[:, -1]) for d in found]) if left.num_rows else final
-        made = finish([np.rint(d[final & full]).astype(np.int64) for d in found])
-        rows, rest = np.flatnonzero(final & full), np.flatnonzero(~final)
-        cols = {"point_id": pa.concat_arrays([ids.take(pa.array(rows)), ids.take(pa.array(rest))]), "settled": pa.array(np.arange(len(rows) + len(rest)) < len(rows))}
-        cols |= {name: pa.concat_arrays([a, pa.nulls(len(rest), a.type)]) for name, a in made.items()}
-        return pa.table(cols)
-
-    return work
-
-
-def tiled(points: DataFrame, refs: dict[str, DataFrame], ks: dict[str, int], finish: Callable[[list[np.ndarray]], dict[str, pa.Array]], schema: str, tile: int = 1 << 18, halo: int = 1 << 18, max_refs: int = 1_000_000) -> DataFrame:
+        ids, px, py = _rows(left)
+        reach = np.zeros(0)
+        if left.num_rows:
+            x0, y0 = left.column("tx")[0].as_py() * tile, left.column("ty")[0].as_py() * tile
+            reach = np.minimum.reduce([px - (x0 - tile), x0 + 2 * tile - px, py - (y0 - tile), y0 + 2 * tile - py]) - 1
+        return _finished(ids, *_distances(px, py, right, need, reach), finish)
+
+    keys = ["chrom", "tx", "ty"]
+    return pts.groupBy(*keys).cogroup(ref.groupBy(*keys)).applyInArrow(work, f"point_id {id_type}, settled boolean, {schema}")
+
+
+def _in_blocks(todo: DataFrame, every: DataFrame, need: list[int], finish: Callable, schema: str, max_refs: int, id_type: str, many: int = 2000) -> DataFrame:
+    """The rest of the points against everything on their chromosome: blocks of points meet blocks of references, and the nearest of all blocks are merged."""
+    sizes = every.groupBy("chrom").agg(F.ceil(F.count("*") / max_refs).cast("int").alias("rbs"))
+    sizes = F.broadcast(todo.groupBy("chrom").agg(F.ceil(F.count("*") / many).cast("int").alias("pbs")).join(sizes, "chrom"))  # a row a chromosome
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    pts = todo.join(sizes, "chrom").withColumn("pb", F.pmod(F.xxhash64("point_id"), "pbs").cast("int")).withColumn("rb", each("rbs")).drop("pbs", "rbs")
+    ref = every.join(sizes, "chrom").withColumn("rb", F.pmod(F.xxhash64("x", "y"), "rbs").cast("int")).withColumn("pb", each("pbs")).drop("pbs", "rbs")
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, px, py = _rows(left)
+        found, _ = _distances(px, py, right, need, np.full(len(px), np.inf))
+        both = np.concatenate(found, 1)
+        place = [left.column(c).cast(t).combine_chunks() for c, t in (("chrom", pa.string()), ("pb", pa.int32()))]
+        return pa.table({"point_id": ids, "chrom": place[0], "pb": place[1], "d": pa.array([r.tobytes() for r in both], pa.binary())})
+
+    keys = ["chrom", "pb", "rb"]
+    near = pts.groupBy(*keys).cogroup(ref.groupBy(*keys)).applyInArrow(work, f"point_id {id_type}, chrom string, pb int, d binary")
+    key = near.withColumn("key", F.xxhash64("point_id"))
+
+    def merge(t: pa.Table) -> pa.Table:
+        code = t.column("key").to_numpy()
+        order = np.argsort(code, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], code[order][1:] != code[order][:-1])))
+        d = np.frombuffer(b"".join(t.column("d").to_pylist()), np.float64).reshape(t.num_rows, -1)[order]
+        found, at = [], 0
+        for k in need:
+            best = np.full((len(first), k), np.inf)
+            for i, (lo, hi) in enumerate(zip(first, np.append(first[1:], len(order)), strict=True)):
+                best[i] = np.sort(d[lo:hi, at : at + k].ravel())[:k]
+            found.append(best)
+            at += k
+        ids, _, _ = _rows(t.select(["point_id"]).append_column("x", pa.nulls(t.num_rows, pa.float64())).append_column("y", pa.nulls(t.num_rows, pa.float64())))
+        return _finished(ids.take(pa.array(order[first])), found, np.ones(len(first), bool), finish)
+
+    return key.groupBy("chrom", "pb").applyInArrow(merge, f"point_id {id_type}, settled boolean, {schema}")
+
+
+def tiled(points: DataFrame, refs: dict[str, DataFrame], ks: dict[str, int], finish: Callable[[list[np.ndarray]], dict[str, pa.Array]], schema: str, tile: int = 1 << 18, halo: int | None = None, max_refs: int = 1_000_000) -> DataFrame:
     """Rows (point_id, *schema) made by ``finish`` from the distance matrices of each reference set in order.
 
-    points: point_id, chrom, x, y. refs: chrom, x, y, n (multiplicity). A point with fewer neighbours than asked for in some set is left out.
-    Tiles start so narrow that none holds more than ``max_refs`` references, however dense the diagonal is.
+    points: point_id (different for each point), chrom, x, y. refs: chrom, x, y, n (multiplicity). A point with fewer neighbours than asked for in some set is left out.
+    Tiles start so narrow that none holds more than ``max_refs`` references, however dense the diagonal is. ``halo``, if given, bounds the first tiles.
     """
     names = list(refs)
     every = None
@@ -122,41 +177,33 @@ def tiled(points: DataFrame, refs: dict[str, DataFrame], ks: dict[str, int], fin
         part = refs[name].select("chrom", "x", "y", F.col("n").cast("long").alias("n"), F.lit(i).alias("src"))
         every = part if every is None else every.unionByName(part)
     need = [ks[n] for n in names]
-    done = None
-    todo = points.select("point_id", "chrom", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
+    every = _written(every)
+    id_type = points.schema["point_id"].dataType.simpleString()
+    # The references of each chromosome; a genome has few.
+    enough = every.groupBy("chrom").agg(*[F.sum(F.when(F.col("src") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(len(need))], F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("far")).collect()
+    rich = [r.chrom for r in enough if all(r[f"n{i}"] >= k for i, k in enumerate(need))]
+    far = max((r.far for r in enough), default=0)
+    every = every.where(F.col("chrom").isin(rich))
+    todo = _written(points.where(F.col("chrom").isin(rich)).select("point_id", "chrom", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")))
+    tile = min(tile, halo or tile)
     while tile > 1024:
         densest = every.groupBy("chrom", F.floor(F.col("x") / tile), F.floor(F.col("y") / tile)).count().agg(F.max("count")).first()[0] or 0
         if densest <= max_refs:
             break
         # The count falls with the square of the width at most.
-        shrink = max(2, 1 << int(np.ceil(np.log2(densest / max_refs) / 2)))
-        tile, halo = max(1024, tile // shrink), max(1024, halo // shrink)
-    limits = every.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0] or 0
-    while True:
-        last = halo > 4 * limits
-        pts = todo.select("point_id", "chrom", "x", "y", F.floor(F.col("x") / tile).alias("tx"), F.floor(F.col("y") / tile).alias("ty"))
-        if last:
-            pts = pts.withColumn("tx", F.lit(0).cast("long")).withColumn("ty", F.pmod(F.xxhash64("point_id"), F.lit(16)))
-            ref = every.withColumn("tx", F.lit(0).cast("long")).withColumn("ty", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
-        else:
-            touched = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile)))
-            ref = every.withColumn("tx", touched("x")).withColumn("ty", touched("y"))
-            tiles = pts.select("chrom", "tx", "ty").distinct()
-            ref = ref.join(tiles, ["chrom", "tx", "ty"], "left_semi")
-
-        id_type = points.schema["point_id"].dataType.simpleString()
-        found = pts.groupBy("chrom", "tx", "ty").cogroup(ref.groupBy("chrom", "tx", "ty")).applyInArrow(_settling(need, finish, tile, halo, last), f"point_id {id_type}, settled boolean, {schema}")
-        if last:
-            part = found.where("settled").drop("settled")
-            return part if done is None else done.unionByName(part)
-        found = found.persist()
+        tile = max(1024, tile // max(2, 1 << int(np.ceil(np.log2(densest / max_refs) / 2))))
+    done = None
+    while tile <= 4 * far:
+        found = _written(_in_tiles(todo, every, need, finish, schema, tile, id_type))
         part = found.where("settled").drop("settled")
         done = part if done is None else done.unionByName(part)
         left = found.where("not settled").select("point_id")
         if left.isEmpty():
             return done
-        todo = todo.join(left, "point_id", "left_semi")
-        tile, halo = 2 * tile, 4 * halo
+        todo = _written(todo.join(left, "point_id", "left_semi"))
+        tile *= 4
+    part = _in_blocks(todo, every, need, finish, schema, max_refs, id_type).drop("settled")
+    return part if done is None else done.unionByName(part)
 
 
 def knn_join(points: DataFrame, refs: DataFrame, k: int, **how) -> DataFrame:

@@ -13,9 +13,6 @@ seed, round, step and contact, so a lost executor replays the same round. ``swap
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 import warnings
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -27,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.genomic import beyond, distance_bin, hash28, min_distance_bin
+from ..sources.stages import written as _written
 from .contacts import count_pairs, in_rectangle, mirror, replicate
 from .decay import LOG_ZERO, area_proposal, auto_resolution, auto_smooth, constant_proposal, corrected_proposal, expected_decay, sampled_proposal
 
@@ -42,16 +40,6 @@ class ShuffleResult:
     status: dict[str, str] = field(default_factory=dict)  # of each chromosome: mixed, stuck, or out of rounds
 
 
-def _written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    path = f"{root or tempfile.gettempdir() + '/checkpoints'}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def paired(rows: DataFrame, seed: int, number: int, cell: int, salts: int = 1) -> DataFrame:
     """Rows (chrom, cid, x, y) with their partner's cid, x and y; an odd row out has none."""
     shift = lambda axis: F.pmod(hash28(F.lit(seed), F.lit(number), F.lit(axis)), F.lit(cell))

@@ -72,6 +72,11 @@ def test_knn_across_tiles(spark):
     ref = spark.createDataFrame(refs, "chrom string, x long, y long, n long")
     got = {r.point_id: r.distances for r in knn_join(spark.createDataFrame(pts, "point_id long, chrom string, x long, y long"), ref, 9, tile=4096, halo=2048, max_refs=40).collect()}
     assert got == {r.point_id: r.distances for r in knn_join(spark.createDataFrame(pts, "point_id long, chrom string, x long, y long"), ref, 9, tile=700, halo=300).collect()}
+    # So narrow that most points reach the last round, whose references come in blocks.
+    lone = [(i, c, 60_000 + x, y) for i, c, x, y in pts]
+    blocks = {r.point_id: r.distances for r in knn_join(spark.createDataFrame(lone, "point_id long, chrom string, x long, y long"), ref, 9, tile=512, max_refs=50).collect()}
+    for i, c, x, y in lone:
+        assert blocks.get(i) == (sorted(round(math.hypot(x - a, y - b)) for ch, a, b, n in refs for _ in range(n) if ch == c)[:9] or None)
     for i, c, x, y in pts:
         near = sorted(round(math.hypot(x - a, y - b)) for ch, a, b, n in refs for _ in range(n) if ch == c)[:9]
         assert got.get(i) == (near or None)
