@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,18 @@ def keep_rows(docs: DataFrame, text_col: str, keep: Callable[[list], np.ndarray]
     return docs.mapInArrow(run, docs.schema)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
+    """Python gets so many rows at a time in the jobs that run inside: rows sorted by likeness bring long texts one after the other."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def grouped(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows of equal keys side by side in one partition, for ``whole_groups``."""
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order)

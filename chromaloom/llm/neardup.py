@@ -11,11 +11,12 @@
    hash into blocks of about ``block`` classes, so no task holds a whole bucket; only
    signatures (some 50 bytes a class and bucket) move here.
 4. First every class brings its best candidate among the smaller classes of its bucket blocks, one pair a
-   class; a bucket's least class is in each of its blocks. These are confirmed on the full sets, and components
-   of the confirmed links are made. Then only buckets that still hold two components are met again, block
-   by block, for all candidate pairs between components, and these are confirmed too. So no pair inside
-   a component that is known already is looked at, and groups of very many copies cost one pair a class.
-5. Pairs are confirmed in tiles of some 256 classes of a bucket: a text is sent once to a tile, not once a pair.
+   class; a bucket's least class is in each of its blocks. These are confirmed on the full sets, in tiles, to
+   which a text is sent once, and components of the confirmed links are made.
+5. Then only buckets that still hold two components are met again, pair of blocks by pair of blocks: a
+   tile first names its classes that have a candidate in another component, then gets their texts, and decides all such pairs on the
+   full sets by bit counts over the shingles that two of its classes share. A pair is decided in the first of its common buckets alone.
+   No row is made for a pair; a tile returns a spanning forest of its links between components.
 6. Components of the confirmed links give the component ids. Classes with over 1/4096 of all rows, at most
    4096 of them, are joined to their documents by broadcast, so no exchange piles up a large class.
 
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import grouped, matched, table, whole_groups, written
+from .common import grouped, matched, small_batches, table, whole_groups, written
 from .components import connected_components
 from .textkit import lowered, mix64, slices, word_hashes
 
@@ -170,9 +171,10 @@ def _members(classes: DataFrame, block: int) -> DataFrame:
     """key, cid, lead (least class of the bucket), blocks, tiles, n, sig: the classes of every bucket that two share."""
     buckets = classes.select("cid", "n", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("weight"), F.min("cid").alias("lead")).where("m > 1")
-    tiles = F.ceil(F.greatest(F.col("m") / 128, F.col("weight") / (1 << 17))).cast("int")
+    # Blocks are smaller where texts are long, so that a tile's sets stay small.
+    cut = lambda many, heavy: F.ceil(F.greatest(F.col("m") / many, F.col("weight") / heavy)).cast("int")
     # Written, so that both sides of the join have an exchange of their own and a common bucket's side can be split.
-    shared = written(shared.select("key", "lead", F.ceil(F.col("m") / block).cast("int").alias("blocks"), tiles.alias("tiles")))
+    shared = written(shared.select("key", "lead", cut(block, 1 << 19).alias("blocks"), cut(128, 1 << 17).alias("tiles")))
     return written(buckets.drop("n").join(shared, "key").join(classes.select("cid", "n", "sig"), "cid"))
 
 
@@ -201,37 +203,141 @@ def _best(members: DataFrame, count: int, per_cent: int) -> DataFrame:
     return found.groupBy("a").agg(F.max(F.struct("est", "b", "key", "tiles")).alias("x")).select("a", "x.b", "x.key", "x.tiles")
 
 
-def _between(members: DataFrame, roots: DataFrame, count: int, per_cent: int) -> DataFrame:
-    """a, b, key, tiles: the candidate pairs of different components that share a bucket; ``roots`` are the components known so far."""
-    seen = written(members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root"))
+def _blocks_met(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, one, two, own, cid, comp, n, sig, bands: the classes of buckets that hold two components, for each pair of blocks (one, two) that their block is in."""
+    seen = written(members.select("key", "cid", "blocks").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root"))
     open_keys = written(seen.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key"))
-    rows = seen.join(open_keys, "key").withColumn("own", F.pmod(F.hash("cid", "key"), "blocks"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "cid", "comp", "tiles", "n", "sig")
+    rows = seen.join(open_keys, "key").join(classes.select("cid", "n", "sig", "bands"), "cid")
+    rows = rows.withColumn("own", F.pmod(F.hash("cid", "key"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "cid", "comp", "n", "sig", "bands")
+
+
+class _Tile:
+    """The rows of a pair of blocks, in ascending order of their block."""
+
+    def __init__(self, t: pa.Table, lo: int, hi: int):
+        part = t.slice(lo, hi - lo)
+        self.key, two = part.column("key")[0].as_py(), part.column("two")[0].as_py()
+        self.sig = _unpacked(part)
+        self.n, self.cid, self.comp, own = (part.column(c).to_numpy() for c in ("n", "cid", "comp", "own"))
+        bands = part.column("bands").combine_chunks()
+        self.bands = bands.flatten().to_numpy().reshape(len(part), -1)
+        # Rows of ``one`` come first; inside one block all meet all before them.
+        self.split = int(np.searchsorted(own, two))
+
+    def pairs(self, count: int, per_cent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Candidate pairs (i, j) of different components that have this bucket as the first in common."""
+        whole = self.split == 0
+        for a in range(self.split, len(self.cid), 256):
+            b = min(a + 256, len(self.cid))
+            end = b if whole else self.split
+            near = candidates(self.sig[a:b], self.n[a:b], self.sig[:end], self.n[:end], count, per_cent) > -np.inf
+            near &= self.comp[a:b][:, None] != self.comp[:end][None]
+            if whole:
+                near &= np.arange(end)[None] < np.arange(a, b)[:, None]
+            i, j = np.nonzero(near)
+            i += a
+            for s in range(0, len(i), 1 << 16):
+                x, y = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
+                same = self.bands[x] == self.bands[y]
+                first = self.bands[x, same.argmax(1)] == self.key
+                if first.any():
+                    yield x[first], y[first]
+
+
+def _needed(met: DataFrame, count: int, per_cent: int) -> DataFrame:
+    """key, one, two, own, cid, comp, n, sig, bands: the rows of ``met`` that have a candidate in their tile."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, edge in whole_groups(batches, ["key", "one", "two"]):
-            sig, n, cid, comp, own = _unpacked(t), *(t.column(c).to_numpy() for c in ("n", "cid", "comp", "own"))
-            two = t.column("two").to_numpy()
+            keep = np.zeros(t.num_rows, bool)
             for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-                # Rows ascend by their block: those of ``one`` come first, and inside one block all meet all before them.
-                split = lo + int(np.searchsorted(own[lo:hi], two[lo]))
-                for a in range(lo if split == lo else split, hi, 256):
-                    b = min(a + 256, hi)
-                    end = b if split == lo else split
-                    near = candidates(sig[a:b], n[a:b], sig[lo:end], n[lo:end], count, per_cent)
-                    near[comp[a:b][:, None] == comp[lo:end][None]] = -np.inf
-                    if split == lo:
-                        near[np.arange(lo, end)[None] >= np.arange(a, b)[:, None]] = -np.inf
-                    i, j = np.nonzero(near > -np.inf)
-                    i, j = i + a, j + lo
-                    for s in range(0, len(i), 50_000):
-                        x, y = i[s : s + 50_000], j[s : s + 50_000]
-                        cols = [np.maximum(cid[x], cid[y]), np.minimum(cid[x], cid[y])]
-                        yield pa.RecordBatch.from_arrays([*map(pa.array, cols), t.column("key").take(x).combine_chunks(), t.column("tiles").take(x).combine_chunks()], ["a", "b", "key", "tiles"])
-
-    found = grouped(rows, ["key", "one", "two"], ["own", "cid"]).mapInArrow(run, "a long, b long, key long, tiles int")
-    return found.groupBy("a", "b").agg(F.min(F.struct("key", "tiles")).alias("x")).select("a", "b", "x.key", "x.tiles")
+                for i, j in _Tile(t, lo, hi).pairs(count, per_cent):
+                    keep[i + lo] = keep[j + lo] = True
+            yield from t.filter(pa.array(keep)).to_batches(max_chunksize=20_000)
+
+    return grouped(met, ["key", "one", "two"], ["own", "cid"]).mapInArrow(run, met.schema)
+
+
+def shared_counts(sets: list[np.ndarray], pairs: list[tuple[np.ndarray, np.ndarray]], width: int = 1 << 14) -> list[np.ndarray]:
+    """The number of common shingles of each pair, by bit counts over the shingles of two sets at least, ``width`` of them at a time."""
+    out = [np.zeros(len(i), np.int64) for i, _ in pairs]
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    known, code, times = np.unique(flat, return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[times[code] > 1]
+    at = place[code[times[code] > 1]]
+    order = np.argsort(at, kind="stable")
+    of, at = of[order], at[order]
+    for lo in range(0, int((times > 1).sum()), width):
+        s, e = np.searchsorted(at, [lo, lo + width])
+        bits = np.zeros((len(sets), width), bool)
+        bits[of[s:e], at[s:e] - lo] = True
+        packed = np.packbits(bits, axis=1).view(np.uint64)
+        for total, (i, j) in zip(out, pairs, strict=True):
+            for p in range(0, len(i), 8192):
+                total[p : p + 8192] += np.bitwise_count(packed[i[p : p + 8192]] & packed[j[p : p + 8192]]).sum(1, dtype=np.int64)
+    return out
+
+
+def spanning(pairs: Iterable[tuple]) -> list[int]:
+    """Places of a forest among the pairs that has the same components."""
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kept = []
+    for k, (a, b) in enumerate(pairs):
+        x, y = root(a), root(b)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            kept.append(k)
+    return kept
+
+
+def _between(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, needed: DataFrame, words: int, count: int, per_cent: int) -> DataFrame:
+    """u, v: forests of the links between components, found in the tiles of ``needed``."""
+    keys = ["key", "one", "two"]
+    rows = _texts_of(docs, id_col, text_col, needed.join(classes.select("cid", "digest", "first_id"), "cid"))
+    rows = rows.select(*keys, "own", "cid", "comp", "n", "sig", "bands", "digest", "text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, edge in whole_groups(slices(batches, max_bytes=4 << 20), keys):
+            u, v = [], []
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                part = t.slice(lo, hi - lo)
+                sets = [s for b in slices(part.to_batches(), max_bytes=1 << 20) for s in shingle_sets(b.column(b.schema.get_field_index("text")).to_pylist(), words)]
+                # An id may repeat with another text, whose set is not the class's, or with the same one.
+                cid = part.column("cid").to_numpy()
+                right = np.array([_digest(s) == d for s, d in zip(sets, part.column("digest").to_pylist(), strict=True)])
+                right &= np.concatenate(([True], cid[1:] != cid[:-1])) | ~np.concatenate(([False], right[:-1]))
+                at = np.flatnonzero(right)
+                if len(at) < 2:
+                    continue
+                tile = _Tile(part.take(at), 0, len(at))
+                pairs = list(tile.pairs(count, per_cent))
+                n = tile.n
+                for (i, j), both in zip(pairs, shared_counts([sets[k] for k in at], pairs), strict=True):
+                    ok = 100 * both >= per_cent * (n[i] + n[j] - both)
+                    i, j = i[ok], j[ok]
+                    kept = spanning(zip(tile.comp[i].tolist(), tile.comp[j].tolist(), strict=True))
+                    u += tile.cid[i[kept]].tolist()
+                    v += tile.cid[j[kept]].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    with small_batches(docs.sparkSession):
+        return written(grouped(rows, keys, ["own", "cid"]).mapInArrow(run, "u long, v long"))
+
+
+def _texts_of(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame) -> DataFrame:
+    """``rows`` with the texts of their first_id."""
+    rows = written(rows)
+    texts = docs.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text"))
+    return matched(texts, rows, ["first_id"], "left_semi").join(rows, "first_id")
 
 
 def linked(a: np.ndarray, b: np.ndarray, per_cent: int) -> bool:
@@ -243,12 +349,7 @@ def _confirmed(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame,
     """u, v: the pairs (a, b, key, i, j) whose full sets are linked. A tile (key, i, j) gets each text that its pairs need once."""
     keys = ["key", "i", "j"]
     ends = pairs.select(*keys, F.explode(F.array("a", "b")).alias("cid")).distinct()
-    ends = written(ends.join(classes.select("cid", "digest", "first_id"), "cid"))
-    texts = docs.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text"))
-    if ends.count() <= 500_000:  # rows of 60 bytes: 30 MB at most
-        texts = texts.join(F.broadcast(ends), "first_id")
-    else:
-        texts = matched(texts, ends, ["first_id"], "left_semi").join(ends, "first_id")
+    texts = _texts_of(docs, id_col, text_col, ends.join(classes.select("cid", "digest", "first_id"), "cid"))
     none = F.lit(None)
     rows = texts.select(*keys, F.lit(0).alias("kind"), F.col("cid").alias("a"), none.cast("long").alias("b"), "digest", "text")
     rows = rows.unionByName(pairs.select(*keys, F.lit(1).alias("kind"), "a", "b", none.cast("binary").alias("digest"), none.cast("string").alias("text")))
@@ -269,7 +370,8 @@ def _confirmed(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame,
                         v.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return written(grouped(rows, keys, ["kind", "a"]).mapInArrow(run, "u long, v long"))
+    with small_batches(docs.sparkSession):
+        return written(grouped(rows, keys, ["kind", "a"]).mapInArrow(run, "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, per_cent: int = 80, block: int = 1024) -> DataFrame:
@@ -284,13 +386,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = _members(classes, block)
     tile = lambda c: F.pmod(F.hash(c), "tiles")
     tiled = lambda p: written(p.withColumns({"i": tile("a"), "j": tile("b")}))
-    first = tiled(_best(members, count, per_cent))
-    links = _confirmed(docs, id_col, text_col, classes, first, words, per_cent)
+    links = _confirmed(docs, id_col, text_col, classes, tiled(_best(members, count, per_cent)), words, per_cent)
     found = connected_components(links)
-    rest = _between(members, found, count, per_cent).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    rest = tiled(rest)
-    if not rest.isEmpty():
-        links = links.unionByName(_confirmed(docs, id_col, text_col, classes, rest, words, per_cent))
+    needed = written(_needed(_blocks_met(members, classes, found), count, per_cent))
+    if not needed.isEmpty():
+        links = links.unionByName(_between(docs, id_col, text_col, classes, needed, words, count, per_cent))
         found = connected_components(links)
     named = classes.select("cid", "digest", "first_id", "size").join(found.withColumnRenamed("node", "cid"), "cid", "left")
     named = written(named.withColumn("component_key", F.coalesce("root", "cid")).drop("root"))

@@ -73,7 +73,8 @@ def test_boilerplate_makes_few_pairs(spark):
     best = neardup._best(members, count, 85)
     assert members.where("blocks > 1").count() > 0 and best.count() <= 1000
     links = best.selectExpr("a as u", "b as v")
-    assert neardup._between(members, components.connected_components(links), count, 85).count() <= 1000
+    needed = neardup._needed(neardup._blocks_met(members, classes, components.connected_components(links)), count, 85)
+    assert needed.count() <= 1000  # unlike texts under one notice are no candidates
     assert got(neardup.near_duplicates(df, words=3, per_cent=85, block=64)) == brute(docs, 3, 85)
 
 
@@ -123,3 +124,26 @@ def test_bit_counts_lose_few_links(count, per_cent):
         if neardup.candidates(sig[0], n, sig[1], n, count, per_cent)[0, 0] > -np.inf:
             kept.append(equal)
     assert below(kept[0]) <= 1e-9 and kept[0] == least
+
+
+def test_groups_just_under_the_threshold(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(100)]
+    docs = []
+    for i in range(300):  # pairs of a similarity about the threshold: links are rare and chains of them make the groups
+        w = list(base)
+        for _ in range(rng.choice([2, 3, 3, 4])):
+            w[rng.randrange(100)] = word()
+        docs.append((i, " ".join(w)))
+    for block in (32, 1024):
+        assert got(neardup.near_duplicates(as_docs(spark, docs), words=3, per_cent=85, block=block)) == brute(docs, 3, 85)
+
+
+def test_shared_counts_like_sets():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 400, n).astype(np.uint64)) for n in (0, 5, 90, 300, 700)]
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(5), np.arange(5)))
+    for width in (64, 1 << 14):
+        (both,) = neardup.shared_counts(sets, [(i, j)], width)
+        assert all(n == len(set(sets[a]) & set(sets[b])) for n, a, b in zip(both, i, j, strict=True) if a != b)
