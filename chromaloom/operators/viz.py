@@ -11,7 +11,7 @@ from ..schemas import require
 from .intervals import overlaps
 
 # RGB of the named colours that palettes may use.
-COLOURS = {"lightgrey": (211, 211, 211), "pink": (255, 192, 203), "red": (255, 0, 0), "orange": (255, 165, 0), "yellow": (255, 255, 0), "lightblue": (173, 216, 230), "blue": (0, 0, 255), "black": (0, 0, 0)}
+COLOURS = {"lightgrey": (211, 211, 211), "pink": (255, 192, 203), "red": (255, 0, 0), "orange": (255, 165, 0), "yellow": (255, 255, 0), "lightblue": (173, 216, 230), "blue": (0, 0, 255), "black": (0, 0, 0), "white": (255, 255, 255)}
 
 
 def map_points(points: DataFrame, interval: tuple[int, int] | None = None, rotate: bool = True) -> DataFrame:
@@ -103,21 +103,16 @@ def svg_map(points: DataFrame, width: int = 900, height: int = 450, size: float
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">{"".join(map(dot, rows))}</svg>'
 
 
-def svg_grid(cells: DataFrame, zlim: tuple[float, float] = (-1, 1), side: int = 400) -> str:
-    """An SVG heat map of (bin1, bin2, value): blue below, white at the middle, red above; at most 1000 x 1000 bins."""
+def svg_grid(cells: DataFrame, zlim: tuple[float, float] = (-1, 1), side: int = 400, palette: tuple[str, ...] = ("blue", "white", "red")) -> str:
+    """An SVG heat map of (bin1, bin2, value) in colours spread evenly over ``zlim``; grey where there is no value; at most 1000 x 1000 bins."""
     rows = cells.limit(1_000_001).collect()
     if len(rows) > 1_000_000:
         raise ValueError("too many bins for a picture")
     names1, names2 = sorted({r.bin1 for r in rows}), sorted({r.bin2 for r in rows})
     at1, at2 = {b: i for i, b in enumerate(names1)}, {b: i for i, b in enumerate(names2)}
     step = side / max(len(names1), len(names2), 1)
-
-    def fill(v: float | None) -> str:
-        if v is None:
-            return "#CCCCCC"
-        t = min(1.0, max(0.0, (v - zlim[0]) / (zlim[1] - zlim[0]))) * 2 - 1
-        c = round(255 * (1 - abs(t)))
-        return f"#{'FF' if t > 0 else f'{c:02X}'}{c:02X}{'FF' if t < 0 else f'{c:02X}'}"
-
-    body = "".join(f'<rect x="{at1[r.bin1] * step:.2f}" y="{at2[r.bin2] * step:.2f}" width="{step:.2f}" height="{step:.2f}" fill="{fill(r.value)}"/>' for r in rows)
+    known = [r.value for r in rows if r.value is not None]
+    stops = list(zip(np.linspace(*zlim, len(palette)).tolist(), palette, strict=True))
+    fill = iter(colours_at(np.array(known, np.float64), stops))
+    body = "".join(f'<rect x="{at1[r.bin1] * step:.2f}" y="{at2[r.bin2] * step:.2f}" width="{step:.2f}" height="{step:.2f}" fill="{next(fill) if r.value is not None else "#CCCCCC"}"/>' for r in rows)
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="{side}" height="{side}">{body}</svg>'

@@ -12,14 +12,14 @@ from ..operators.enrich import grid_values, rebinned, sum_grids
 from ..operators.viz import scored_points, svg_grid, svg_map, tracks_and_annotations
 
 
-def plot_feature_grid(grids: list[DataFrame], reach: int, grid_resolution: int, plot_resolution: int, kind: str = "enrichment", zlim: tuple[float, float] = (-1, 1), path: str | None = None) -> tuple[DataFrame, DataFrame]:
+def plot_feature_grid(grids: list[DataFrame], reach: int, grid_resolution: int, plot_resolution: int, kind: str = "enrichment", zlim: tuple[float, float] = (-1, 1), path: str | None = None, palette: tuple[str, ...] = ("blue", "white", "red"), side: int = 400) -> tuple[DataFrame, DataFrame]:
     """Sums replicate grids cell by cell, re-bins them if the resolutions differ, and returns (sums, values); writes an SVG to ``path``."""
     total = sum_grids(grids)
     if plot_resolution != grid_resolution:
         total = rebinned(total, reach, grid_resolution, plot_resolution)
     values = grid_values(total, kind)
     if path:
-        Path(path).write_text(svg_grid(values, zlim))
+        Path(path).write_text(svg_grid(values, zlim, side, palette))
     return total, values
 
 

@@ -168,7 +168,8 @@ def test_lanes_and_pictures(spark):
     assert [(r.lane, r.start, r.end) for r in lanes if r.lane == "s"] == [("s", 2, 10)] and len(lanes) == 5
     assert {r.sign for r in Z.annotation_lane(ann, "c", 0, 99, True).collect()} == {"+", "-"}
     cells = spark.createDataFrame([(1, 1, 0.5), (1, 2, None)], "bin1 int, bin2 int, value double")
-    assert Z.svg_grid(cells).count("<rect") == 2
+    assert Z.svg_grid(cells).count("<rect") == 2 and "#FF8080" in Z.svg_grid(cells) and "#CCCCCC" in Z.svg_grid(cells)
+    assert "#FFFF00" in Z.svg_grid(cells, (0, 0.5), palette=("black", "yellow"))
 
 
 def test_decay():
