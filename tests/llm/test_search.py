@@ -249,3 +249,14 @@ def test_bounds_stop_early_and_stay_exact():
         s = x @ x[i]
         want = sorted((-int(s[j]), int(ids[j])) for j in range(4000) if ids[j] != ids[i])[:20]
         assert [(-c, b) for a, b, c in got if a == i] == want
+
+
+def test_substring_query_like_brute_force(spark):
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    want = spans_by_brute_force(docs)
+    rows = substrings.op7_substrings(spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(i for i, _ in docs)
+    for r in rows:
+        spans = [tuple(map(int, x.split(":"))) for x in r.spans.split(",") if x]
+        assert r.repeats == bool(want[r.doc_id]) and r.n_spans == len(want[r.doc_id]) == len(spans)
+        assert r.repeated_chars == sum(e - s for s, e, _ in spans) and r.first_doc_id == min((f for *_, f in spans), default=None)
