@@ -132,7 +132,7 @@ def shuffled_tile(cid: np.ndarray, x: np.ndarray, y: np.ndarray, decay: Decay, c
         gy -= gy.min()
         code = (gx * (int(gy.max()) + 1) + gy).astype(np.uint64)
         r = _mixed(h ^ np.uint64(_salt(seed, k, 3)))
-        order = np.argsort(code << np.uint64(36) | r >> np.uint64(28), kind="stable")
+        order = np.argsort(code << np.uint64(36) | r >> np.uint64(28))
         place = code[order]
         start = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
         nth = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
@@ -294,7 +294,7 @@ def shuffle_contacts(rows: DataFrame, resolution: int | dict[str, int], smooth:
         slowest = min(d.done for c, d in decays.items() if c not in ended)
         if slowest - grown >= step_sweeps and cell < cells[1]:
             cell, grown = min(cells[1], cell + cells[2]), slowest
-        many = min(steps, 1 << number // 3)
+        many = min(steps, 1 << number // 2)
         rows = _written(_round(rows, {c: d for c, d in decays.items() if c not in ended}, seed, number, cell, many, span, dense))
         observed, moves = _counted(rows, decays)
         for c, d in decays.items():
