@@ -18,7 +18,7 @@ from ..operators import score as S
 from ..operators import shuffle as H
 from ..operators import viz as Z
 from ..operators import virtual as V
-from ..operators.knn import knn_ranked
+from ..operators.knn import knn_join, knn_ranked
 from ..sources.views import chromosomes, contacts, features
 from .jobs import shuffle_and_score as shuffle_and_score_region
 
@@ -228,19 +228,19 @@ def _far_points(spark, d):
     return C.distinct_points(C.pool([contacts(spark, d, "obs")], None, MIN_DIST))
 
 
-def _knn(spark, d, src, k):
-    return knn_ranked(S._points(_far_points(spark, d)), S._refs(C.pool([contacts(spark, d, src)], None, MIN_DIST), "contacts"), k)
+def _knn(spark, d, src, k, join):
+    return join(S._points(_far_points(spark, d)), S._refs(C.pool([contacts(spark, d, src)], None, MIN_DIST), "contacts"), k)
 
 
 @query("knn_obs")
 def knn_obs(spark, d):
-    """Neighbours of every distinct contact of every chromosome at the default k, each as often as its count; brute force in the tests."""
-    return _knn(spark, d, "obs", K_WHOLE).select("point_id.*", "rn", "dist")
+    """The distances to the neighbours of every distinct contact of every chromosome at the default k, each as often as its count; brute force in the tests."""
+    return _knn(spark, d, "obs", K_WHOLE, knn_join).select("point_id.*", F.array_join("distances", ",").alias("distances"))
 
 
 @query("knn_exp")
 def knn_exp(spark, d):
-    return _knn(spark, d, "exp", 2 * K_WHOLE).select("point_id.*", "rn", "dist")
+    return _knn(spark, d, "exp", 2 * K_WHOLE, knn_join).select("point_id.*", F.array_join("distances", ",").alias("distances"))
 
 
 def _ks(k: int, ke: int, near_o: str, near_e: str) -> str:
@@ -266,7 +266,7 @@ _SCORE = "case when -min_d < max_d then max_d else min_d end / 10.0::double as s
 
 @query("ks_components")
 def ks_components(spark, d):
-    ranked = _knn(spark, d, "obs", K_WHOLE).withColumn("src", F.lit("obs")).unionByName(_knn(spark, d, "exp", 2 * K_WHOLE).withColumn("src", F.lit("exp")))
+    ranked = _knn(spark, d, "obs", K_WHOLE, knn_ranked).withColumn("src", F.lit("obs")).unionByName(_knn(spark, d, "exp", 2 * K_WHOLE, knn_ranked).withColumn("src", F.lit("exp")))
     return K.ks_components(ranked, K_WHOLE, 2 * K_WHOLE).select("point_id.*", "max_d", "min_d")
 
 

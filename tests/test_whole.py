@@ -40,10 +40,8 @@ def test_every_contact_like_brute_force(spark):
     assert {c for c, *_ in points} == {"chr1", "chr2", "chr3"}
     obs, exp = nearest(points, far["obs"], K), nearest(points, far["exp"], 2 * K)
     for name, want in (("knn_obs", obs), ("knn_exp", exp)):
-        got = QUERIES[name](spark, SF).toPandas()
-        assert len(got) == sum(map(len, want.values()))
-        for key, g in got.sort_values("rn").groupby(["chrom", "start1", "start2"]):
-            assert (g["dist"].to_numpy() == want[key]).all()
+        got = {(r.chrom, r.start1, r.start2): r.distances for r in QUERIES[name](spark, SF).collect()}
+        assert got.keys() == want.keys() and all(list(map(int, d.split(","))) == want[key].tolist() for key, d in got.items())
     keys = sorted(points)
     for name, o, e in (("ks_components", obs, exp), ("kk_score", nearest(points, every["obs"], K), nearest(points, every["exp"], 2 * K))):
         want = dict(zip(keys, ks_score(np.stack([o[x] for x in keys]), np.stack([e[x] for x in keys])), strict=True))
