@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import keep_rows, table, written
-from .textkit import lowered, slices, word_hashes
+from .textkit import lowered, slices, trim, word_hashes
 
 
 @dataclass(frozen=True)
@@ -118,17 +118,23 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     speaks = np.array([r.z > 0 for r in order], bool)
     known = [int(r.word) for r in order]
     of = F.filter(F.arrays_zip("words", "n"), lambda p: p["words"].isin(known)) if known else F.array().cast("array<struct<words:long,n:long>>")
-    data = got.select("toxic", of.alias("own")).collect()
-    x = np.zeros((len(data), len(words)))
-    for i, r in enumerate(data):
-        for p in r.own:
-            x[i, np.searchsorted(words, np.int64(p["words"]).astype(np.uint64))] = p["n"]
-    y = np.array([r.toxic for r in data])
-    hits = x @ speaks
-    grade = y * (1 + (hits > np.median(hits[y > 0])))
-    w, cuts = fit_ordinal(damped(x), grade, 3)
+    # As Arrow, so that the driver holds no object for each of the sample's hits.
+    data = got.select("toxic", of.alias("own")).toArrow().combine_chunks()
+    y = data.column("toxic").to_numpy()
+    own = data.column("own").combine_chunks()
+    row, hits = np.repeat(np.arange(len(y)), np.diff(own.offsets.to_numpy())), own.flatten()
+    n = hits.field("n").to_numpy(zero_copy_only=False)
+    col = np.searchsorted(words, hits.field("words").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+    x = np.zeros((len(y), len(words)))
+    x[row, col] = 1 + np.log(n)  # as ``damped`` has it
+    loud = np.bincount(row, n * speaks[col], len(y)) if len(words) else np.zeros(len(y))
+    grade = y * (1 + (loud > np.median(loud[y > 0])))
+    w, cuts = fit_ordinal(x, grade, 3)
     model = OrdinalModel(words, w, cuts)
-    return OrdinalModel(words, w, cuts, best_cut(model.at_least(damped(x))[:, 0], y) if len(words) else np.inf)
+    model = OrdinalModel(words, w, cuts, best_cut(model.at_least(x)[:, 0], y) if len(words) else np.inf)
+    del data, own, hits, x
+    trim()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
