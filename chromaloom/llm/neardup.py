@@ -74,6 +74,17 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     return out
 
 
+def sets_by_bytes(texts: list[str | None], words: int, most: int = 1 << 20) -> list[np.ndarray]:
+    """``shingle_sets`` of some ``most`` characters at a time."""
+    out, at, size = [], 0, 0
+    for k, t in enumerate(texts, 1):
+        size += len(t or "")
+        if size >= most or k == len(texts):
+            out += shingle_sets(texts[at:k], words)
+            at, size = k, 0
+    return out
+
+
 def minima(shingles: np.ndarray, count: int, chunk: int = 8192) -> np.ndarray:
     """Minima of ``count`` multiply-add hashes of 32 bits."""
     rng = np.random.default_rng(5)
@@ -310,7 +321,7 @@ def _between(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, ne
             u, v = [], []
             for lo, hi in zip(edge[:-1], edge[1:], strict=True):
                 part = t.slice(lo, hi - lo)
-                sets = [s for b in slices(part.to_batches(), max_bytes=1 << 20) for s in shingle_sets(b.column(b.schema.get_field_index("text")).to_pylist(), words)]
+                sets = sets_by_bytes(part.column("text").to_pylist(), words)
                 # An id may repeat with another text, whose set is not the class's, or with the same one.
                 cid = part.column("cid").to_numpy()
                 right = np.array([_digest(s) == d for s, d in zip(sets, part.column("digest").to_pylist(), strict=True)])
