@@ -33,12 +33,11 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, unused, written
+from .common import grouped, small_batches, table, unused, whole_groups, written
 from .textkit import _powers, _space_table, mix64, segment_hashes, slices
 
 GEAR_BITS = 16
@@ -171,11 +170,8 @@ def _in_two(rows: DataFrame) -> DataFrame:
     return written(shared.select("digest", "first_id"))
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 40, min_words: int = 51) -> DataFrame:
-    """``id_col, n_chars, spans``: of each document the passages of ``min_words`` words that also stand in another one, with the least id that holds a part of them."""
-    if 18 + 2 * window > 2 * min_words - 1:
-        raise ValueError(f"passages of {min_words} words may lie between chunks of window {window}")
-    chunks = chunk_rows(docs, id_col, text_col, window)
+def _windows(docs: DataFrame, chunks: DataFrame, id_col: str, text_col: str, window: int, min_words: int) -> DataFrame:
+    """digest, id, span: the windows of words around common chunks."""
     near = chunks.join(_in_two(chunks), "digest").groupBy("id").agg(F.collect_list("span").alias("hits"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text <> ''")
 
@@ -188,30 +184,45 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in (digest.view(np.int64), ids, (lo << 32) | (hi - lo))], ["digest", "id", "span"])
 
     # Written, as they are read twice and cost a shuffle of texts.
-    windows = written(texts.join(near, "id").select("id", "text", "hits").mapInArrow(run, "digest long, id long, span long"))
-    hits = windows.join(_in_two(windows), "digest").select("id", "span", "first_id")
-    own = hits.groupBy("id").agg(F.collect_list(F.struct("span", "first_id")).alias("hits"))
+    return written(texts.join(near, "id").select("id", "text", "hits").mapInArrow(run, "digest long, id long, span long"))
 
-    @F.pandas_udf(f"array<{_SPAN}>")
-    def merged(hits: pd.Series) -> pd.Series:
-        return hits.map(lambda rows: merge_runs([(r["span"] >> 32, (r["span"] >> 32) + (r["span"] & 0xFFFFFFFF), r["first_id"]) for r in rows]))
 
-    spans = own.select(F.col("id").alias("_id"), merged("hits").alias("spans"))
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 40, min_words: int = 51) -> DataFrame:
+    """``id_col, n_chars, spans``: of each document the passages of ``min_words`` words that also stand in another one, with the least id that holds a part of them."""
+    if 18 + 2 * window > 2 * min_words - 1:
+        raise ValueError(f"passages of {min_words} words may lie between chunks of window {window}")
+    chunks = chunk_rows(docs, id_col, text_col, window)
+    with small_batches(docs.sparkSession, 512):
+        windows = _windows(docs, chunks, id_col, text_col, window, min_words)
+        shared = _in_two(windows)
+    spans = span_rows(windows.join(shared, "digest").select("id", "span", "first_id")).withColumnRenamed("id", "_id")
     all_docs = docs.select(F.col(id_col), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_chars"))
     out = all_docs.join(spans, F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
     return out.withColumn("spans", F.coalesce("spans", F.array().cast(f"array<{_SPAN}>")))
 
 
-def merge_runs(windows: list[tuple[int, int, int]]) -> list[dict]:
-    """Runs of windows that touch or overlap."""
-    out: list[dict] = []
-    for start, end, first in sorted(windows):
-        if out and start <= out[-1]["end"]:
-            out[-1]["end"] = max(end, out[-1]["end"])
-            out[-1]["first_id"] = min(first, out[-1]["first_id"])
-        else:
-            out.append({"start": start, "end": end, "first_id": first})
-    return out
+def merge_runs(ids: np.ndarray, span: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of one document that touch or overlap: ids, starts, ends, least first ids. Windows are sorted by id and span."""
+    start, end = span >> 32, (span >> 32) + (span & 0xFFFFFFFF)
+    # Documents are set apart by an offset over any end, so one running maximum serves them all.
+    apart = np.cumsum(np.concatenate((np.zeros(min(1, len(ids)), np.int64), ids[1:] != ids[:-1]))) << 33
+    far = np.maximum.accumulate(end + apart)
+    new = np.flatnonzero(np.concatenate((np.ones(min(1, len(ids)), bool), (start + apart)[1:] > far[:-1])))
+    last = np.append(new[1:], len(ids))[: len(new)] - 1
+    return ids[new], start[new], (far - apart)[last], np.minimum.reduceat(first, new) if len(new) else first
+
+
+def span_rows(hits: DataFrame) -> DataFrame:
+    """id, spans of windows (id, span, first_id): sorted rows are merged as they come, so no list of a document's windows is made, however many documents are copies."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, _ in whole_groups(batches, ["id"]):
+            ids, start, end, first = merge_runs(*(t.column(c).to_numpy() for c in ("id", "span", "first_id")))
+            edge = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+            rows = pa.StructArray.from_arrays([pa.array(start), pa.array(end), pa.array(first)], ["start", "end", "first_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[edge]), pa.ListArray.from_arrays(pa.array(np.append(edge, len(ids)).astype(np.int32)), rows)], ["id", "spans"])
+
+    return grouped(hits, ["id"], ["span"]).mapInArrow(run, f"id long, spans array<{_SPAN}>")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
