@@ -44,6 +44,37 @@ class VirtualTrack:
         found = r.join(p, same).where(inside).groupBy(*six).agg(_AGGREGATES[self.func]("v").alias(self.name))
         return rects.join(found, six, "left")
 
+    def over_pairs(self, first: DataFrame, second: DataFrame, min_dist: int, max_dist: int) -> DataFrame:
+        """The rows of ``feature_pairs`` and a column of the track's name; null where no point lies.
+
+        Points meet the windows of first and of second features, and what they find goes to the first features before pairs are made of them: no pair is shuffled.
+        """
+        if self.func not in _AGGREGATES:
+            raise ValueError(f"no such function: {self.func}")
+        sides, widest = [], []
+        for i, (rows, shift) in enumerate(((first, self.shift1), (second, self.shift2)), 1):
+            r = rows.select("chrom", F.col("start").alias(f"start{i}"), F.col("end").alias(f"end{i}")).distinct()
+            lo, hi = F.col(f"start{i}") + shift[0], F.col(f"end{i}") + shift[1]
+            wide = r.agg(F.max(hi - lo)).first()[0] or 0
+            bucket = max(1, wide)
+            widest.append(wide)
+            r = r.where(lo < hi).withColumns({f"lo{i}": lo, f"hi{i}": hi}).withColumn(f"b{i}", F.explode(F.sequence(F.floor(F.col(f"lo{i}") / bucket), F.floor((F.col(f"hi{i}") - 1) / bucket))))
+            sides.append((r, bucket))
+        # A point in both windows lies in this band off the diagonal.
+        d = F.col("start2") - F.col("start1")
+        p = self.track.where("chrom1 = chrom2").where((d > min_dist + self.shift2[0] - self.shift1[0] - widest[0]) & (d < max_dist + self.shift2[0] + widest[1] - self.shift1[0]))
+        p = p.select(F.col("chrom1").alias("chrom"), F.col("start1").alias("x"), F.col("start2").alias("y"), F.col(self.value).alias("v"))
+        hit = p.withColumn("b1", F.floor(F.col("x") / sides[0][1])).join(sides[0][0], ["chrom", "b1"]).where("x >= lo1 and x < hi1")
+        hit = hit.withColumn("b2", F.floor(F.col("y") / sides[1][1])).join(sides[1][0], ["chrom", "b2"]).where("y >= lo2 and y < hi2")
+        found = hit.where((d > min_dist) & (d < max_dist)).groupBy("chrom", "start1", "end1", "start2", "end2").agg(_AGGREGATES[self.func]("v").alias("v"))
+        found = found.groupBy("chrom", "start1", "end1").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("start2", "end2"), "v"))).alias("found"))
+        b = lambda c: F.floor(F.col(c) / max_dist)
+        a = first.select("chrom", F.col("start").alias("start1"), F.col("end").alias("end1")).distinct().join(found, ["chrom", "start1", "end1"], "left")
+        a = a.withColumn("bucket", F.explode(F.array(b("start1"), b("start1") + 1)))
+        c = second.select("chrom", F.col("start").alias("start2"), F.col("end").alias("end2")).distinct().withColumn("bucket", b("start2"))
+        both = a.join(c, ["chrom", "bucket"]).where((d > min_dist) & (d < max_dist))
+        return both.select("chrom", "start1", "end1", "start2", "end2", F.element_at("found", F.struct("start2", "end2")).alias(self.name))
+
 
 def screen(track: VirtualTrack, rects: DataFrame, least: float, band: tuple[int, int] | None = None) -> DataFrame:
     """Rectangles in the band where the virtual track is greater than ``least``."""
