@@ -10,18 +10,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def contacts(spark: SparkSession, sf_dir: str, src: str | None = None) -> DataFrame:
-    """Unique contacts (chrom1, start1, end1, chrom2, start2, end2, contacts[, src]) of one source, or of both with ``src``."""
+def reads(spark: SparkSession, sf_dir: str, src: str | None = None) -> DataFrame:
+    """chrom, start1, start2, src, contacts: rows that may repeat a contact."""
     line = table(spark, sf_dir, "lineitem")
     if src:
         line = line.where(F.col("l_linestatus") == "O" if src == "obs" else F.col("l_linestatus") != "O")
-    rows = line.select(
+    return line.select(
         F.concat(F.lit("chr"), (1 + F.col("l_linenumber") % 3).cast("string")).alias("chrom"),
         (F.col("l_partkey") * 500 + F.col("l_suppkey")).alias("start1"),
         (F.col("l_orderkey") * 67 + F.col("l_linenumber")).alias("start2"),
         F.when(F.col("l_linestatus") == "O", "obs").otherwise("exp").alias("src"),
         (1 + F.col("l_quantity").cast("long") % 3).alias("contacts"),
     )
+
+
+def contacts(spark: SparkSession, sf_dir: str, src: str | None = None) -> DataFrame:
+    """Unique contacts (chrom1, start1, end1, chrom2, start2, end2, contacts[, src]) of one source, or of both with ``src``."""
+    rows = reads(spark, sf_dir, src)
     keys = ["chrom", "start1", "start2"] + ([] if src else ["src"])
     unique = rows.groupBy(*keys).agg(F.sum("contacts").alias("contacts"))
     six = [F.col("chrom").alias("chrom1"), "start1", (F.col("start1") + 1).alias("end1"), F.col("chrom").alias("chrom2"), "start2", (F.col("start2") + 1).alias("end2"), "contacts"]
@@ -30,7 +35,7 @@ def contacts(spark: SparkSession, sf_dir: str, src: str | None = None) -> DataFr
 
 def chromosomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chrom, start, end: each chromosome from 0 to its greatest coordinate + 1."""
-    return extent(contacts(spark, sf_dir))
+    return extent(reads(spark, sf_dir).withColumnRenamed("chrom", "chrom1"))
 
 
 def extent(rows: DataFrame) -> DataFrame:
