@@ -1,9 +1,9 @@
 """Exact k nearest neighbours in the plane, as a join on tiles.
 
 Points are dealt to square tiles, and a reference is sent to those tiles that hold points and whose square, widened by a
-halo, holds it. In a task a point's k-th neighbour is final if it is nearer than the border
+halo, holds it. The first tiles hold some ten thousands of references, and their halo is narrow against them, so few references go to several. In a task a point's k-th neighbour is final if it is nearer than the border
 of what the task can see. Points that are not final go to the next round with tiles and
-halo four times as wide. Points that no halo short of everything settles meet all references of their
+halo four times as wide as the last halo. Points that no halo short of everything settles meet all references of their
 chromosome in the last round, block by block, and the blocks' nearest are merged. Chromosomes with fewer references than
 asked for are left out at once. Rounds are written, so a lost executor costs one. Inside a task references are sorted into fine cells,
 so that work follows the local density. References with a count are met once and weigh
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from ..sources.stages import written as _written
 
+_REFS = 50_000
+
 
 def nearest(px: np.ndarray, py: np.ndarray, rx: np.ndarray, ry: np.ndarray, weight: np.ndarray, k: int, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(n, k) ascending distances from points to weighted references, and which rows are final: k-th distance within ``reach``.
@@ -30,8 +32,10 @@ def nearest(px: np.ndarray, py: np.ndarray, rx: np.ndarray, ry: np.ndarray, weig
     out = np.full((len(px), k), np.inf)
     if not len(rx) or not len(px):
         return out, np.isinf(reach)
+    often = np.clip(weight, 0, k)
     span = max(rx.max() - rx.min(), ry.max() - ry.min(), 1)
-    cell = max(1.0, span / max(1.0, np.sqrt(len(rx) / max(1.0, k / 4))))
+    # So wide that the k-th neighbour mostly lies within one cell.
+    cell = max(1.0, span / max(1.0, np.sqrt(len(rx) / max(1.0, 0.45 * k / max(1.0, often.mean())))))
     todo = np.arange(len(px))
     while len(todo):
         gx, gy = np.floor(rx / cell).astype(np.int64), np.floor(ry / cell).astype(np.int64)
@@ -56,31 +60,28 @@ def nearest(px: np.ndarray, py: np.ndarray, rx: np.ndarray, ry: np.ndarray, weig
                 at = np.concatenate([order[s:e] for s, e in zip(lo, hi, strict=True)])
             who = todo[group]
             sure = np.full(len(who), np.inf) if whole else np.minimum.reduce([px[who] - (a - 1) * cell, (a + 2) * cell - px[who], py[who] - (b - 1) * cell, (b + 2) * cell - py[who]])
-            for s in range(0, len(who), 512):
-                w = who[s : s + 512]
-                d = _k_smallest(np.sqrt((px[w][:, None] - rx[at][None]) ** 2 + (py[w][:, None] - ry[at][None]) ** 2), weight[at], k)
-                ok = (d[:, -1] < sure[s : s + 512]) | whole
+            at = np.repeat(at, often[at])  # a cell's width follows the weights, so there are as few of these
+            ax, ay = rx[at], ry[at]
+            step = max(1, min(512, 4_000_000 // max(1, len(at))))
+            for s in range(0, len(who), step):
+                w = who[s : s + step]
+                d = _k_smallest(np.sqrt((px[w][:, None] - ax) ** 2 + (py[w][:, None] - ay) ** 2), k)
+                ok = (d[:, -1] < sure[s : s + step]) | whole
                 out[w[ok]] = d[ok]
-                left.append(w[~ok])
+                left.append(w[~ok & (sure[s : s + step] < reach[w])])  # others have too few within reach and are not final
         todo = np.concatenate(left) if left else np.zeros(0, np.int64)
         cell *= 2
     return out, (out[:, -1] <= reach) | np.isinf(reach)
 
 
-def _k_smallest(d: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
-    """Rows of the k smallest distances, each counted as often as its weight."""
-    out = np.full((len(d), k), np.inf)
+def _k_smallest(d: np.ndarray, k: int) -> np.ndarray:
+    """Rows of the k smallest distances, ascending; infinity where there are fewer."""
     if not d.size:
-        return out
+        return np.full((len(d), k), np.inf)
     m = min(k, d.shape[1])
-    at = np.argpartition(d, m - 1, axis=1)[:, :m] if m < d.shape[1] else np.broadcast_to(np.arange(m), d.shape).copy()
-    at = np.take_along_axis(at, np.argsort(np.take_along_axis(d, at, 1), axis=1, kind="stable"), 1)
-    near, n = np.take_along_axis(d, at, 1), np.cumsum(weight[at], axis=1)
-    # The place of each rank among the running weights, for all rows at once: rows are set apart by an offset.
-    apart = np.arange(len(d))[:, None] * (int(n.max()) + k + 1)
-    j = np.searchsorted((n + apart).ravel(), (np.arange(k) + apart).ravel(), "right").reshape(len(d), k) - np.arange(len(d))[:, None] * m
-    out = np.where(j < m, np.take_along_axis(near, np.minimum(j, m - 1), 1), np.inf)
-    return out
+    least = lambda a: np.sort(np.partition(a, m - 1, axis=1)[:, :m] if m < a.shape[1] else a, axis=1)
+    near = least(d)
+    return near if m == k else np.concatenate([near, np.full((len(d), k - m), np.inf)], axis=1)
 
 
 def _rows(t: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -107,21 +108,21 @@ def _finished(ids: pa.Array, found: list[np.ndarray], final: np.ndarray, finish:
     return pa.table(cols | {name: pa.concat_arrays([a, pa.nulls(len(rest), a.type)]) for name, a in made.items()})
 
 
-def _in_tiles(todo: DataFrame, every: DataFrame, need: list[int], finish: Callable, schema: str, tile: int, id_type: str) -> DataFrame:
-    """One round: a tile's points against the references of the tile and of a halo as wide around it."""
+def _in_tiles(todo: DataFrame, every: DataFrame, need: list[int], finish: Callable, schema: str, tile: int, id_type: str, halo: int) -> DataFrame:
+    """One round: a tile's points against the references of the tile and of a halo around it, as wide as the tile at most."""
     at = lambda c: F.floor(F.col(c) / tile)
     pts = todo.select("point_id", "chrom", "x", "y", at("x").alias("tx"), at("y").alias("ty"))
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("d")
-    wanted = todo.select("chrom", at("x").alias("tx"), at("y").alias("ty")).distinct().select("chrom", "tx", "ty", around)
-    wanted = wanted.select("chrom", "tx", "ty", (F.col("tx") + F.col("d.i")).alias("ox"), (F.col("ty") + F.col("d.j")).alias("oy"))
-    ref = every.withColumns({"ox": at("x"), "oy": at("y")}).join(wanted, ["chrom", "ox", "oy"]).drop("ox", "oy")
+    # Written, so that Spark knows how few they are and sends no reference twice where it can be helped.
+    wanted = _written(todo.select("chrom", at("x").alias("tx"), at("y").alias("ty")).distinct())
+    seen = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile)))
+    ref = every.withColumn("tx", seen("x")).withColumn("ty", seen("y")).join(wanted, ["chrom", "tx", "ty"], "left_semi")
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, px, py = _rows(left)
         reach = np.zeros(0)
         if left.num_rows:
             x0, y0 = left.column("tx")[0].as_py() * tile, left.column("ty")[0].as_py() * tile
-            reach = np.minimum.reduce([px - (x0 - tile), x0 + 2 * tile - px, py - (y0 - tile), y0 + 2 * tile - py]) - 1
+            reach = np.minimum.reduce([px - (x0 - halo), x0 + tile + halo - px, py - (y0 - halo), y0 + tile + halo - py]) - 1
         return _finished(ids, *_distances(px, py, right, need, reach), finish)
 
     keys = ["chrom", "tx", "ty"]
@@ -165,11 +166,27 @@ def _in_blocks(todo: DataFrame, every: DataFrame, need: list[int], finish: Calla
     return key.groupBy("chrom", "pb").applyInArrow(merge, f"point_id {id_type}, settled boolean, {schema}")
 
 
-def tiled(points: DataFrame, refs: dict[str, DataFrame], ks: dict[str, int], finish: Callable[[list[np.ndarray]], dict[str, pa.Array]], schema: str, tile: int = 1 << 18, halo: int | None = None, max_refs: int = 1_000_000) -> DataFrame:
+def _first_round(every: DataFrame, need: list[int], tile: int, far: int) -> tuple[int, int]:
+    """Width of the first tiles, doubled while the densest holds ``_REFS`` references at most, and of their halo."""
+    at = lambda c, w: F.floor(F.col(c) / w)
+    sums = [F.sum(F.when(F.col("src") == i, F.col("n"))).alias(f"n{i}") for i in range(len(need))]
+    cells = _written(every.groupBy("chrom", at("x", tile).alias("cx"), at("y", tile).alias("cy")).agg(F.count("*").alias("rows"), *sums))
+    density = cells.agg(*[F.avg(f"n{i}") for i in range(len(need))]).first()  # a mean over the cells that hold any
+    rim = max(int(np.ceil(1.6 * tile * np.sqrt(k / np.pi / d))) for k, d in zip(need, density, strict=True))
+    times = 1
+    while tile * times * 2 <= far:
+        if cells.groupBy("chrom", at("cx", 2 * times), at("cy", 2 * times)).agg(F.sum("rows").alias("rows")).agg(F.max("rows")).first()[0] > _REFS:
+            break
+        times *= 2
+    return tile * times, min(rim, tile * times)
+
+
+def tiled(points: DataFrame, refs: dict[str, DataFrame], ks: dict[str, int], finish: Callable[[list[np.ndarray]], dict[str, pa.Array]], schema: str, tile: int | None = None, halo: int | None = None, max_refs: int = 1_000_000) -> DataFrame:
     """Rows (point_id, *schema) made by ``finish`` from the distance matrices of each reference set in order.
 
     points: point_id (different for each point), chrom, x, y. refs: chrom, x, y, n (multiplicity). A point with fewer neighbours than asked for in some set is left out.
     Tiles start so narrow that none holds more than ``max_refs`` references, however dense the diagonal is. ``halo``, if given, bounds the first tiles.
+    Without ``tile`` the first tiles are so wide that the densest holds some ten thousands of references, with a halo by the mean density of places that hold any.
     """
     names = list(refs)
     every = None
@@ -185,23 +202,27 @@ def tiled(points: DataFrame, refs: dict[str, DataFrame], ks: dict[str, int], fin
     far = max((r.far for r in enough), default=0)
     every = every.where(F.col("chrom").isin(rich))
     todo = _written(points.where(F.col("chrom").isin(rich)).select("point_id", "chrom", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")))
-    tile = min(tile, halo or tile)
+    wide = tile is None
+    tile = min(tile or 1 << 18, halo or tile or 1 << 18)
     while tile > 1024:
         densest = every.groupBy("chrom", F.floor(F.col("x") / tile), F.floor(F.col("y") / tile)).count().agg(F.max("count")).first()[0] or 0
         if densest <= max_refs:
             break
         # The count falls with the square of the width at most.
         tile = max(1024, tile // max(2, 1 << int(np.ceil(np.log2(densest / max_refs) / 2))))
+    rim = tile
+    if wide and not halo and rich and densest <= _REFS // 4:
+        tile, rim = _first_round(every, need, tile, far)
     done = None
     while tile <= 4 * far:
-        found = _written(_in_tiles(todo, every, need, finish, schema, tile, id_type))
+        found = _written(_in_tiles(todo, every, need, finish, schema, tile, id_type, rim))
         part = found.where("settled").drop("settled")
         done = part if done is None else done.unionByName(part)
         left = found.where("not settled").select("point_id")
         if left.isEmpty():
             return done
         todo = _written(todo.join(left, "point_id", "left_semi"))
-        tile *= 4
+        tile = rim = 4 * rim
     part = _in_blocks(todo, every, need, finish, schema, max_refs, id_type).drop("settled")
     return part if done is None else done.unionByName(part)
 

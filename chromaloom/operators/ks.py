@@ -21,17 +21,17 @@ def ks_extremes(obs: np.ndarray, exp: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if k < 4 or ke < 4:
         raise ValueError("k and k_exp must be 4 at least")
     n1, n2 = k - 1, ke - 1
-    a, b = obs[:, 1:n1].astype(np.int64), exp[:, 1:n2].astype(np.int64)
-    rows = np.arange(len(a))[:, None]
-    far = max(int(a.max(initial=0)), int(b.max(initial=0))) + 1
-    af, bf = (a + rows * far).ravel(), (b + rows * far).ravel()
-    before_b = np.searchsorted(bf, af, "right").reshape(a.shape) - rows * b.shape[1]
-    before_a = np.searchsorted(af, bf, "left").reshape(b.shape) - rows * a.shape[1]
-    at_a = (np.arange(1, a.shape[1] + 1) * n2 - before_b * n1) * (before_b < b.shape[1])
-    at_b = (before_a * n2 - np.arange(1, b.shape[1] + 1) * n1) * (before_a < a.shape[1])
     whole = n1 * n2
-    most = np.maximum(0, np.maximum(at_a.max(1, initial=0), at_b.max(1, initial=0)))
-    least = np.minimum(0, np.minimum(at_a.min(1, initial=0), at_b.min(1, initial=0)))
+    most, least = np.zeros(len(obs), np.int64), np.zeros(len(obs), np.int64)
+    rank = np.arange(1, n1 + n2 - 1, dtype=np.int64)
+    for s in range(0, len(obs), 1024):
+        # Both lists in one order, expected first among equals: the lowest bit says which it is.
+        walk = np.sort(np.concatenate([obs[s : s + 1024, 1:n1].astype(np.int64) * 2 + 1, exp[s : s + 1024, 1:n2].astype(np.int64) * 2], axis=1), axis=1)
+        o = walk & 1
+        a = np.cumsum(o, axis=1)
+        b = rank - a
+        n = np.where((a - o < n1 - 1) & (b - (1 - o) < n2 - 1), a * n2 - b * n1, 0)
+        most[s : s + 1024], least[s : s + 1024] = n.max(1, initial=0), n.min(1, initial=0)
     return 1000 * most // whole, -(1000 * -least // whole)
 
 

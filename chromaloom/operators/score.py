@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import require
 from .contacts import distinct_points, pool
-from .intervals import tiles
+from .intervals import tiles_without
 from .knn import tiled
 from .ks import ks_score
 
@@ -19,7 +19,8 @@ _ID = ("chrom", "start1", "start2")
 def _points(df: DataFrame, chrom: str = "chrom1") -> DataFrame:
     require(df, "start1", "start2")
     key = F.col(chrom) if chrom in df.columns else F.lit("")
-    return df.select(F.struct(key.alias("chrom"), F.col("start1").cast("long").alias("start1"), F.col("start2").cast("long").alias("start2")).alias("point_id"), key.alias("chrom"), F.col("start1").alias("x"), F.col("start2").alias("y")).dropDuplicates(["point_id"])
+    once = df.select(key.alias("chrom"), F.col("start1").cast("long").alias("start1"), F.col("start2").cast("long").alias("start2")).distinct()
+    return once.select(F.struct("chrom", "start1", "start2").alias("point_id"), "chrom", F.col("start1").alias("x"), F.col("start2").alias("y"))
 
 
 def _refs(df: DataFrame, count: str | None) -> DataFrame:
@@ -72,24 +73,31 @@ def score_track(obs: list[DataFrame], exp: list[DataFrame], chroms: DataFrame, p
 
     A tile with fewer than ``min_points`` contacts, or a region with fewer than k observed or expected ones, has status 0.
     """
-    grid = tiles(chroms, near_cis, expand).withColumn("tile", F.concat_ws(":", "chrom", "start1", "start2"))
     pts = pool(points or obs, None, min_dist)
-    # A contact's tile is its pair of tile starts: an equi-join; a chromosome has few tiles, so the grid is small against its contacts.
-    t = grid.select(F.col("chrom").alias("chrom1"), F.col("start1").alias("t1"), F.col("start2").alias("t2"), "tile")
-    mine = pts.withColumns({"t1": F.floor(F.col("start1") / near_cis) * near_cis, "t2": F.floor(F.col("start2") / near_cis) * near_cis})
-    mine = mine.where("start1 <= end1 and t1 <= t2").join(t, ["chrom1", "t1", "t2"])
-    counts = mine.groupBy("tile").agg(F.count("*").alias("n_points"))
-    ready = counts.where(F.col("n_points") >= min_points)
-    upper = mine.where("start1 <= start2").join(ready, "tile", "left_semi").select(F.col("tile").alias("chrom1"), "start1", "start2").distinct()
+    # A contact's tile is its pair of tile starts; that the grid has it follows from the chromosome's size, a row a chromosome.
+    size = F.broadcast(chroms.select(F.col("chrom").alias("chrom1"), F.col("end").alias("size")))
+    at = lambda c: (F.floor(F.col(c) / near_cis) * near_cis).alias(c)
+    mine = pts.withColumns({"t1": at("start1"), "t2": at("start2")})
+    mine = mine.where("start1 <= end1 and t1 >= 0 and t1 <= t2").join(size, "chrom1").where("t2 < size").withColumn("tile", F.concat_ws(":", "chrom1", "t1", "t2"))
+    counts = mine.groupBy("chrom1", "t1", "t2").agg(F.count("*").alias("n_points"))
+    ready = counts.where(F.col("n_points") >= min_points).select("chrom1", "t1", "t2")
+    upper = mine.where("start1 <= start2").join(ready, ["chrom1", "t1", "t2"], "left_semi").select(F.col("tile").alias("chrom1"), "start1", "start2").distinct()
 
     def seen(tracks: list[DataFrame]) -> DataFrame:
         ref = pool(tracks, None, min_dist)
         near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - expand) / near_cis), F.floor((F.col(c) + expand) / near_cis)))
-        dealt = ref.withColumn("t1", near("start1")).withColumn("t2", near("start2")).withColumns({c: F.col(c) * near_cis for c in ("t1", "t2")}).join(t, ["chrom1", "t1", "t2"])
-        return dealt.join(ready, "tile", "left_semi").select(F.col("tile").alias("chrom1"), "start1", "start2", "contacts")
+        dealt = ref.withColumn("t1", near("start1")).withColumn("t2", near("start2")).withColumns({c: F.col(c) * near_cis for c in ("t1", "t2")})
+        return dealt.join(ready, ["chrom1", "t1", "t2"], "left_semi").select(F.concat_ws(":", "chrom1", "t1", "t2").alias("chrom1"), "start1", "start2", "contacts")
 
     out = tiled(_points(upper), {"obs": _refs(seen(obs), "contacts"), "exp": _refs(seen(exp), "contacts")}, {"obs": k, "exp": 2 * k}, _finish, "score double", **how)
     scores = out.select(F.substring_index("point_id.chrom", ":", 1).alias("chrom1"), "point_id.start1", (F.col("point_id.start1") + 1).alias("end1"), F.substring_index("point_id.chrom", ":", 1).alias("chrom2"), "point_id.start2", (F.col("point_id.start2") + 1).alias("end2"), "score", F.col("point_id.chrom").alias("tile"))
     made = scores.groupBy("tile").agg(F.count("*").alias("n_scores"))
-    status = grid.join(counts, "tile", "left").join(made, "tile", "left").select("tile", "chrom", "start1", "end1", "start2", "end2", F.coalesce("n_points", F.lit(0)).alias("n_points"), F.coalesce("n_scores", F.lit(0)).alias("n_scores"), (F.coalesce("n_scores", F.lit(0)) > 0).cast("int").alias("status"))
+    # Tiles with contacts, and the rest of the grid.
+    end = lambda c: F.least(F.col(c) + near_cis, F.col("size"))
+    some = counts.join(size, "chrom1").withColumn("tile", F.concat_ws(":", "chrom1", "t1", "t2")).join(made, "tile", "left")
+    some = some.select("tile", F.col("chrom1").alias("chrom"), F.col("t1").alias("start1"), end("t1").alias("end1"), F.col("t2").alias("start2"), end("t2").alias("end2"), "n_points", F.coalesce("n_scores", F.lit(0).cast("long")).alias("n_scores"))
+    rest = tiles_without(chroms, near_cis, counts.select(F.col("chrom1").alias("chrom"), F.col("t1").alias("start1"), F.col("t2").alias("start2")))
+    zero = F.lit(0).cast("long")
+    rest = rest.select(F.concat_ws(":", "chrom", "start1", "start2").alias("tile"), "chrom", "start1", "end1", "start2", "end2", zero.alias("n_points"), zero.alias("n_scores"))
+    status = some.unionByName(rest).withColumn("status", (F.col("n_scores") > 0).cast("int"))
     return scores.drop("tile"), status
