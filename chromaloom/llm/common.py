@@ -96,8 +96,15 @@ def unused(df: DataFrame, stem: str) -> str:
     return stem
 
 
-def matched(docs: DataFrame, ids: DataFrame, keys: list[str], how: str, most: int = 32 << 20) -> DataFrame:
-    """``docs`` with (left_semi) or without (left_anti) the keys. Up to ``most`` bytes of keys are broadcast, so that no text is shuffled; more are joined."""
-    ids = written(ids.select(keys).distinct())
+def matched(docs: DataFrame, ids: DataFrame, keys: list[str], how: str, most: int = 32 << 20, stored: bool = False) -> DataFrame:
+    """``docs`` with (left_semi) or without (left_anti) the keys. Up to ``most`` bytes of keys are broadcast, so that no text is shuffled; more are joined.
+
+    ``stored`` ids are cheap to read twice; they are not written again if they fit with their repeats.
+    """
     size = sum((F.coalesce(F.length(F.col(k).cast("string")), F.lit(0)) + 16 for k in keys), F.lit(0)).cast("long")
-    return docs.join(F.broadcast(ids) if (ids.agg(F.sum(size)).first()[0] or 0) <= most else ids, keys, how)
+    fits = lambda x: (x.agg(F.sum(size)).first()[0] or 0) <= most
+    ids = ids.select(keys)
+    if stored and fits(ids):
+        return docs.join(F.broadcast(ids), keys, how)
+    ids = written(ids.distinct())
+    return docs.join(F.broadcast(ids) if fits(ids) else ids, keys, how)

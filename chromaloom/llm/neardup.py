@@ -348,7 +348,7 @@ def _texts_of(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame) -> D
     """``rows`` with the texts of their first_id."""
     rows = written(rows)
     texts = docs.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text"))
-    return matched(texts, rows, ["first_id"], "left_semi").join(rows, "first_id")
+    return matched(texts, rows, ["first_id"], "left_semi", stored=True).join(rows, "first_id")
 
 
 def linked(a: np.ndarray, b: np.ndarray, per_cent: int) -> bool:

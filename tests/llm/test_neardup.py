@@ -111,6 +111,39 @@ def test_chain_of_nodes(spark):
     assert {(r.node, r.root) for r in components.connected_components(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (200, 100)}
 
 
+def test_components_together_and_by_rounds(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000, 1001 + i) for i in range(50)] + [(2**40 + i + 1, 2**40 + i) for i in range(60)]
+    expected = {n: n for e in edges if e[0] != e[1] for n in e}
+    for _ in expected:
+        for a, b in edges:
+            if a != b:
+                expected[a] = expected[b] = min(expected[a], expected[b])
+    df = spark.createDataFrame(edges, "u long, v long")
+    for few in (1 << 21, len(edges) - 20):
+        found = components.connected_components(df, few).collect()
+        assert len(found) == len(expected) and {r.node: r.root for r in found} == expected
+    assert components.connected_components(df.where("u = v")).count() == 0
+
+
+def test_few_edges_need_few_jobs(spark):
+    edges = neardup.written(spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long"))
+    spark.sparkContext.setJobGroup("few edges", "")
+    try:
+        assert components.connected_components(edges).count() == 41
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few edges")) <= 8
+
+
+def test_stored_keys_with_repeats(spark):
+    docs = spark.createDataFrame([(i, str(i)) for i in range(50)], "id long, text string")
+    ids = neardup.written(spark.createDataFrame([(i % 7,) for i in range(100)], "id long"))
+    for most in (32 << 20, 200, 10):  # with repeats, without, and joined
+        assert sorted(r.id for r in neardup.matched(docs, ids, ["id"], "left_semi", most, stored=True).collect()) == list(range(7))
+        assert sorted(r.id for r in neardup.matched(docs, ids, ["id"], "left_anti", most, stored=True).collect()) == list(range(7, 50))
+
+
 @pytest.mark.parametrize("count, per_cent", [(116, 85), (160, 80)])
 def test_bit_counts_lose_few_links(count, per_cent):
     share = per_cent / 100 + (1 - per_cent / 100) / 2**neardup.BITS
