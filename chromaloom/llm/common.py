@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -36,6 +37,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that have ended; it does so only when the driver's JVM happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def keep_rows(docs: DataFrame, text_col: str, keep: Callable[[list], np.ndarray]) -> DataFrame:
     """The rows, with all their columns, for whose texts ``keep`` says so; no shuffle, and no need of a key."""
 

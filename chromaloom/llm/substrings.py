@@ -37,68 +37,118 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import grouped, small_batches, table, unused, whole_groups, written
+from .common import drop_shuffles, grouped, small_batches, table, unused, whole_groups, written
 from .textkit import _powers, _space_table, mix64, segment_hashes, slices
 
 GEAR_BITS = 16
 _SPAN = "struct<start:long,end:long,first_id:long>"
 
 
+#: Stands between the texts of a buffer; no byte of UTF-8, and nothing in a hash. Longer than a hash reaches.
+_APART = b"\xff" * GEAR_BITS
+
+
 @lru_cache(maxsize=1)
 def _gear() -> np.ndarray:
-    return np.random.default_rng(23).integers(0, 1 << 32, 256, dtype=np.uint32)
+    values = np.random.default_rng(23).integers(0, 1 << 32, 256, dtype=np.uint32)
+    values[_APART[0]] = 0
+    return values.astype(np.uint16)
+
+
+@lru_cache(maxsize=2)
+def _order(bits: int) -> np.ndarray:
+    """The place of every hash in the order in which least ones are taken, over ``bits`` bits for a position."""
+    mixed = np.arange(1 << GEAR_BITS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)
+    place = np.unique(mixed, return_inverse=True)[1].astype(np.uint64) << np.uint64(bits)
+    return place if bits > 16 else place.astype(np.uint32)
 
 
 def gear_hash(buf: np.ndarray) -> np.ndarray:
-    """At every byte the low ``GEAR_BITS`` bits of the gear hash, by doubling the reach of partial sums."""
+    """At every byte the gear hash of ``GEAR_BITS`` bits, by doubling the reach of partial sums."""
     h, reach = _gear()[buf], 1
     while reach < GEAR_BITS:
-        shifted = np.zeros_like(h)
-        shifted[reach:] = h[:-reach] << np.uint32(reach)
-        h, reach = h + shifted, reach * 2
-    return h & np.uint32((1 << GEAR_BITS) - 1)
+        h[reach:] += h[:-reach] << np.uint16(reach)
+        reach *= 2
+    return h
 
 
-def cut_points(buf: np.ndarray, window: int) -> np.ndarray:
-    """Ascending positions at which a chunk begins inside ``buf``: least hashes of windows, moved on to the start of a character."""
+def _changes(x: np.ndarray) -> np.ndarray:
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return new
+
+
+def cut_points(buf: np.ndarray, off: np.ndarray, end: np.ndarray, window: int) -> np.ndarray:
+    """Ascending positions at which a chunk begins inside one of the texts ``buf[off[i]:end[i]]``: least hashes of the windows in a text, moved on to the start of a character."""
     if len(buf) < window:
         return np.zeros(0, np.int64)
-    h = gear_hash(buf)
-    # A finer value than the hash alone keeps ties rare; among equals the later position is taken.
-    key = (h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)) << np.uint64(24)
-    at = np.arange(len(buf), dtype=np.uint64)
+    inside = np.zeros(len(buf) - window + 1, bool)
+    for lo, hi in zip(off.tolist(), end.tolist(), strict=True):
+        inside[lo : max(lo, hi - window + 1)] = True
+    # Among equal hashes the later position is taken.
+    bits = 16 if window < 1 << 15 else 32
+    key = _order(bits)[gear_hash(buf)]
+    back = np.arange((1 << bits) - 1, (1 << bits) - 1 - min(len(buf), 1 << bits), -1).astype(key.dtype)
     cuts = []
-    step = (1 << 24) - window
-    for lo in range(0, max(1, len(buf) - window + 1), step):
-        k = key[lo : lo + step + window - 1] | (np.uint64((1 << 24) - 1) - (at[lo : lo + step + window - 1] - np.uint64(lo)))
-        reach = 1
+    step = (1 << bits) - window
+    for lo in range(0, len(inside), step):
+        k = key[lo : lo + step + window - 1]
+        k, reach = k | back[: len(k)], 1
         while reach * 2 <= window:
             k, reach = np.minimum(k[:-reach], k[reach:]), reach * 2
         if reach < window:
             k = np.minimum(k[: len(k) - (window - reach)], k[window - reach :])
-        least = np.uint64((1 << 24) - 1) - (k & np.uint64((1 << 24) - 1))
-        cuts.append(least[np.concatenate(([True], least[1:] != least[:-1]))].astype(np.int64) + lo + 1)
-    cut = np.unique(np.concatenate(cuts))
-    starts = np.flatnonzero((buf & 0xC0) != 0x80)
-    to = np.searchsorted(starts, cut)
-    return np.unique(starts[to[to < len(starts)]])
+        least = (k & k.dtype.type((1 << bits) - 1))[inside[lo : lo + step]]
+        cuts.append(lo + (1 << bits) - least[_changes(least)].astype(np.int64))
+    cut = np.concatenate(cuts)
+    cut = cut[cut < len(buf)]
+    while (later := (buf[cut] & 0xC0) == 0x80).any():
+        cut = cut + later
+        cut = cut[cut < len(buf)]
+    cut = cut[_changes(cut)]
+    return cut[cut < end[np.searchsorted(off, cut, "right") - 1]]
+
+
+def chunks_of(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Digests of the chunks of the texts in order, the place of each one's text, and their starts and ends in code points of the text.
+
+    Texts are cut together, as a text alone is too short for numpy to be quick; none has a say in another's chunks.
+    """
+    buf = np.frombuffer(_APART.join(texts), np.uint8)
+    size = np.array([len(t) for t in texts], np.int64)
+    off = np.concatenate(([0], np.cumsum(size + len(_APART))[:-1]))
+    full = np.flatnonzero(size)
+    off, end = off[full], (off + size)[full]
+    if not len(full):
+        return np.zeros(0, np.uint64), full, full, full
+    cut = cut_points(buf, off, end, window)
+    start, stop = np.sort(np.concatenate((off, cut))), np.sort(np.concatenate((cut, end)))
+    at = np.searchsorted(off, start, "right") - 1
+    points = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80, dtype=np.int32))).astype(np.int64)
+    before = points[off][at]
+    return folded(segment_hashes(buf, start, stop, seed=29), full[at], points[start] - before, points[stop] - before)
 
 
 def chunked(text: bytes, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Digests of the chunks of a text, and their starts and ends in code points."""
-    buf = np.frombuffer(text, np.uint8)
-    if not len(buf):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    cut = cut_points(buf, window)
-    edges = np.concatenate(([0], cut[(cut > 0) & (cut < len(buf))], [len(buf)]))
-    points = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))[edges]
-    return folded(segment_hashes(buf, edges[:-1], edges[1:], seed=29), points)
+    """Digests of the chunks of one text, and their starts and ends in code points."""
+    digest, _, start, end = chunks_of([text], window)
+    return digest, start, end
 
 
-def folded(digests: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def folded(digests: np.ndarray, at: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of one chunk repeated in place as a single chunk with its own digest, so that runs of any number of repeats meet."""
-    first = np.flatnonzero(np.concatenate(([True], digests[1:] != digests[:-1])))
-    return digests[first], points[first], points[np.append(first[1:], len(digests))]
+    first = np.flatnonzero(_changes(digests) | _changes(at))
+    return digests[first], at[first], start[first], end[np.append(first[1:], len(digests)) - 1]
+
+
+def _batches(texts: list[bytes], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Edges of runs of texts of about ``most`` bytes."""
+    lo = size = 0
+    for k, t in enumerate(texts, 1):
+        size += len(t)
+        if size >= most or k == len(texts):
+            yield lo, k
+            lo, size = k, 0
 
 
 def chunk_rows(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
@@ -107,10 +157,10 @@ def chunk_rows(docs: DataFrame, id_col: str, text_col: str, window: int) -> Data
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, max_bytes=1 << 20):
-            ids, found = part.column(0).to_numpy(), [chunked(t.as_py().encode("utf-8", "replace"), window) for t in part.column(1)]
-            n = [len(x[0]) for x in found]
-            digest, start, end = (np.concatenate([x[i] for x in found]) for i in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.array(np.repeat(ids, n)), pa.array((start << 32) | (end - start))], ["digest", "id", "span"])
+            ids, texts = part.column(0).to_numpy(), [t.encode("utf-8", "replace") for t in part.column(1).to_pylist()]
+            for lo, hi in _batches(texts):
+                digest, at, start, end = chunks_of(texts[lo:hi], window)
+                yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.array(ids[lo:hi][at]), pa.array((start << 32) | (end - start))], ["digest", "id", "span"])
 
     return src.mapInArrow(run, "digest long, id long, span long")
 
@@ -167,7 +217,9 @@ def word_windows(text: bytes, hits: np.ndarray, window: int, min_words: int) ->
 def _in_two(rows: DataFrame) -> DataFrame:
     """digest, first_id: the digests of two documents at least. Written, so that both sides of a join with them come by an exchange of their own and a hot digest's side can be split."""
     shared = rows.groupBy("digest").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id")
-    return written(shared.select("digest", "first_id"))
+    found = written(shared.select("digest", "first_id"))
+    drop_shuffles(rows.sparkSession)  # a row for each chunk or window, beside which the join would lay as many
+    return found
 
 
 def _windows(docs: DataFrame, chunks: DataFrame, id_col: str, text_col: str, window: int, min_words: int) -> DataFrame:

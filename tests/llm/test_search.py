@@ -34,6 +34,26 @@ def test_chunks_tile_the_text(t):
     assert start[0] == 0 and end[-1] == len(t) and (start[1:] == end[:-1]).all() and len(d) == len(start)
 
 
+@pytest.mark.parametrize("window", [40, 40_000])
+def test_texts_chunked_together_are_as_alone(window):
+    rng = random.Random(7)
+    texts = [text(rng, rng.randint(0, 120)) for _ in range(60)] + ["", "é" * 19, "é" * 20, "ab" * 90, "日本語" * 200, text(rng, 20_000), "x" * 70_000, ""]
+    texts = [t.encode() for t in texts]
+    digest, at, start, end = substrings.chunks_of(texts, window)
+    alone = [substrings.chunked(t, window) for t in texts]
+    assert at.tolist() == [i for i, x in enumerate(alone) for _ in x[0]]
+    for k, got in enumerate((digest, start, end)):
+        assert got.tolist() == [v for x in alone for v in x[k].tolist()]
+    for t in texts[:60]:  # cuts by their definition
+        h = substrings.gear_hash(np.frombuffer(t, np.uint8)).tolist()
+        mixed = [x * 0x9E3779B97F4A7C15 % 2**64 >> 24 for x in h]
+        cuts = {max(range(i, i + window), key=lambda p: (-mixed[p], p)) + 1 for i in range(len(t) - window + 1)}
+        while moved := {c for c in cuts if c < len(t) and t[c] & 0xC0 == 0x80}:
+            cuts = cuts - moved | {c + 1 for c in moved}
+        got = substrings.cut_points(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]), window)
+        assert got.tolist() == sorted(c for c in cuts if c < len(t))
+
+
 def test_insertion_moves_few_cuts():
     rng = random.Random(3)
     t = text(rng, 2000)
