@@ -48,13 +48,13 @@ class EngineConfig:
         base = base or cls()
         found = {}
         for line in Path(path).read_text().splitlines():
-            line = line.split("#", 1)[0].strip()
-            if not line:
+            line = line.strip()
+            if not line or line[0] == "#":
                 continue
             name, eq, value = line.partition("=")
             name = name.strip()
-            if not eq or name in found:
-                raise ValueError(f"{'repeated name' if eq else 'no ='} in {path}: {line}")
+            if not eq or "#" in name or name in found:
+                raise ValueError(f"{'repeated name' if name in found else 'no ='} in {path}: {line}")
             found[name] = _parsed(value.strip())
         defaults = cls()
         unknown = found.keys() - {f.name for f in dataclasses.fields(cls)}
@@ -78,7 +78,8 @@ class EngineConfig:
 
 
 def _parsed(value: str):
+    """A literal, in whose strings a # may stand, or else plain text; a comment may follow."""
     try:
         return ast.literal_eval(value)
     except (ValueError, SyntaxError):
-        return value
+        return value.split("#", 1)[0].strip()

@@ -205,6 +205,12 @@ def test_config_round_trip(tmp_path):
     assert EngineConfig.from_file(str(tmp_path / "c"), reset=True) == c and c.get_list("score_pal_neg")[-1] == "black"
 
 
+def test_config_comments_and_colours(tmp_path):
+    (tmp_path / "c").write_text("# all = of it\nk = 33 # neighbours\nscore_pal_zero = red # plain\ntrack_colors = ('#42413F', '#E69F00')  # two\n")
+    c = EngineConfig.from_file(str(tmp_path / "c"))
+    assert (c.k, c.score_pal_zero, c.track_colors) == (33, "red", ("#42413F", "#E69F00"))
+
+
 def test_proposals():
     assert np.exp(D.constant_proposal(7)).sum() == pytest.approx(1)
     area = np.exp(D.area_proposal(200, 10, 0, 1e6))
